@@ -13,6 +13,12 @@ from .common import parquet
 from .exact_dedup import exact_duplicates
 from .ngram_join import near_duplicates
 from .packing import packed_sequences
+from .pii import personal_data
+from .quality import quality_scores
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(parquet(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +29,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(parquet(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(parquet(spark, sf_dir, "documents"), keep="largest")
 
@@ -36,7 +46,7 @@ FROM d JOIN g USING (t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op5_ngram_jaccard_join, op7_exact_dedup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ from .ngram_join import near_duplicates
 from .packing import packed_sequences
 from .pii import personal_data
 from .quality import quality_scores
+from .syncmers import fingerprints
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(parquet(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(parquet(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY t)
@@ -46,7 +51,7 @@ FROM d JOIN g USING (t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op9_document_fingerprints)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from .packing import packed_sequences
 from .pii import personal_data
 from .quality import quality_scores
 from .syncmers import fingerprints
+from .warc import warc_round_trip
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(parquet(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(parquet(spark, sf_dir, "pages"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(parquet(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ FROM d JOIN g USING (t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op9_document_fingerprints)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_warc, op9_document_fingerprints)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

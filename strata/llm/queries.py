@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from .byte_bpe import encoded
 from .common import parquet
 from .exact_dedup import exact_duplicates
 from .ngram_join import near_duplicates
@@ -27,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(parquet(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(parquet(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(parquet(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ FROM d JOIN g USING (t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_warc, op9_document_fingerprints)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op4_byte_bpe, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_warc, op9_document_fingerprints)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

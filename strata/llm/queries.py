@@ -15,8 +15,10 @@ from .exact_dedup import exact_duplicates
 from .ngram_join import near_duplicates
 from .packing import packed_sequences
 from .pii import personal_data
+from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality_scores
 from .syncmers import fingerprints
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
@@ -24,6 +26,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(parquet(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(parquet(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(parquet(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,6 +58,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(parquet(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY t)
@@ -61,7 +71,7 @@ FROM d JOIN g USING (t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op4_byte_bpe, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_warc, op9_document_fingerprints)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_best_fit_packing, op4_byte_bpe, op5_ngram_jaccard_join, op6_quality_classifier, op7_exact_dedup, op8_warc, op9_document_fingerprints, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

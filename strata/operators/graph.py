@@ -83,7 +83,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float
             return pd.DataFrame({"id": list(rank), "rank": list(rank.values())})
 
         both = edges.unionByName(nodes.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst")))
-        rank = both.groupBy(F.lit(1)).applyInPandas(run, f"id {kind}, rank double")
+        rank = both.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"id {kind}, rank double")
     else:
         share = staged(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src").select("src", "dst", (1 / F.col("out")).alias("share")), "shares")
         sinks = staged(nodes.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "sinks")

@@ -28,6 +28,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, id_and_text, shuffle_width, staged, without
+from .common import bounded_rows, id_and_text, shared_dir, shuffle_width, staged, without
 from .components import components
 from .exact_dedup import tree_merge
 from .shingles import mixed, shingle_set
@@ -49,7 +50,7 @@ LEVELS = 4
 #: Cost of verifying a candidate against that of reading a posting.
 VERIFY = 16
 BLOCK = 8_192
-MEMBERS, BEST, PIVOT_ROUNDS, RUNS = 4, 8, 3, 64
+MEMBERS, BEST, PIVOT_ROUNDS, RUNS = 4, 2, 3, 64
 U = np.uint64
 
 
@@ -180,17 +181,23 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
     """
 
     def pivots(token, node, comp, n):
-        u, count = np.unique(comp, return_counts=True)
-        if len(u) == 1:
-            return None
-        main = u[count.argmax()] if count.max() > 1 else u[int((mixed(u.view(U) + U(token & 3)) >> U(1)).argmin())]
-        inside = np.flatnonzero(comp == main)
-        outside = np.flatnonzero(comp != main)
-        m = min(MEMBERS, len(inside))
-        pick = inside[(token % len(inside) + np.arange(m) * (len(inside) // m)) % len(inside)]
-        x, y = np.repeat(outside, m), np.tile(pick, len(outside))
+        """All lists at once: each row outside its list's main component meets MEMBERS rows inside."""
+        run = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
+        mix = mixed(comp.view(U) + (token & 3).view(U)) >> U(1)
+        order = np.lexsort((node, comp, run))
+        run, comp, node, n, token, mix = (v[order] for v in (run, comp, node, n, token, mix))
+        first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (comp[1:] != comp[:-1]))))
+        size = np.diff(np.append(first, len(run)))
+        best = np.lexsort((mix[first], -size, run[first]))
+        best = best[np.concatenate(([True], run[first][best][1:] != run[first][best][:-1]))]  # a group per list
+        at, count = first[best][run], size[best][run]
+        outside = np.flatnonzero(comp != comp[at])
+        m = np.minimum(MEMBERS, count[outside])
+        x = np.repeat(outside, m)
+        j = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        y = at[x] + (np.abs(token[x]) % count[x] + j * (count[x] // np.repeat(m, m))) % count[x]
         ok = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
-        return node[x[ok]], node[y[ok]], np.ones(ok.sum(), np.int64)
+        return node[x[ok]], node[y[ok]], np.ones(int(ok.sum()), np.int64)
 
     def pairs(node, comp, n, pos, level, rank):
         order = np.lexsort((node, n))
@@ -218,14 +225,14 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
             token = cols[0]
             if not len(token):
                 return None
-            ends = np.flatnonzero(np.concatenate((token[1:] != token[:-1], [True]))) + 1
-            got = []
-            for s, e in zip([0, *ends[:-1]], ends, strict=True):
-                if e - s > 1 and (cols[2][s:e] != cols[2][s]).any():
-                    part = [c[s:e] for c in cols[1:]]
-                    p = pairs(*part) if every else pivots(int(token[s]), *part)
-                    if p is not None:
-                        got.append(p)
+            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            length = np.diff(np.append(starts, len(token)))
+            mixed_runs = np.minimum.reduceat(cols[2], starts) < np.maximum.reduceat(cols[2], starts)
+            if every:
+                got = [p for s, e in zip(starts[mixed_runs], (starts + length)[mixed_runs], strict=True) if (p := pairs(*(c[s:e] for c in cols[1:]))) is not None]
+            else:
+                keep = np.repeat(mixed_runs, length)
+                got = [pivots(*(c[keep] for c in cols))] if keep.any() else []
             if not got:
                 return None
             x, y, level = (np.concatenate(c) for c in zip(*got, strict=True))
@@ -263,6 +270,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt by ``key``: joins on it don't shuffle it again."""
+    spark = df.sparkSession
+    n, name = shuffle_width(spark), f"strata_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/strata/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def set_bytes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_doc = Window.partitionBy("node").orderBy("pos")
     runs = staged(seen.withColumn("rank", (F.row_number().over(by_doc) - 1).cast("long")), "runs_of_sets")
     wanted = staged(runs.select(F.col("node").alias("doc_id")).distinct(), "wanted")
-    sets = staged(set_bytes(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    sets = bucketed(set_bytes(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "node")
 
     comp = None
     for round_ in range(PIVOT_ROUNDS + 1):

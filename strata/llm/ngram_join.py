@@ -2,8 +2,8 @@
 
 Tokens (hashed shingles) have one global order: those found frequent by a counting pass come
 last, the rest in hash order. Two sets of Jaccard similarity t or more share at least l of the
-first ``n - ceil(t n) + l`` tokens of each, for every l. Each document chooses its own l from 1
-to 4: a longer prefix costs more index entries, but l shared prefix tokens are then asked for,
+first ``n - ceil(t n) + l`` tokens of each, for every l. Each document chooses its own l of at
+most LEVELS: a longer prefix costs more index entries, but l shared prefix tokens are then asked for,
 which drops candidates; the estimate uses the counted frequencies, so only documents full of
 common passages lengthen their prefix.
 
@@ -46,9 +46,10 @@ from .shingles import mixed, shingle_set
 FREQUENT = 65_536
 #: Documents of one task that must share a shingle before the task reports it.
 LOCAL_MIN = 8
-LEVELS = 4
-#: Cost of verifying a candidate against that of reading a posting.
-VERIFY = 16
+LEVELS = 24
+#: Cost of verifying a candidate against that of reading a posting; the share of prefix tokens
+#: that is taken to have company beyond what was counted.
+VERIFY, COMPANY = 64, 0.05
 BLOCK = 8_192
 MEMBERS, BEST, PIVOT_ROUNDS, RUNS = 4, 2, 3, 64
 U = np.uint64
@@ -96,15 +97,22 @@ def summarise(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, key long, n long, c1 long, c2 long")
 
 
+def base_level(n):
+    """The l of least estimated cost for a set of n tokens of unknown frequency; grows with n."""
+    return np.clip(np.sqrt(VERIFY * COMPANY / 4 * np.asarray(n)).astype(np.int64), 1, np.minimum(LEVELS, -(-3 * np.asarray(n) // 4)))
+
+
 def chosen_level(df: np.ndarray, n: int) -> int:
-    """The l with the least estimated cost; df: document frequencies in the global order."""
+    """The l of least estimated cost, ``base_level`` at least; df: counted frequencies in the global order."""
     least = -(-3 * n // 4)
-    cost = [df[: n - least + m].sum() + VERIFY * (df[: n - least + m] - 1).sum() / m for m in range(1, min(LEVELS, least) + 1)]
-    return int(np.argmin(cost)) + 1
+    low = int(base_level(n))
+    total, met = np.cumsum(df), np.cumsum(df - 1 + COMPANY)
+    p = n - least + np.arange(low, min(LEVELS, least) + 1) - 1
+    return low + int(np.argmin(total[p] + VERIFY * met[p] / np.arange(low, low + len(p))))
 
 
 def prefix_postings(docs: DataFrame, k: int, tokens: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
-    """Packed postings (token, doc, position << 3 | l) per bucket of tokens."""
+    """Packed postings (token, doc, position << 5 | l) per bucket of tokens."""
     table = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +136,7 @@ def prefix_postings(docs: DataFrame, k: int, tokens: np.ndarray, counts: np.ndar
                 if not n or (d := blake2b(h.tobytes(), digest_size=16).digest()) in seen:
                     continue
                 seen.add(d)
-                level = 1
+                level = int(base_level(n))
                 count = np.zeros(n, np.int64)
                 if len(tokens):
                     i = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
@@ -138,7 +146,7 @@ def prefix_postings(docs: DataFrame, k: int, tokens: np.ndarray, counts: np.ndar
                         h, count = h[order], count[order]
                         level = chosen_level(np.maximum(count, 1), n)
                 p = min(n, max(n - -(-3 * n // 4) + level, n - -(-6 * n // 7) + LEVELS))
-                at = (np.arange(p, dtype=np.uint32) << 3) | level
+                at = (np.arange(p, dtype=np.uint32) << 5) | level
                 h, count = h[:p], count[:p]
                 if (count > BLOCK).any():
                     more = []
@@ -169,7 +177,7 @@ def shared_runs(postings: DataFrame) -> DataFrame:
         h, doc, at = h[order], doc[order], at[order]
         same = h[1:] == h[:-1]
         keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        return pa.table({"token": long_of(h[keep]), "doc_id": doc[keep], "pos": (at[keep] >> 3).astype(np.int64), "level": (at[keep] & 7).astype(np.int64)})
+        return pa.table({"token": long_of(h[keep]), "doc_id": doc[keep], "pos": (at[keep] >> 5).astype(np.int64), "level": (at[keep] & 31).astype(np.int64)})
 
     return postings.groupBy("bucket").applyInArrow(run, "token long, doc_id long, pos long, level long")
 
@@ -180,12 +188,12 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
     every: all pairs that pass the filters, x the larger one; else pivots only.
     """
 
-    def pivots(token, node, comp, n):
+    def pivots(token, node, comp, n, level):
         """All lists at once: each row outside its list's main component meets MEMBERS rows inside."""
         run = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
         mix = mixed(comp.view(U) + (token & 3).view(U)) >> U(1)
         order = np.lexsort((node, comp, run))
-        run, comp, node, n, token, mix = (v[order] for v in (run, comp, node, n, token, mix))
+        run, comp, node, n, level, token, mix = (v[order] for v in (run, comp, node, n, level, token, mix))
         first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (comp[1:] != comp[:-1]))))
         size = np.diff(np.append(first, len(run)))
         best = np.lexsort((mix[first], -size, run[first]))
@@ -197,7 +205,7 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
         j = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
         y = at[x] + (np.abs(token[x]) % count[x] + j * (count[x] // np.repeat(m, m))) % count[x]
         ok = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
-        return node[x[ok]], node[y[ok]], np.ones(int(ok.sum()), np.int64)
+        return node[x[ok]], node[y[ok]], level[x[ok]]
 
     def pairs(node, comp, n, pos, level, rank):
         order = np.lexsort((node, n))
@@ -218,7 +226,7 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "node", "comp", "n"] + (["pos", "level", "rank"] if every else [])
+        names = ["token", "node", "comp", "n", "level"] if not every else ["token", "node", "comp", "n", "pos", "level", "rank"]
         rest = [np.zeros(0, np.int64)] * len(names)
 
         def found(cols):
@@ -305,7 +313,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = runs.join(at, "doc_id").select("token", "node", "n", "pos", "level").dropDuplicates(["token", "node"])
     by_doc = Window.partitionBy("node").orderBy("pos")
     runs = staged(seen.withColumn("rank", (F.row_number().over(by_doc) - 1).cast("long")), "runs_of_sets")
-    wanted = staged(runs.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    # x of a pair has n and so base_level at least as large as y: fewer shared tokens than its own
+    # base_level rule a document out of all pairs
+    enough = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.ceil(F.col("n") * 0.75), F.floor(F.sqrt(F.lit(VERIFY * COMPANY / 4) * F.col("n")))))
+    able = runs.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= enough)
+    wanted = staged(able.select(F.col("node").alias("doc_id")), "wanted")
+    runs = staged(runs.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "runs_of_wanted")
     sets = bucketed(set_bytes(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "node")
 
     comp = None
@@ -315,8 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = candidate_pairs(now, every).groupBy("x", "y").agg(F.max("level").alias("level"), F.sum("c").alias("c"))
         if every:
             pairs = pairs.filter("c >= level")
-        else:
-            pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("k") <= BEST)
+        else:  # a list's pivot is one of about four, so a pair meets in about a quarter of its tokens
+            pairs = pairs.filter("4 * c >= level").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("k") <= BEST)
         links = staged(verified(staged(pairs.select("x", "y"), "pairs"), sets), "links")
         if comp is None:
             comp = components(links)

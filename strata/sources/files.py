@@ -65,4 +65,4 @@ def feature_specs(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append((path, str(x["feature"]), x.get("description"), as_list(x.get("affected_endpoints")), as_list(x.get("affected_models")), as_list(x.get("pattern")), None if x.get("sprint") is None else str(x["sprint"]), as_list(x.get("tags"))))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FEATURE.split(", ")])
 
-    return spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, FEATURE)
+    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, FEATURE)

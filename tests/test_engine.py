@@ -25,7 +25,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("name", ["f3_bm25_top10", "g2_degrees", "d2_duplicate_groups", "w1_growth", "j21_snapshot_diff", "c2_contracts", "b1_retrieval_metrics"])
+@pytest.mark.parametrize("name", ["f3_bm25_top10", "g2_degrees", "d2_duplicate_groups", "w1_growth", "j21_snapshot_diff", "c2_contracts", "b1_retrieval_metrics", "p6_module_of_file", "a18_feature_arcs", "j7_registry_merge", "c13_alerts", "c3_unmatched", "a21_majority"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

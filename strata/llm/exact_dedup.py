@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged, without
+from .common import hex_of, id_and_text, staged
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -73,13 +73,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` with one row of each group of equal texts; repeated rows collapse to one.
 
-    Rows that repeat the winner's id as well as its text are told apart by a leaf-local row
-    number, taken only over ids that occur more than once.
+    Rows are addressed by id and text together, null ids included, so a dropped copy never takes
+    another text of the same id with it. Null and empty text are one text.
     """
     found = exact_duplicates(docs, id_col, text_col, keep)
-    kept = without(docs, found.filter(~F.col("kept")).select("doc_id"), id_col)
-    again = staged(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    sha = hex_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    address = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")]
+    at = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__of"))
+    kept = docs.join(staged(found.filter(~F.col("kept")).select(*address), "copies"), at, "left_anti")
+    again = staged(found.filter("kept").groupBy(*address).count().filter("count > 1").select("__id", "__of"), "repeated")
     if again.isEmpty():
         return kept
-    repeated = kept.join(again.select(F.col("doc_id").alias("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return without(kept, again, id_col).unionByName(repeated.dropDuplicates([id_col, text_col]))
+    repeated = kept.join(again, at, "left_semi").withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    return kept.join(again, at, "left_anti").unionByName(repeated)

@@ -14,8 +14,12 @@ entries meet and only those with company stay. (3) Pivot rounds: in every token'
 documents outside the list's largest component are compared with a few of its members, so a
 group of g near copies joins up with O(g) comparisons. (4) The exhaustive round lists all pairs
 of documents that are still in different components and share l prefix tokens, with length and
-positional filters, and verifies each; so no link between components is lost. Pairs inside a
-component are never needed. Verification compares whole sets.
+positional filters and a bitmap filter, and verifies each; so no link between components is
+lost. Pairs inside a component are never needed. Verification compares whole sets.
+
+Bitmap filter: each set has BITS bits, a bit being the parity of the tokens that fall on it. The
+bits that differ between two sets are at most the tokens that only one of them has, and a link
+leaves at most a seventh of both sizes; so a pair with more differing bits is no link.
 
 The order of frequent tokens is only an estimate and affects cost, not results. Lists of more
 than ``BLOCK`` expected entries are dealt into blocks that meet pairwise.
@@ -52,6 +56,8 @@ LEVELS = 24
 VERIFY, COMPANY = 64, 0.05
 BLOCK = 8_192
 MEMBERS, BEST, PIVOT_ROUNDS, RUNS = 4, 2, 3, 64
+BITS = 256
+BIT_COLS = [f"b{i}" for i in range(BITS // 64)]
 U = np.uint64
 
 
@@ -185,7 +191,7 @@ def shared_runs(postings: DataFrame) -> DataFrame:
 def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
     """Pairs (x, y, level, c) of different components from lists sorted by token.
 
-    every: all pairs that pass the filters, x the larger one; else pivots only.
+    every: all pairs that pass the filters, x the larger one, with BIT_COLS in runs; else pivots only.
     """
 
     def pivots(token, node, comp, n, level):
@@ -207,9 +213,10 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
         ok = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
         return node[x[ok]], node[y[ok]], level[x[ok]]
 
-    def pairs(node, comp, n, pos, level, rank):
+    def pairs(node, comp, n, pos, level, rank, *bits):
         order = np.lexsort((node, n))
         node, comp, n, pos, level, rank = (v[order] for v in (node, comp, n, pos, level, rank))
+        bits = np.stack(bits)[:, order]
         lx = pos - (n - -(-3 * n // 4)) + 1  # the least l whose probing prefix holds the token
         ly = pos - (n - -(-6 * n // 7)) + 1  # the same for the indexing prefix
         out = []
@@ -221,12 +228,14 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
             need = -(-3 * (n[i] + n[y]) // 7)
             most = np.minimum(rank[i], rank[y]) + 1 + np.minimum(n[i] - pos[i], n[y] - pos[y]) - 1
             y = y[(comp[y] != comp[i]) & (ly[y] <= level[i]) & (most >= need)]
+            if len(y):
+                y = y[7 * np.bitwise_count(bits[:, y] ^ bits[:, i : i + 1]).sum(axis=0, dtype=np.int64) <= n[i] + n[y]]
             if len(y):
                 out.append((np.full(len(y), node[i]), node[y], np.full(len(y), level[i])))
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "node", "comp", "n", "level"] if not every else ["token", "node", "comp", "n", "pos", "level", "rank"]
+        names = ["token", "node", "comp", "n", "level"] if not every else ["token", "node", "comp", "n", "pos", "level", "rank", *BIT_COLS]
         rest = [np.zeros(0, np.int64)] * len(names)
 
         def found(cols):
@@ -286,12 +295,22 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """The bitmap of a set as 64-bit words."""
+    odd = (np.bincount((h >> U(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def set_bytes(docs: DataFrame, k: int) -> DataFrame:
+    """node, members and bitmap of each document's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "members"])
+            sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
+            bits = np.array([parities(h) for h in sets], np.int64).reshape(len(sets), len(BIT_COLS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "members", *BIT_COLS])
 
-    return docs.mapInArrow(run, "node long, members binary")
+    return docs.mapInArrow(run, f"node long, members binary, {', '.join(f'{c} long' for c in BIT_COLS)}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -325,6 +344,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for round_ in range(PIVOT_ROUNDS + 1):
         every = round_ == PIVOT_ROUNDS
         now = runs.withColumn("comp", F.col("node")) if comp is None else runs.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        if every:
+            now = now.join(sets.select("node", *BIT_COLS), "node")
         pairs = candidate_pairs(now, every).groupBy("x", "y").agg(F.max("level").alias("level"), F.sum("c").alias("c"))
         if every:
             pairs = pairs.filter("c >= level")

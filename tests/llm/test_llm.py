@@ -239,3 +239,15 @@ def test_pipeline_takes_effect(spark, tmp_path):
     ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     assert 8 not in ids and 7 in ids and sum(i in ids for i in range(14, 26)) == 1
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_bitmaps_keep_links():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40, 300, 3000):
+        for drop in (0, n // 9, n // 7, n // 4):
+            base = np.unique(rng.integers(0, 2**63, n + drop).astype(np.uint64))
+            a, b = base[: len(base) - drop], base[drop:]
+            differ = int(np.bitwise_count(ngram_join.parities(a) ^ ngram_join.parities(b)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+            if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
+                assert 7 * differ <= len(a) + len(b)

@@ -271,6 +271,13 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
     return by_token.mapInArrow(run, "x long, y long, level long, c long")
 
 
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that the bitmaps don't rule out; only bitmaps travel, no sets."""
+    end = lambda e: sets.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), *(F.col(c).alias(f"{c}{e}") for c in BIT_COLS))
+    differ = sum((F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in BIT_COLS), F.lit(0))
+    return pairs.join(end("x"), "x").join(end("y"), "y").filter(7 * differ <= F.col("nx") + F.col("ny")).select("x", "y")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets reach the threshold: 100 |x & y| >= 75 |x | y|."""
 
@@ -302,15 +309,15 @@ def parities(h: np.ndarray) -> np.ndarray:
 
 
 def set_bytes(docs: DataFrame, k: int) -> DataFrame:
-    """node, members and bitmap of each document's set."""
+    """node, size, members and bitmap of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
             bits = np.array([parities(h) for h in sets], np.int64).reshape(len(sets), len(BIT_COLS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "members", *BIT_COLS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "n", "members", *BIT_COLS])
 
-    return docs.mapInArrow(run, f"node long, members binary, {', '.join(f'{c} long' for c in BIT_COLS)}")
+    return docs.mapInArrow(run, f"node long, n long, members binary, {', '.join(f'{c} long' for c in BIT_COLS)}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -351,7 +358,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.filter("c >= level")
         else:  # a list's pivot is one of about four, so a pair meets in about a quarter of its tokens
             pairs = pairs.filter("4 * c >= level").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("k") <= BEST)
-        links = staged(verified(staged(pairs.select("x", "y"), "pairs"), sets), "links")
+        pairs = staged(pairs.select("x", "y"), "pairs")
+        if not every:  # the exhaustive round has looked at the bitmaps
+            pairs = staged(plausible(pairs, sets), "plausible")
+        links = staged(verified(pairs, sets), "links")
         if comp is None:
             comp = components(links)
         elif not links.isEmpty():

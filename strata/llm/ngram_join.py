@@ -216,7 +216,7 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
     def pairs(node, comp, n, pos, level, rank, *bits):
         order = np.lexsort((node, n))
         node, comp, n, pos, level, rank = (v[order] for v in (node, comp, n, pos, level, rank))
-        bits = np.stack(bits)[:, order]
+        bits = np.stack(bits)[:, order].view(U)  # bitwise_count takes the absolute value of signed integers
         lx = pos - (n - -(-3 * n // 4)) + 1  # the least l whose probing prefix holds the token
         ly = pos - (n - -(-6 * n // 7)) + 1  # the same for the indexing prefix
         out = []
@@ -303,9 +303,9 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """The bitmap of a set as 64-bit words."""
+    """The bitmap of a set as unsigned 64-bit words."""
     odd = (np.bincount((h >> U(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    return np.packbits(odd).view(U)
 
 
 def set_bytes(docs: DataFrame, k: int) -> DataFrame:
@@ -314,7 +314,7 @@ def set_bytes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
-            bits = np.array([parities(h) for h in sets], np.int64).reshape(len(sets), len(BIT_COLS))
+            bits = np.array([parities(h) for h in sets], U).reshape(len(sets), len(BIT_COLS)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "n", "members", *BIT_COLS])
 
     return docs.mapInArrow(run, f"node long, n long, members binary, {', '.join(f'{c} long' for c in BIT_COLS)}")

@@ -66,7 +66,7 @@ def luhn(d: Column) -> Column:
 
 def valid(kind: int, m: Column) -> Column:
     if kind == 1:
-        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.right(p, F.lit(3)).cast("int"), F.lit(999)) <= 255))
+        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.right(p, F.lit(3)).cast("int"), F.lit(999)) <= 255))
     if kind == 2:
         d = digits(m)
         return (F.length(d) <= 19) & luhn(d)

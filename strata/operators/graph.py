@@ -95,11 +95,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float
     return rank.crossJoin(F.broadcast(rank.agg(F.max("rank").alias("top")))).select("id", (F.col("rank") / F.col("top")).alias("rank"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes reached from roots; one join per step, staged, until nothing new comes."""
     edges = staged(edges.select("src", "dst"), "edges")
     seen = front = staged(roots.select("id").distinct(), "front")
-    for _ in range(most):
+    while True:
         front = staged(edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
         if front.isEmpty():
             break

@@ -17,7 +17,7 @@ import numpy as np
 PLAIN = bytes(b for b in [*range(0x00, 0x1C), *range(0x20, 0x80), 0xC3, *range(0x80, 0xC0)])
 MARKS = ".,!?;:%$#*&|()[]{}\"=+@/\\<>~^_`-"
 #: Words kept per Python worker, some 200 bytes each.
-CACHE = 800_000
+CACHE = 250_000
 #: Words with marks at their end are kept up to this length.
 SHORT = 9
 
@@ -50,7 +50,7 @@ class WordEncoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(MARKS)
-        if word and len(word) < len(chunk):
+        if word and len(word) < len(chunk) and word[-1].isalnum():  # else the marks belong to the piece before
             ids = self[word] + self[chunk[len(word) :]]
             if len(chunk) <= SHORT and len(self) < CACHE:
                 self[chunk] = ids

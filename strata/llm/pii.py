@@ -12,7 +12,7 @@ column expression.
 Base spans (valid matches of the four base patterns) always stay; the classifier can only add
 spans. Offsets are code points, ends exclusive.
 
-Defined cases: a null or empty text has no spans; repeated rows are each returned; spans that
+Defined cases: a null or empty text has no spans; null ids and repeated rows are each returned; spans that
 start together are ordered as email, ip, card, phone, secret; an empty table gives an empty
 result; further columns are ignored by the finder and kept by the redactor. The patterns are
 written without backtracking over repeated groups, so very long texts take linear time.
@@ -21,6 +21,7 @@ written without backtracking over repeated groups, so very long texts take linea
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = 4
 #: 5 kinds x 3 votes of 3 labelers x 2 origins x 4 lengths x 2 borders.
 PATTERNS = 5 * 27 * 16
+#: Spans that are handled together in a text.
+BLOCK = 256
 
 # (kind, pattern, text that must occur, is it a base pattern)
 FINDERS = [
@@ -104,16 +107,31 @@ def context_vote(kind: int, before: Column) -> Column:
     return vote(near.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})"), near.rlike("|".join(AGAINST)))
 
 
-def next_span(kind: int, base: bool):
-    """The step that turns the next (text before, match) into a span behind those so far."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a plain expression would be computed anew inside each lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc: Column, x: Column) -> Column:
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of a non-empty array of integers of 0 or more, by blocks, as arrays grow by copying."""
+    last = lambda x: F.coalesce(F.get(x, F.size(x) - 1), F.lit(0))
+    grown = lambda acc, v: F.concat(acc, F.array(merge(last(acc), v)))
+    none = F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), none, grown))
+    totals = lambda bs: F.aggregate(bs, none, lambda acc, b: grown(acc, last(b)))
+    moved = lambda bs, ts: F.flatten(F.transform(bs, lambda b, i: F.transform(b, lambda v: merge(F.coalesce(F.get(ts, i - 1), F.lit(0)), v))))
+    return let(blocks, lambda bs: let(totals(bs), lambda ts: moved(bs, ts)))
+
+
+def spans_of(kind: int, base: bool, pairs: Column) -> Column:
+    """The spans of consecutive (text before, match) pairs."""
+
+    def span(x: Column, end: Column) -> Column:
         m, before = x["m"], x["p"]
-        start = acc["at"] + F.length(before)
-        span = F.struct(
+        return F.struct(
             F.lit(kind).alias("kind"),
-            start.alias("start"),
-            (start + F.length(m)).alias("end"),
+            (end - F.length(m)).alias("start"),
+            end.alias("end"),
             (valid(kind, m) if base else F.lit(False)).alias("base"),
             regex_vote(kind, m, base).cast("int").alias("r"),
             gazetteer_vote(kind, m).cast("int").alias("g"),
@@ -122,9 +140,9 @@ def next_span(kind: int, base: bool):
             F.when(F.length(m) < 12, 0).when(F.length(m) < 20, 1).when(F.length(m) < 40, 2).otherwise(3).alias("size"),
             F.when(before.rlike(r"(?:^|\W)$"), 1).otherwise(0).alias("border"),
         )
-        return F.struct((start + F.length(m)).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return step
+    ends = lambda ps: running(F.transform(ps, lambda x: F.length(x["p"]) + F.length(x["m"])), lambda a, b: a + b)
+    return let(pairs, lambda ps: let(ends(ps), lambda es: F.transform(ps, lambda x, i: span(x, F.get(es, i)))))
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text", to: str = "candidates") -> DataFrame:
@@ -144,8 +162,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text", to: str = "candidat
         kinds = "array<struct<kind:int,start:int,end:int,base:boolean,r:int,g:int,c:int,origin:int,size:int,border:int>>"
         empty = F.array().cast(kinds)
         pairs = F.zip_with(F.slice(f"__p{k}", F.lit(1), F.size(f"__m{k}")), F.col(f"__m{k}"), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-        spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), next_span(kind, base), lambda acc: acc["out"])
-        found.append(F.when(F.size(f"__m{k}") > 0, spans).otherwise(empty))
+        found.append(F.when(F.size(f"__m{k}") > 0, spans_of(kind, base, pairs)).otherwise(empty))
     return out.withColumn(to, F.concat(*found)).drop(*(f"__{x}{k}" for k in range(len(FINDERS)) for x in "mp"))
 
 
@@ -243,22 +260,30 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each run of overlapping spans replaced by its first kind in brackets."""
+    """``text`` with each run of overlapping spans (by start) replaced by its first kind in brackets.
+
+    A substring is found by walking from the start of a text, so blocks of spans walk in their own part.
+    """
     name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k + 1)
 
-    def step(acc: Column, s: Column) -> Column:
-        ahead = s["start"] >= acc["at"]
-        past = s["end"] > acc["at"]
-        shown = F.array(acc["rest"].substr(F.lit(1), s["start"] - acc["at"]), name(s["kind"]))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(past, acc["rest"].substr(s["end"] - acc["at"] + 1, F.length(acc["rest"]))).otherwise(acc["rest"]).alias("rest"),
-            F.when(ahead, F.concat(acc["parts"], shown)).otherwise(acc["parts"]).alias("parts"),
-        )
+    def block(sp: Column, ends: Column, b: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        first, last = b * BLOCK, F.least((b + 1) * BLOCK, F.size(sp)) - 1
+        low = before(first)
+        part = text.substr(low + 1, F.greatest(F.get(sp, last)["start"] - low, F.lit(0)))
+
+        def shown(x: Column, seg: Column) -> Column:
+            s, at = F.get(sp, x), before(x)
+            return F.when(s["start"] >= at, F.concat(seg.substr(at - low + 1, s["start"] - at), name(s["kind"]))).otherwise("")
+
+        return let(part, lambda seg: F.array_join(F.transform(F.sequence(first, last), lambda x: shown(x, seg)), ""))
+
+    def whole(sp: Column, ends: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sp) - 1) / BLOCK).cast("int")), lambda b: block(sp, ends, b))
+        return F.concat(F.array_join(blocks, ""), text.substr(F.get(ends, F.size(ends) - 1) + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), acc["rest"]))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    reach = lambda sp: running(F.transform(sp, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) > 0, let(spans, lambda sp: let(reach(sp), lambda ends: whole(sp, ends)))).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder of this process takes its place.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset on a local master
+    (tests on one machine) a temporary folder of this process takes its place.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="strata-")
@@ -33,7 +36,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strata/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -45,10 +57,19 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (one column ``doc_id``); all columns stay."""
-    gone = ids.select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+def row_key(id_col: str | Column = "doc_id", text_col: str | Column = "text") -> Column:
+    """A 64-bit key of a row's id and text, null text as empty: with the id it addresses a row."""
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.xxhash64(as_col(id_col).cast("long"), F.coalesce(as_col(text_col).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows named by ``rows`` (doc_id, at: their row key); all columns stay.
+
+    Null ids are addressed as well, and another text of the same id is left alone.
+    """
+    gone = rows.select(F.col("doc_id").alias("__gone_id"), F.col("at").alias("__gone_at"))
+    return docs.join(gone, (row_key(id_col, text_col) == F.col("__gone_at")) & F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
 
 
 def bounded_rows(df: DataFrame, bound: int) -> list:

@@ -7,10 +7,11 @@ most LEVELS: a longer prefix costs more index entries, but l shared prefix token
 which drops candidates; the estimate uses the counted frequencies, so only documents full of
 common passages lengthen their prefix.
 
-Data flow. (1) One pass gives each document's set size, a 128-bit digest of its set and the
-shingles that are frequent in its task; equal sets form classes by the tree-merge of exact
-deduplication. (2) A second pass sends prefix postings, packed per token bucket; a token's
-entries meet and only those with company stay. (3) Pivot rounds: in every token's list,
+Data flow. (1) One pass gives each document's set size, a 64-bit name of its set with 64 bits to
+check it (a clash names all sets anew) and the shingles that are frequent in its task; documents
+of equal sets are one node from there on. (2) A second pass sends prefix postings, packed per token
+bucket (their number follows from the measured sizes); a token's entries meet and only those with
+company stay, each node once. (3) Pivot rounds: in every token's list,
 documents outside the list's largest component are compared with a few of its members, so a
 group of g near copies joins up with O(g) comparisons. (4) The exhaustive round lists all pairs
 of documents that are still in different components and share l prefix tokens, with length and
@@ -19,15 +20,18 @@ lost. Pairs inside a component are never needed. Verification compares whole set
 
 Bitmap filter: each set has BITS bits, a bit being the parity of the tokens that fall on it. The
 bits that differ between two sets are at most the tokens that only one of them has, and a link
-leaves at most a seventh of both sizes; so a pair with more differing bits is no link.
+leaves at most a seventh of both sizes; so a pair with more differing bits is no link. Lists carry
+BITS bits; pairs found are looked up again by WIDE bits, which still tell large sets apart.
 
 The order of frequent tokens is only an estimate and affects cost, not results. Lists of more
 than ``BLOCK`` expected entries are dealt into blocks that meet pairwise.
 
 Defined cases: null and empty texts and texts without words have no shingles, link with
-nothing and are their own component; fewer than five words are one shingle; rows with the same
-id and text are one node, each row is returned; ties of pivots go to the smaller id; an empty
-table gives an empty result; further columns are ignored.
+nothing and are their own component; fewer than five words are one shingle; every row is returned,
+repeated rows too; rows of one id and different texts are nodes of their own; null ids count as
+larger than all others, so a component's id is null only if all its ids are; an empty
+table gives an empty result; further columns are ignored. The filter keeps a component's row of the
+smallest id, once, and all texts without words.
 """
 
 from __future__ import annotations
@@ -41,9 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, id_and_text, shared_dir, shuffle_width, staged, without
+from .common import bounded_rows, discard, id_and_text, row_key, shared_dir, shuffle_width, staged, without
 from .components import components
-from .exact_dedup import tree_merge
 from .shingles import mixed, shingle_set
 
 #: Frequent shingles that get a place at the end of the order: the bound of what is broadcast.
@@ -55,8 +58,14 @@ LEVELS = 24
 #: that is taken to have company beyond what was counted.
 VERIFY, COMPANY = 64, 0.05
 BLOCK = 8_192
-MEMBERS, BEST, PIVOT_ROUNDS, RUNS = 4, 2, 3, 64
-BITS = 256
+MEMBERS, BEST, PIVOT_ROUNDS = 6, 6, 3
+#: Places for the lists of one home, and rows of a home that a task holds at once.
+PARTS, HELD = 2, 400_000
+#: Postings of a bucket on average; names of sets that a task keeps in mind.
+BUCKET, SEEN = 300_000, 100_000
+#: Copies of a group's row for a join with its sets; sets with more than one in MANY rows are hot.
+SALTS, MANY = 16, 1_000
+BITS, WIDE = 256, 2_048
 BIT_COLS = [f"b{i}" for i in range(BITS // 64)]
 U = np.uint64
 
@@ -65,42 +74,58 @@ def long_of(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def summarise(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: doc_id, set size and digest of each row; kind 1: a frequent token and its local count."""
+def set_key(h: np.ndarray, salt: int) -> tuple[int, int]:
+    """A set's name in this run, and 64 further bits that tell whether names clash."""
+    d = blake2b(h.tobytes(), digest_size=16, key=bytes([salt])).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+class Seen(set):
+    """Names of sets that a task has met; only saves work, so it may forget."""
+
+    def new(self, name: int) -> bool:
+        if name in self:
+            return False
+        if len(self) >= SEEN:
+            self.clear()
+        self.add(name)
+        return True
+
+
+def summarise(docs: DataFrame, k: int, salt: int) -> DataFrame:
+    """kind 0: doc_id, row key, size, name and check of each row's set; kind 1: a frequent token and its local count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "key", "n", "c1", "c2"]
-        seen, held, size = set(), [], 0
+        names = ["kind", "key", "at", "n", "node", "check"]
+        seen, held, size = Seen(), [], 0
 
         def frequent():
             h = np.concatenate(held)
-            slot = (h & U(2**22 - 1)).astype(np.int64)
-            u, c = np.unique(h[np.bincount(slot, minlength=2**22)[slot] >= LOCAL_MIN], return_counts=True)
+            slot = (h & U(2**20 - 1)).astype(np.int32)
+            u, c = np.unique(h[np.bincount(slot, minlength=2**20)[slot] >= LOCAL_MIN], return_counts=True)
             u, c = u[c >= LOCAL_MIN], c[c >= LOCAL_MIN]
-            z = np.zeros(len(u), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32) + 1, pa.int32()), long_of(u), pa.array(c), pa.array(z), pa.array(z)], names=names)
+            z = pa.array(np.zeros(len(u), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), long_of(u), z, pa.array(c), z, z], names=names)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            n, c1, c2 = [], [], []
-            for doc, text in zip(ids, batch.column(1), strict=True):
+            n, node, check = [], [], []
+            for text in batch.column(2):
                 h = shingle_set(text.as_py(), k)
-                d = blake2b(h.tobytes(), digest_size=16).digest()
+                name, more = set_key(h, salt) if len(h) else (0, 0)
                 n.append(len(h))
-                c1.append(int.from_bytes(d[:8], "little", signed=True) if len(h) else doc or 0)
-                c2.append(int.from_bytes(d[8:], "little", signed=True) if len(h) else 0)
-                if len(h) and d not in seen:
-                    seen.add(d)
+                node.append(name)
+                check.append(more)
+                if len(h) and seen.new(name):
                     held.append(h)
                     size += len(h)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield frequent()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, node, check))], names=names)
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, key long, n long, c1 long, c2 long")
+    return docs.mapInArrow(run, "kind int, key long, at long, n long, node long, check long")
 
 
 def base_level(n):
@@ -117,31 +142,30 @@ def chosen_level(df: np.ndarray, n: int) -> int:
     return low + int(np.argmin(total[p] + VERIFY * met[p] / np.arange(low, low + len(p))))
 
 
-def prefix_postings(docs: DataFrame, k: int, tokens: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
-    """Packed postings (token, doc, position << 5 | l) per bucket of tokens."""
+def prefix_postings(docs: DataFrame, k: int, salt: int, tokens: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
+    """Packed postings (token, node, set size << 32 | position << 5 | l) per bucket of tokens."""
     table = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = table.value
-        seen, held, size = set(), [], 0
+        seen, held, size = Seen(), [], 0
 
         def packed():
-            h, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, node, at = (np.concatenate(x) for x in zip(*held, strict=True))
             b = (h >> U(20)) % U(buckets)
             order = np.argsort(b, kind="stable")
-            h, doc, at, b = h[order], doc[order], at[order], b[order]
+            h, node, at, b = h[order], node[order], at[order], b[order]
             ends = np.flatnonzero(np.concatenate((b[1:] != b[:-1], [True]))) + 1
             starts = [0, *ends[:-1]]
             cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(b[starts].astype(np.int32)), cut(h), cut(doc), cut(at)], names=["bucket", "tokens", "docs", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(b[starts].astype(np.int32)), cut(h), cut(node), cut(at)], names=["bucket", "tokens", "nodes", "places"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(2):
                 h = shingle_set(text.as_py(), k)
                 n = len(h)
-                if not n or (d := blake2b(h.tobytes(), digest_size=16).digest()) in seen:
+                if not n or not seen.new(name := set_key(h, salt)[0]):
                     continue
-                seen.add(d)
                 level = int(base_level(n))
                 count = np.zeros(n, np.int64)
                 if len(tokens):
@@ -152,18 +176,18 @@ def prefix_postings(docs: DataFrame, k: int, tokens: np.ndarray, counts: np.ndar
                         h, count = h[order], count[order]
                         level = chosen_level(np.maximum(count, 1), n)
                 p = min(n, max(n - -(-3 * n // 4) + level, n - -(-6 * n // 7) + LEVELS))
-                at = (np.arange(p, dtype=np.uint32) << 5) | level
+                at = U(n) << U(32) | np.arange(p, dtype=U) << U(5) | U(level)
                 h, count = h[:p], count[:p]
                 if (count > BLOCK).any():
                     more = []
                     for j in np.flatnonzero(count > BLOCK):
                         parts = -(-int(count[j]) // BLOCK)
-                        own = int(mixed(np.array([doc], np.int64).view(U))[0]) % parts
+                        own = int(mixed(np.array([name], np.int64).view(U))[0]) % parts
                         pair = np.array([min(own, o) * parts + max(own, o) + 1 for o in range(parts)], U)
                         more.append((mixed(h[j] + pair * U(0x9E3779B97F4A7C15)), np.full(parts, at[j])))
                     keep = count <= BLOCK
                     h, at = np.concatenate([h[keep], *(x for x, _ in more)]), np.concatenate([at[keep], *(x for _, x in more)])
-                held.append((h, np.full(len(h), doc, np.int64), at.astype(np.uint32)))
+                held.append((h, np.full(len(h), name, np.int64), at))
                 size += len(h)
                 if size > 500_000:
                     yield packed()
@@ -171,35 +195,50 @@ def prefix_postings(docs: DataFrame, k: int, tokens: np.ndarray, counts: np.ndar
         if held:
             yield packed()
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, docs binary, places binary")
+    return docs.mapInArrow(run, "bucket int, tokens binary, nodes binary, places binary")
 
 
 def shared_runs(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that at least two documents have: token, doc_id, pos, level."""
+    """Postings of tokens that at least two sets have: token, home, node, n, pos, level; each once.
+
+    home is the least node of the token: tokens of one group of near copies mostly share it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        h, doc, at = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tokens", U), ("docs", np.int64), ("places", np.uint32)))
-        order = np.argsort(h, kind="stable")
-        h, doc, at = h[order], doc[order], at[order]
+        h, node, at = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tokens", U), ("nodes", np.int64), ("places", U)))
+        order = np.lexsort((node, h))
+        h, node, at = h[order], node[order], at[order]
+        once = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
+        h, node, at = h[once], node[once], at[once]
         same = h[1:] == h[:-1]
         keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        return pa.table({"token": long_of(h[keep]), "doc_id": doc[keep], "pos": (at[keep] >> 5).astype(np.int64), "level": (at[keep] & 31).astype(np.int64)})
+        h, node, at = h[keep], node[keep], at[keep]
+        first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+        home = node[first][np.cumsum(first) - 1]
+        return pa.table({"token": long_of(h), "home": home, "node": node, "n": (at >> U(32)).astype(np.int64), "pos": (at >> U(5) & U(2**27 - 1)).astype(np.int64), "level": (at & U(31)).astype(np.int64)})
 
-    return postings.groupBy("bucket").applyInArrow(run, "token long, doc_id long, pos long, level long")
+    return postings.groupBy("bucket").applyInArrow(run, "token long, home long, node long, n long, pos long, level long")
 
 
-def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
-    """Pairs (x, y, level, c) of different components from lists sorted by token.
+def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
+    """Pairs (x, y, level, c) of different components from the lists of tokens.
 
     every: all pairs that pass the filters, x the larger one, with BIT_COLS in runs; else pivots only.
+    Lists of one home are in one of PARTS places, so that a pair is told about PARTS times, not
+    once per shared token; a home's lists are as many as a prefix has tokens, of BLOCK sets or so.
     """
 
     def pivots(token, node, comp, n, level):
-        """All lists at once: each row outside its list's main component meets MEMBERS rows inside."""
+        """All lists at once: each row outside its list's main component meets MEMBERS rows inside.
+
+        Members stand on a ring by hash and a row meets those that follow its own hash, so it meets
+        the same ones in most of its lists, and others in the next round.
+        """
         run = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
         mix = mixed(comp.view(U) + (token & 3).view(U)) >> U(1)
-        order = np.lexsort((node, comp, run))
-        run, comp, node, n, level, token, mix = (v[order] for v in (run, comp, node, n, level, token, mix))
+        ring = mixed(node.view(U) + U(seed * 0x9E3779B97F4A7C15 % 2**64))
+        order = np.lexsort((ring, comp, run))
+        run, comp, node, n, level, token, mix, ring = (v[order] for v in (run, comp, node, n, level, token, mix, ring))
         first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (comp[1:] != comp[:-1]))))
         size = np.diff(np.append(first, len(run)))
         best = np.lexsort((mix[first], -size, run[first]))
@@ -209,7 +248,9 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
         m = np.minimum(MEMBERS, count[outside])
         x = np.repeat(outside, m)
         j = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-        y = at[x] + (np.abs(token[x]) % count[x] + j * (count[x] // np.repeat(m, m))) % count[x]
+        inside = np.flatnonzero(comp == comp[at])  # the main components, in order of list and ring
+        place = np.searchsorted(run[inside].astype(np.float64) + ring[inside] / 2.0**64, run[outside] + mixed(ring[outside]) / 2.0**64) - np.searchsorted(run[inside], run[outside])
+        y = at[x] + (np.repeat(place, m) + j) % count[x]
         ok = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
         return node[x[ok]], node[y[ok]], level[x[ok]]
 
@@ -235,10 +276,11 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "node", "comp", "n", "level"] if not every else ["token", "node", "comp", "n", "pos", "level", "rank", *BIT_COLS]
+        names = ["home", "token", "node", "comp", "n", "level"] if not every else ["home", "token", "node", "comp", "n", "pos", "level", "rank", *BIT_COLS]
         rest = [np.zeros(0, np.int64)] * len(names)
 
         def found(cols):
+            cols = cols[1:]
             token = cols[0]
             if not len(token):
                 return None
@@ -260,22 +302,33 @@ def candidate_pairs(runs: DataFrame, every: bool) -> DataFrame:
 
         for batch in batches:
             cols = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, names, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            new = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+            cut = int(new[-1]) + 1 if len(new) else 0  # whole homes, or whole tokens of a large one
+            if not cut and len(cols[0]) > HELD:
+                cut = int(np.searchsorted(cols[1], cols[1][-1]))
             rest = [c[cut:] for c in cols]
-            if (out := found([c[:cut] for c in cols])) is not None:
+            if cut and (out := found([c[:cut] for c in cols])) is not None:
                 yield out
         if (out := found(rest)) is not None:
             yield out
 
-    by_token = runs.repartition(shuffle_width(runs.sparkSession), "token").sortWithinPartitions("token")
-    return by_token.mapInArrow(run, "x long, y long, level long, c long")
+    at = runs.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int"))
+    together = at.repartition(shuffle_width(runs.sparkSession), "home", "part").sortWithinPartitions("part", "home", "token")
+    return together.mapInArrow(run, "x long, y long, level long, c long")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that the bitmaps don't rule out; only bitmaps travel, no sets."""
-    end = lambda e: sets.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), *(F.col(c).alias(f"{c}{e}") for c in BIT_COLS))
-    differ = sum((F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in BIT_COLS), F.lit(0))
-    return pairs.join(end("x"), "x").join(end("y"), "y").filter(7 * differ <= F.col("nx") + F.col("ny")).select("x", "y")
+    """The pairs that the wide bitmaps don't rule out; only bitmaps travel, no sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, WIDE // 64) for c in (3, 5))
+            keep = 7 * np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    end = lambda e: sets.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("wide").alias(f"w{e}"))
+    both = pairs.join(end("x"), "x").join(end("y"), "y")
+    return both.select("x", "y", "nx", "wx", "ny", "wy").mapInArrow(run, "x long, y long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,54 +351,54 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` as a table in the shared folder, dealt by ``key``: joins on it don't shuffle it again."""
     spark = df.sparkSession
     n, name = shuffle_width(spark), f"strata_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/strata/{name}").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/strata/{name}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.staged_at, out.table = path, name
+    return out
 
 
-def parities(h: np.ndarray) -> np.ndarray:
+def parities(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The bitmap of a set as unsigned 64-bit words."""
-    odd = (np.bincount((h >> U(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
+    odd = (np.bincount((h >> U(40)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(U)
 
 
-def set_bytes(docs: DataFrame, k: int) -> DataFrame:
-    """node, size, members and bitmap of each document's set."""
+def set_bytes(docs: DataFrame, k: int, salt: int) -> DataFrame:
+    """node, size, members and bitmaps of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
-            bits = np.array([parities(h) for h in sets], U).reshape(len(sets), len(BIT_COLS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "n", "members", *BIT_COLS])
+            for s in range(0, batch.num_rows, 500):
+                sets = [shingle_set(t.as_py(), k) for t in batch.column(2)[s : s + 500]]
+                bits = np.array([parities(h) for h in sets], U).reshape(len(sets), len(BIT_COLS)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(h, salt)[0] for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([parities(h, WIDE).tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "n", "members", "wide", *BIT_COLS])
 
-    return docs.mapInArrow(run, f"node long, n long, members binary, {', '.join(f'{c} long' for c in BIT_COLS)}")
+    return docs.mapInArrow(run, f"node long, n long, members binary, wide binary, {', '.join(f'{c} long' for c in BIT_COLS)}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (links: Jaccard of 0.75 or more)."""
-    spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col)
-    summary = staged(summarise(rows, k), "summary")
+def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int, salt: int) -> DataFrame:
+    """(node, component) of all sets that link with another one; component is one of its nodes."""
+    spark = rows.sparkSession
     common = bounded_rows(summary.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT), FREQUENT)
     tokens = np.array([r["key"] for r in common], np.int64).view(U)
     counts = np.array([r["n"] for r in common], np.int64)
     order = np.argsort(tokens)
 
-    each = summary.filter("kind = 0").select(F.col("key").alias("doc_id"), F.pmod(F.xxhash64("key"), F.lit(RUNS)).cast("int").alias("run"), F.col("c1").alias("digest"), F.col("n").alias("n_bytes"), F.col("c2").alias("check"))
-    nodes = staged(tree_merge(each, "smallest", RUNS).select("doc_id", F.col("n_bytes").alias("n"), F.col("keep_id").alias("node")), "nodes")
-
-    postings = prefix_postings(rows, k, tokens[order], counts[order], max(64, 2 * shuffle_width(spark)))
-    runs = staged(shared_runs(postings), "runs")
-    at = nodes.dropDuplicates(["doc_id"])
-    seen = runs.join(at, "doc_id").select("token", "node", "n", "pos", "level").dropDuplicates(["token", "node"])
-    by_doc = Window.partitionBy("node").orderBy("pos")
-    runs = staged(seen.withColumn("rank", (F.row_number().over(by_doc) - 1).cast("long")), "runs_of_sets")
+    total = classes.agg(F.sum("n")).first()[0] or 0  # a prefix is about a quarter of its set
+    postings = prefix_postings(rows, k, salt, tokens[order], counts[order], max(2 * shuffle_width(spark), total // (4 * BUCKET) + 1))
+    shared = staged(shared_runs(postings), "shared")
+    by_node = Window.partitionBy("node")
     # x of a pair has n and so base_level at least as large as y: fewer shared tokens than its own
-    # base_level rule a document out of all pairs
+    # base_level rule a set out of all pairs
     enough = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.ceil(F.col("n") * 0.75), F.floor(F.sqrt(F.lit(VERIFY * COMPANY / 4) * F.col("n")))))
-    able = runs.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= enough)
-    wanted = staged(able.select(F.col("node").alias("doc_id")), "wanted")
-    runs = staged(runs.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "runs_of_wanted")
-    sets = bucketed(set_bytes(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "node")
+    ranked = shared.withColumn("rank", (F.row_number().over(by_node.orderBy("pos")) - 1).cast("long")).withColumn("k", F.count(F.lit(1)).over(by_node))
+    runs = staged(ranked.filter(F.col("k") >= enough).drop("k"), "runs")
+    discard(shared)
+    wanted = classes.join(runs.filter("rank = 0").select("node").distinct(), "node", "left_semi")
+    wanted = staged(wanted.select(F.col("first.key").alias("doc_id"), F.col("first.at").alias("at")), "wanted")
+    some = rows.join(wanted.select("at"), "at", "left_semi").select("doc_id", "at", "text")  # copies of a row are a node twice, which repeats links
+    sets = bucketed(set_bytes(some, k, salt), "node")
 
     comp = None
     for round_ in range(PIVOT_ROUNDS + 1):
@@ -353,15 +406,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now = runs.withColumn("comp", F.col("node")) if comp is None else runs.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
         if every:
             now = now.join(sets.select("node", *BIT_COLS), "node")
-        pairs = candidate_pairs(now, every).groupBy("x", "y").agg(F.max("level").alias("level"), F.sum("c").alias("c"))
+        pairs = candidate_pairs(now, every, round_).groupBy("x", "y").agg(F.max("level").alias("level"), F.sum("c").alias("c"))
         if every:
             pairs = pairs.filter("c >= level")
-        else:  # a list's pivot is one of about four, so a pair meets in about a quarter of its tokens
+        else:  # a list's pivots are some of a few, so a pair meets in about a quarter of its tokens
             pairs = pairs.filter("4 * c >= level").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("k") <= BEST)
-        pairs = staged(pairs.select("x", "y"), "pairs")
-        if not every:  # the exhaustive round has looked at the bitmaps
-            pairs = staged(plausible(pairs, sets), "plausible")
-        links = staged(verified(pairs, sets), "links")
+        links = staged(verified(staged(plausible(pairs.select("x", "y"), sets), "pairs"), sets), "links")
         if comp is None:
             comp = components(links)
         elif not links.isEmpty():
@@ -371,14 +421,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             merged = components(ends.filter("x <> y"))
             known = comp.select("node", F.col("component").alias("old")).unionByName(merged.select("node", F.col("node").alias("old"))).distinct()
             comp = staged(known.join(merged.select(F.col("node").alias("old"), "component"), "old", "left").groupBy("node").agg(F.min(F.coalesce("component", "old")).alias("component")), "comp")
+    discard(runs, wanted, sets)
+    spark.sql(f"DROP TABLE IF EXISTS {sets.table}")
+    return comp
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """One row per document: doc_id, at (row key), n, best (no id, id, row key of its group's first row; null without words)."""
+    base = id_and_text(docs, id_col, text_col)
+    rows = base.select("doc_id", row_key().alias("at"), "text")
+    for salt in range(1, 256):
+        summary = staged(summarise(rows, k, salt), "summary")
+        each = summary.filter("kind = 0")
+        first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "at")).alias("first")
+        classes = staged(each.filter("n > 0").groupBy("node").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), (F.min("check") < F.max("check")).alias("clash")), "classes")
+        if classes.filter("clash").isEmpty():  # else two sets got one name: name all sets anew
+            break
+        discard(summary, classes)
+    comp = linked_sets(rows, summary, classes, k, salt)
+
+    linked = classes.join(comp, "node").select("node", "component", "first")
+    # the groups' rows travel in SALTS copies, as a group may hold a third of all sets
+    of_group = linked.groupBy("component").agg(F.min("first").alias("best")).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(of_group, ["component", "salt"]).select("node", "best")
+    label = staged(classes.select("node", "first", "rows").join(linked, "node", "left").select("node", "rows", F.coalesce("best", "first").alias("best")), "label")
+    # of sets that more than one in MANY rows have there are fewer than MANY: these few are broadcast
+    most = (classes.agg(F.sum("rows")).first()[0] or 0) // MANY
+    hot = F.broadcast(label.filter(F.col("rows") > most).select("node", "best"))
+    some = each.filter("n > 0")
+    parts = [some.join(hot, "node"), some.join(hot.select("node"), "node", "left_anti").join(label.select("node", "best"), "node"), each.filter("n = 0").withColumn("best", F.lit(None).cast(label.schema["best"].dataType))]
+    found = [x.select(F.col("key").alias("doc_id"), "at", "n", "best") for x in parts]
+    found = staged(found[0].unionByName(found[1]).unionByName(found[2]), "grouped")
+    discard(summary, classes, label)
+    return found
+
 
-    salts = 8  # a node that a third of all documents belong to is dealt to so many tasks
-    spread = comp.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    placed = nodes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return placed.join(spread, ["node", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (links: Jaccard of 0.75 or more)."""
+    return grouped(docs, id_col, text_col, k).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.key")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component."""
-    found = near_duplicates(docs, id_col, text_col)
-    return without(docs, staged(found.filter("doc_id <> component_id").select("doc_id"), "dropped"), id_col)
+    """``docs`` with one document, that of the smallest id, of each component; texts without words all stay."""
+    found = grouped(docs, id_col, text_col, 5).filter("n > 0")
+    first = F.col("doc_id").eqNullSafe(F.col("best.key")) & (F.col("at") == F.col("best.at"))
+    kept = without(docs, staged(found.filter(~first).select("doc_id", "at"), "dropped"), id_col, text_col)
+    again = staged(found.filter(first).groupBy("doc_id", "at").count().filter("count > 1").select("doc_id", "at"), "repeated")
+    if again.isEmpty():
+        return kept
+    at = (row_key(id_col, text_col) == F.col("__at")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    named = again.select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
+    repeated = kept.join(named, at, "left_semi").withColumn("__key", row_key(id_col, text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    return kept.join(named, at, "left_anti").unionByName(repeated)

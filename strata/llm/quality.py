@@ -7,11 +7,13 @@ path's rate to its host's, each by a strength found by the method of moments fro
 between groups, so sparse sites fall back to the prior above them. A document's score combines
 its own evidence with its path's rate without itself.
 
-The classifier is fitted on at most ``LABELLED`` labelled rows, those with the smallest hash of
+The classifier is fitted on at most ``LABELLED`` labelled ids, those with the smallest hash of
 their id; everything else uses all rows.
 
 Defined cases: null text counts as empty and gets the features of an empty text; null hosts and
 paths form groups of their own; without labels all evidence is zero and everything is accepted;
+labels other than 0 and 1 and labels of null ids are ignored, of several labels of an id the least
+counts, and of several texts of an id the one with the smallest row key; rows with null ids are scored like others;
 repeated rows each count and are each scored; an empty table gives an empty result; further
 columns are ignored by the scorer and kept by the filter.
 """
@@ -19,10 +21,11 @@ columns are ignored by the scorer and kept by the filter.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, without
+from .common import bounded_rows, row_key, staged, without
 
 LABELLED = 20_000
 SALTS = 16
@@ -62,13 +65,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """One row per document: doc_id, evidence, host_rate, path_rate, score, accepted."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
+    return scored(docs, labels, id_col, text_col, host_col, path_col, label_col).drop("at")
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, label_col: str) -> DataFrame:
+    """``quality_scores`` with the row key ``at``."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
     base = base.withColumn("words", F.split("text", r"\s+"))
-    rows = staged(base.select("doc_id", "host", "path", *features(F.col("text"))), "features")
+    rows = staged(base.select("doc_id", "at", "host", "path", *features(F.col("text"))), "features")
 
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y is not null and doc_id is not null")
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(LABELLED)
-    sample = rows.join(some, "doc_id").select("y", *FEATURES).limit(4 * LABELLED).toPandas()
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
+    # one label per id, and of rows that share an id one, so at most LABELLED rows come together
+    some = staged(marked.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "quality_labels")
+    sample = rows.join(some, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", *FEATURES), "at").alias("x")).select("x.*")
+    sample = pd.DataFrame(bounded_rows(sample.orderBy(*FEATURES, "y"), LABELLED), columns=["y", *FEATURES])
     evidence = F.lit(0.0)
     if len(sample) and sample["y"].nunique() > 1:
         mean, dev, w = fit_logistic(sample[FEATURES].to_numpy(float), sample["y"].to_numpy(float))
@@ -80,7 +90,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     else:
         prior = 0.0
     logistic = lambda c: 1 / (1 + F.exp(-c))
-    rows = rows.select("doc_id", "host", "path", evidence.alias("evidence")).withColumn("p", logistic(F.col("evidence") + prior))
+    rows = rows.select("doc_id", "at", "host", "path", evidence.alias("evidence")).withColumn("p", logistic(F.col("evidence") + prior))
 
     sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("p").alias("s")]
     paths = staged(rows.groupBy("host", "path").agg(*sums), "paths")
@@ -106,11 +116,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     joined = placed.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")) & (F.col("salt") == F.col("t")), "left")
     rest = (F.col("s") - F.col("p") + of_paths * F.col("host_rate")) / (F.col("n") - 1 + of_paths)
     rest = F.least(F.greatest(rest, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return joined.select("doc_id", "evidence", "host_rate", rest.alias("path_rate"), logistic(F.col("evidence") + F.log(rest / (1 - rest))).alias("score")).withColumn("accepted", (F.col("score") >= 0.5).cast("int"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that the classifier rejects."""
-    return without(docs, staged(quality_scores(docs, labels, id_col).filter("accepted = 0").select("doc_id"), "rejected"), id_col)
+    return joined.select("doc_id", "at", "evidence", "host_rate", rest.alias("path_rate"), logistic(F.col("evidence") + F.log(rest / (1 - rest))).alias("score")).withColumn("accepted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that the classifier rejects, whatever their ids."""
+    verdicts = scored(docs, labels, id_col, text_col, "source", "lang", "quality")
+    return without(docs, staged(verdicts.filter("accepted = 0").select("doc_id", "at"), "rejected"), id_col, text_col)

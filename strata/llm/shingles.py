@@ -13,7 +13,7 @@ WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 class WordHashes(dict):
     """64-bit hashes of words; at most ``most`` are kept per Python worker."""
 
-    most = 600_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")

@@ -25,7 +25,7 @@ def exhaustive(monkeypatch):
 
 
 @pytest.mark.parametrize("longer", [False, True])
-def test_exhaustive_round_keeps_links(monkeypatch, longer):
+def test_exhaustive_round_keeps_links(spark, monkeypatch, longer):
     run, rng, links, differ = exhaustive(monkeypatch), np.random.default_rng(11), 0, 0
     for n in range(30, 401, 2):
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
@@ -34,7 +34,7 @@ def test_exhaustive_round_keeps_links(monkeypatch, longer):
         bits = [np.asarray(ngram_join.parities(x)).view(np.int64) for x in (a, b)]
         differ += bool(((bits[0] ^ bits[1]) < 0).any())
         one = lambda v: pa.array(np.array(v, np.int64))
-        cols = [one([7, 7]), one([1, 2]), one([1, 2]), one([len(a), len(b)]), one([0, 0]), one([1, 1]), one([0, 0]), *(one([p, q]) for p, q in zip(*bits, strict=True))]
-        batch = pa.RecordBatch.from_arrays(cols, names=["token", "node", "comp", "n", "pos", "level", "rank", *ngram_join.BIT_COLS])
+        cols = [one([1, 1]), one([7, 7]), one([1, 2]), one([1, 2]), one([len(a), len(b)]), one([0, 0]), one([1, 1]), one([0, 0]), *(one([p, q]) for p, q in zip(*bits, strict=True))]
+        batch = pa.RecordBatch.from_arrays(cols, names=["home", "token", "node", "comp", "n", "pos", "level", "rank", *ngram_join.BIT_COLS])
         links += sum(len(x) for x in run(iter([batch])))
     assert links == len(range(30, 401, 2)) and differ > 30

@@ -20,8 +20,8 @@ parts of the documents that a task held together meet. Log-probabilities are sum
 Defined cases: null and empty texts have no tokens, log-likelihood 0 and 0 per token; the border
 of a text is a class of its own; equal texts get equal scores; repeated rows count and are
 returned each; ties among frequent words go to the smaller word; an empty table gives an empty
-result; further columns are ignored. Contexts and words beyond FREQUENT are told apart by 63-bit
-and 56-bit hashes.
+result; null ids are scored like others; further columns are ignored. Contexts, windows within a
+bucket, and words beyond FREQUENT are told apart by hashes of 63, 64 and 56 bits.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ V, WORDS = 96, 47
 #: Words whose counts a task holds before it hands them on.
 LOCAL = 400_000
 HIDDEN, STEPS = 24, 200
-CACHE = 500_000
+CACHE = 250_000
 MARKS = ".,!?;:%$#*&|()[]{}\"=+@/\\<>~^_`-"
 SHAPES = 4  # marks at the end, capitals, digits, no letters
 #: Words that are broadcast with their counts; of them, those whose windows are counted densely.
@@ -66,21 +66,25 @@ class Classes(dict):
         super().__init__({w: i + 1 for i, w in enumerate(words)})
         self.words = dict(self)
 
+    def of(self, chunk: str) -> int:
+        word, first = chunk.rstrip(".,;:"), WORDS + 1
+        c = self.words.get(word)
+        if c is None:
+            upper = word.isupper()
+            c = None if upper else self.words.get(word.lower())
+        if c is not None:
+            return c
+        if not word.isalpha():
+            if not any(x.isalpha() for x in word):
+                return first + (2 if any(x.isdigit() for x in word) else 3)
+            if word[-1] in MARKS:
+                return first
+        if upper and len(word) > 1:
+            return first + 1
+        return first + SHAPES + zlib.crc32(word[-2:].lower().encode("utf-8", "surrogatepass")) % (V - first - SHAPES)
+
     def __missing__(self, chunk: str) -> int:
-        word = chunk.rstrip(".,;:")
-        first = WORDS + 1
-        if word in self.words:
-            c = self.words[word]
-        elif word.lower() in self.words and not word.isupper():
-            c = self.words[word.lower()]
-        elif not any(x.isalpha() for x in word):
-            c = first + (2 if any(x.isdigit() for x in word) else 3)
-        elif word[-1] in MARKS:
-            c = first
-        elif len(word) > 1 and word.isupper():
-            c = first + 1
-        else:
-            c = first + SHAPES + zlib.crc32(word[-2:].lower().encode("utf-8", "surrogatepass")) % (V - first - SHAPES)
+        c = self.of(chunk)
         if len(self) >= CACHE:
             self.clear()
             self.update(self.words)
@@ -99,6 +103,16 @@ class Classes(dict):
 class Codes(dict):
     """The code of a chunk: 0 the border, 1..FREQUENT frequent words, else RARE | hash << 7 | class."""
 
+    _latest: tuple[bytes, Codes] | None = None
+
+    @classmethod
+    def latest(cls, words: list[str]) -> Codes:
+        """One per Python worker for the same words, so that the cache outlives a task."""
+        name = blake2b("\n".join(words).encode("utf-8", "surrogatepass")).digest()
+        if cls._latest is None or cls._latest[0] != name:
+            cls._latest = (name, cls(words))
+        return cls._latest[1]
+
     def __init__(self, words: list[str]):
         super().__init__({w: i + 1 for i, w in enumerate(words)})
         self.words, self.classes = dict(self), Classes(words[:WORDS])
@@ -106,7 +120,7 @@ class Codes(dict):
 
     def __missing__(self, chunk: str) -> int:
         h = int.from_bytes(blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
-        c = RARE | h << 7 | self.classes[chunk]
+        c = RARE | h << 7 | self.classes.of(chunk)
         if len(self) >= CACHE:
             self.clear()
             self.update(self.words)
@@ -165,7 +179,7 @@ def window_counts(rows: DataFrame, words: list[str]) -> DataFrame:
     size = V**3 + TOP * (TOP + 1) * TOP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total = Codes(words), np.zeros(size, np.int64)
+        codes, total = Codes.latest(words), np.zeros(size, np.int64)
         for batch in batches:
             held = [codes.of(t.as_py()) for t in batch.column(1)]
             for i in range(0, len(held), 2_000):
@@ -250,10 +264,10 @@ def opened(name: str, b: bytes, width: int = 1) -> np.ndarray:
 
 
 def packed(bucket: np.ndarray, doc: np.ndarray, flush: int, columns: dict) -> list[dict]:
-    """One row per bucket, by document."""
+    """One row per bucket; the tokens stay in their order, by document, which compresses well."""
     if not len(bucket):
         return []
-    order = np.lexsort((doc, columns["flushes"], bucket) if "flushes" in columns else (doc, bucket))
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 65_536 else bucket, kind="stable")
     bucket, doc = bucket[order], doc[order]
     columns = {k: v[order] for k, v in columns.items()}
     ends = [*np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
@@ -265,10 +279,15 @@ def arrow(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], types.get(k, pa.binary())) for k in NAMES], names=NAMES)
 
 
-def summed(flush: np.ndarray, doc: np.ndarray, s: np.ndarray, buckets: int) -> list[dict]:
+def by_document(flush: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The order by flush (numbered) and document, of which a flush has fewer than 2**24."""
+    return np.argsort(flush << 24 | doc)
+
+
+def summed(names: np.ndarray, flush: np.ndarray, doc: np.ndarray, s: np.ndarray, buckets: int) -> list[dict]:
     """Rows of sums of the documents of each flush."""
-    order = np.lexsort((doc, flush))
-    flush, doc, s = flush[order], doc[order], s[order].astype(np.int64)
+    order = by_document(flush, doc)
+    flush, doc, s = names[flush[order]], doc[order], s[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], (flush[1:] != flush[:-1]) | (doc[1:] != doc[:-1]))))[: len(doc)]
     if not len(first):
         return []
@@ -303,7 +322,7 @@ def occurrences(rows: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        codes, held, keys, size = Codes(m.words), [], [], 0
+        codes, held, keys, size = Codes.latest(m.words), [], [], 0
 
         def flush():
             c, at, lens = together(held)
@@ -341,9 +360,9 @@ def occurrences(rows: DataFrame, model) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def unpacked(rows: list[dict], m: Model, names: list[str]) -> dict:
-    """The tokens of a bucket: flush, doc, left and right class and the named columns."""
-    out: dict = {k: [] for k in ["flush", "doc", "lc", "rc", *names]}
+def unpacked(rows: list[dict], m: Model, columns: list[str]) -> tuple[np.ndarray, dict]:
+    """The names of flushes, and the tokens of a bucket: number of the flush, doc, left and right class and the columns."""
+    out: dict = {k: [] for k in ["flush", "doc", "lc", "rc", *columns]}
     for r in rows:
         doc = np.cumsum(opened("docs", r["docs"]), dtype=np.uint32).astype(np.int64)  # steps back wrap around
         out["flush"].append(np.full(len(doc), r["flush"], np.int64) if r["flushes"] is None else opened("flushes", r["flushes"]))
@@ -355,11 +374,26 @@ def unpacked(rows: list[dict], m: Model, names: list[str]) -> dict:
             out["word"].append(word.astype(U))
         else:
             sides = opened("sides", r["sides"], 2).T.astype(np.int64)
-            for k in names:
+            for k in columns:
                 out[k].append(opened(k, r[k]))
         out["lc"].append(sides[0])
         out["rc"].append(sides[1])
-    return {k: np.concatenate(v) for k, v in out.items()}
+    if any(r["flushes"] is not None for r in rows):
+        names, out["flush"] = np.unique(np.concatenate(out["flush"]), return_inverse=True)
+    else:
+        names, at = np.unique([r["flush"] for r in rows], return_inverse=True)
+        out["flush"] = np.repeat(at, [len(x) for x in out["doc"]])
+    return names, {k: v if k == "flush" else np.concatenate(v) for k, v in out.items()}
+
+
+def sizes_of_groups(key: np.ndarray) -> np.ndarray:
+    """For each value, how often it occurs."""
+    order = np.argsort(key)
+    ends = np.append(np.flatnonzero(key[order[1:]] != key[order[:-1]]) + 1, len(key))
+    n = np.diff(ends, prepend=0)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
 
 
 def counted(packs: DataFrame, model, words: bool) -> DataFrame:
@@ -370,31 +404,26 @@ def counted(packs: DataFrame, model, words: bool) -> DataFrame:
         out = [r for r in rows if r["sums"] is not None]
         rows = [r for r in rows if r["sums"] is None]
         if rows and words:
-            t = unpacked(rows, m, ["word", "c", "total"])
-            _, at, n = np.unique(t["word"], return_inverse=True, return_counts=True)
-            base = m.base(t["lc"], (t["word"] & U(127)).astype(np.int64), t["rc"]) + np.log(n[at])
-            out += summed(t["flush"], t["doc"], fixed_log(t["c"].astype(np.int64), t["total"].astype(np.int64), base), m.buckets)
+            names, t = unpacked(rows, m, ["word", "c", "total"])
+            base = m.base(t["lc"], (t["word"] & U(127)).astype(np.int64), t["rc"]) + np.log(sizes_of_groups(t["word"]))
+            out += summed(names, t["flush"], t["doc"], fixed_log(t["c"].astype(np.int64), t["total"].astype(np.int64), base), m.buckets)
         elif rows:
-            t = unpacked(rows, m, ["context", "word"])
-            order = np.lexsort((t["word"], t["context"]))
-            t = {k: v[order] for k, v in t.items()}
+            names, t = unpacked(rows, m, ["context", "word"])
             context, word = t["context"], t["word"]
-            new = context[1:] != context[:-1]
-            run_of = np.concatenate(([0], np.cumsum(new)))
-            total = np.bincount(run_of)[run_of]
+            total = sizes_of_groups(context)
             within = context < U(TOP * TOP)
             total[within] = m.within(context[within].astype(np.int64), TOP)
-            run_of = np.concatenate(([0], np.cumsum(new | (word[1:] != word[:-1]))))
-            c = np.bincount(run_of)[run_of]
+            c = sizes_of_groups(mixed(context + U(1)) + mixed(word + U(1)) * U(0x9E3779B97F4A7C15))
             rare = word >= U(RARE)
             i = np.flatnonzero(~rare)
             token = word[i].astype(np.int64)
             s = fixed_log(c[i], total[i], m.base(t["lc"][i], m.class_of[token], t["rc"][i]) + m.log_n[token])
-            out += summed(t["flush"][i], t["doc"][i], s, m.buckets)
+            out += summed(names, t["flush"][i], t["doc"][i], s, m.buckets)
             i = np.flatnonzero(rare)
+            i = i[by_document(t["flush"][i], t["doc"][i])]
             sides = np.stack([t["lc"][i], t["rc"][i]], axis=1)
             bucket = (mixed(word[i]) % U(m.buckets)).astype(np.int64)
-            out += packed(bucket, t["doc"][i], 0, {"word": word[i], "sides": sides, "c": c[i], "total": total[i], "flushes": t["flush"][i]})
+            out += packed(bucket, t["doc"][i], 0, {"word": word[i], "sides": sides, "c": c[i], "total": total[i], "flushes": names[t["flush"][i]]})
         return pa.Table.from_batches([arrow(out)])
 
     return packs.groupBy("bucket").applyInArrow(run, PACKED)

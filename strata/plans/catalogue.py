@@ -256,9 +256,9 @@ def c6_coverage(spark, d):
     return x.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("covered"), r6(F.avg(F.coalesce("hit", F.lit(0)))).alias("rate"))
 
 
-@query("SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?].*$', ''), '^[a-z]+://[^/]+', ''), '/+', '/', 'g'), '(.)/$', '\\1') AS pattern FROM pages")
+@query("SELECT DISTINCT coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?].*$', ''), '/+', '/', 'g'), '/$', ''), ''), '/') AS pattern FROM pages")
 def c1_path_patterns(spark, d):
-    return table(spark, d, "pages").select(T.path_pattern(F.col("url")).alias("pattern")).distinct()
+    return table(spark, d, "pages").select(T.path_pattern(T.url_path(F.col("url"))).alias("pattern")).distinct()
 
 
 @query("SELECT user_id, list_contains(list(DISTINCT event_type), 'purchase') AND list_contains(list(DISTINCT event_type), 'view') AS p1, count(DISTINCT event_type) >= 4 AS p2 FROM events GROUP BY user_id")

@@ -277,3 +277,141 @@ def heat(rank: Column, degree: Column, cross: Column, cycle: Column) -> Column:
     return 0.4 * rank + 0.3 * degree + 0.2 * cross + 0.1 * cycle
 
 
+def graph_levels(modules: DataFrame, files: DataFrame, deps: DataFrame, module_edges: DataFrame, domain: Column, calls: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (level, id, layer) and edges (level, src, dst) of the module, file, domain and function graphs, once each.
+
+    Tests, specs and mocks are left out of modules and files. ``domain`` maps a column ``id`` of
+    modules; edges of modules without a domain end in 'unassigned'. module_edges has (from_module, to_module).
+    """
+    from strata.functions.text import test_node
+
+    own = lambda df, *cols: df.filter(~sum((test_node(F.col(c)).cast("int") for c in cols), F.lit(0)).cast("boolean"))
+    pairs = module_edges.select(F.col("from_module").alias("src"), F.col("to_module").alias("dst")).distinct()
+    layer = modules.select(F.col("id").alias("module"), "layer")
+    file_edges = own(deps.select("src", "dst").distinct(), "src", "dst")
+    file_nodes = own(files.join(layer, "module").select(F.col("path").alias("id"), "layer"), "id")
+    more = file_edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(file_nodes, "id", "left_anti").withColumn("layer", F.lit(None).cast("string"))
+    of = modules.select("id", domain.alias("domain"))
+    named = of.filter("domain is not null").select(F.col("domain").alias("id")).distinct()
+    end = lambda c: of.select(F.col("id").alias(c), F.coalesce("domain", F.lit("unassigned")).alias(f"d{c}"))
+    domain_edges = pairs.join(end("src"), "src").join(end("dst"), "dst").select(F.col("dsrc").alias("src"), F.col("ddst").alias("dst")).distinct()
+    domain_nodes = named.unionByName(domain_edges.select(F.explode(F.array("src", "dst")).alias("id"))).distinct().withColumn("layer", F.col("id"))
+    fn_edges = calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+    fn_layer = functions.join(files.select(F.col("path").alias("file"), "module"), "file").join(layer, "module").groupBy(F.col("name").alias("id")).agg(F.min("layer").alias("layer"))
+    at = lambda level, df: df.select(F.lit(level).alias("level"), *df.columns)
+    nodes = [at("module", own(modules.select("id", "layer"), "id")), at("file", file_nodes.unionByName(more)), at("domain", domain_nodes), at("function", fn_layer)]
+    edges = [at("module", own(pairs, "src", "dst")), at("file", file_edges), at("domain", domain_edges), at("function", fn_edges)]
+    together = lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return together(nodes), together(edges)
+
+
+def level_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(level, id, n_in, n_out) of all nodes."""
+    ends = edges.select("level", F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(edges.select("level", F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    return ends.unionAll(nodes.select("level", "id", F.lit(0).alias("i"), F.lit(0).alias("o"))).groupBy("level", "id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+
+
+def level_cross(nodes: DataFrame, edges: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(level, src, dst, cross): whether an edge leaves its layer, or, with rules (a, b), isn't allowed or has no layer."""
+    a, b = nodes.select("level", F.col("id").alias("src"), F.col("layer").alias("a")), nodes.select("level", F.col("id").alias("dst"), F.col("layer").alias("b"))
+    x = edges.join(a, ["level", "src"], "left").join(b, ["level", "dst"], "left")
+    if allowed is None:
+        return x.select("level", "src", "dst", F.coalesce(F.col("a") != F.col("b"), F.lit(False)).cast("int").alias("cross"))
+    return x.join(allowed.select("a", "b", F.lit(1).alias("ok")).distinct(), ["a", "b"], "left").select("level", "src", "dst", F.when(F.col("ok").isNull(), 1).otherwise(0).alias("cross"))
+
+
+def level_entropy(deg: DataFrame) -> DataFrame:
+    """(level, nodes, entropy) of the distribution of total degrees."""
+    c = deg.groupBy("level", (F.col("n_in") + F.col("n_out")).alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    n = c.groupBy("level").agg(F.sum("c").alias("nodes"))
+    p = F.col("c") / F.col("nodes")
+    return c.join(n, "level").groupBy("level").agg(F.max("nodes").alias("nodes"), (-F.sum(p * F.log(p))).alias("entropy"))
+
+
+def ranked_levels(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFrame:
+    """(level, id, rank, in_cycle): PageRank over its largest value, and membership of a cycle, per level.
+
+    A level is one graph of one code base, which bounds what a task holds; ``pagerank`` is for graphs beyond that.
+    """
+    rows = nodes.select("level", F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("level", "src", "dst"))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        pairs = list(x[x["dst"].notna()][["src", "dst"]].itertuples(index=False, name=None))
+        ids = sorted(set(x["src"]) | {b for _, b in pairs})
+        rank = ranks(ids, pairs, rounds, alpha)
+        top = max(rank.values(), default=0) or 1.0
+        loops = {a for a, b in pairs if a == b}
+        round_trip = {v for part in strong_components(pairs) if len(part) > 1 or part[0] in loops for v in part}
+        return pd.DataFrame({"level": x["level"].iloc[0], "id": ids, "rank": [rank[v] / top for v in ids], "in_cycle": [v in round_trip for v in ids]})
+
+    return rows.groupBy("level").applyInPandas(run, "level string, id string, rank double, in_cycle boolean")
+
+
+def heatmap(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(level, id, score): rank, degree over the level's largest, share of edges that leave the layer, cycles."""
+    from strata.functions.text import half_up
+
+    deg = level_degrees(nodes, edges).withColumn("deg", F.col("n_in") + F.col("n_out"))
+    x = level_cross(nodes, edges)
+    both = x.select("level", F.col("src").alias("id"), "cross").unionByName(x.select("level", F.col("dst").alias("id"), "cross"))
+    cross = both.groupBy("level", "id").agg(F.avg("cross").alias("cross"))
+    most = deg.join(cross, ["level", "id"], "left").groupBy("level").agg(F.greatest(F.max("deg"), F.lit(1)).alias("most_deg"))
+    y = ranked_levels(nodes, edges, rounds).join(deg, ["level", "id"]).join(cross, ["level", "id"], "left").join(most, "level")
+    return y.select("level", "id", half_up(heat(F.col("rank"), F.col("deg") / F.col("most_deg"), F.coalesce("cross", F.lit(0.0)), F.col("in_cycle").cast("double")), 4).alias("score"))
+
+
+def cycle_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(level, cycles): strongly connected components of more than one node or with a loop."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        pairs = list(x[["src", "dst"]].itertuples(index=False, name=None))
+        loops = {a for a, b in pairs if a == b}
+        return pd.DataFrame([{"level": x["level"].iloc[0], "cycles": sum(len(p) > 1 or p[0] in loops for p in strong_components(pairs))}])
+
+    found = edges.select("level", "src", "dst").groupBy("level").applyInPandas(run, "level string, cycles long")
+    return nodes.select("level").distinct().join(found, "level", "left").fillna(0, ["cycles"])
+
+
+def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Edges with both ends among ``kept`` (id)."""
+    return edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def dag_depth(edges: DataFrame, cap: int = 20) -> DataFrame:
+    """One row: edges on the longest path of an acyclic graph, up to ``cap``, by one join a step."""
+    edges = staged(edges.select("src", "dst"), "edges")
+    front, depth = edges.select(F.col("dst").alias("id")).distinct(), 0
+    while depth < cap:
+        front = staged(front, "front")
+        if front.isEmpty():
+            break
+        depth += 1
+        front = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct()
+    return edges.sparkSession.range(1).select(F.lit(depth).cast("long").alias("depth"))
+
+
+def expanded(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Seeds and what is one undirected step away."""
+    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return seeds.select("id").unionByName(both.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))).distinct()
+
+
+def unused_exports(exports: DataFrame, imports: DataFrame, entrypoints: DataFrame) -> DataFrame:
+    """(file, symbol) that nothing imports; files that are imported whole ('*') or are entry points count as used."""
+    whole = imports.filter("symbol = '*'").select("file").unionByName(entrypoints.select("file")).distinct()
+    return exports.join(whole, "file", "left_anti").join(imports.select("file", "symbol").distinct(), ["file", "symbol"], "left_anti").select("file", "symbol")
+
+
+def walked_tree(edges: DataFrame, root: str, cap: int = 20) -> DataFrame:
+    """(src, dst, ord): edges by which a breadth-first walk first reaches a node, nodes and edges in order of name, at most ``cap`` nodes."""
+    both = edges.sparkSession
+    seen, queue, used = {root}, [root], []
+    while queue and len(seen) < cap:
+        at = queue.pop(0)
+        # the next children by name: never more than the cap leaves room for
+        room = cap - len(seen)
+        for r in edges.filter((F.col("src") == at) & ~F.col("dst").isin(sorted(seen))).select("dst").distinct().orderBy("dst").limit(room).collect():
+            seen.add(r["dst"])
+            queue.append(r["dst"])
+            used.append((at, r["dst"], len(used)))
+    return both.createDataFrame(used, "src string, dst string, ord int")

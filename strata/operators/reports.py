@@ -87,3 +87,58 @@ def impact_level(total: Column) -> Column:
 
 def confidence(depth: Column, fanout: Column, density: Column, cycle: Column, share: Column) -> Column:
     return 0.35 * clamp(depth / 10, 0, 1) + 0.2 * clamp(fanout / 3, 0, 1) + 0.15 * clamp(density / 3, 0, 1) + 0.15 * cycle + 0.15 * share
+
+
+def primary_level(levels: DataFrame, asked: str = "auto") -> DataFrame:
+    """The row of the level asked for, if there; else function before module, file and domain."""
+    order = [x for x in dict.fromkeys([asked, "function", "module", "file", "domain"]) if x != "auto"]
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("level"))
+    rest = [c for c in levels.columns if c != "level"]
+    best = levels.groupBy().agg(F.min_by(F.struct("level", *rest), F.when(rank == 0, 99).otherwise(rank)).alias("r"))
+    return best.filter("r is not null").select("r.*")
+
+
+def worst(status: Column) -> Column:
+    """The most severe of capacity statuses, as an aggregate."""
+    order = F.when(status == "critical", 3).when(status == "warning", 2).when(status == "ok", 1).otherwise(0)
+    return F.max_by(status, order)
+
+
+def decision(reasons: Column, hard: Column) -> Column:
+    return F.when(F.size(reasons) == 0, "accept").when(hard, "reject").otherwise("warn")
+
+
+def candidate_reasons(x: dict[str, Column], most_growth: float) -> Column:
+    """Why a change isn't accepted as it is: columns old_delta, delta, old_edges, edges, status, capacity, growth, old_shape, shape."""
+    ratio = (x["edges"] - x["old_edges"]) / x["old_edges"]
+    tests = [
+        (x["old_delta"].isNull(), "baseline_missing"), (x["delta"] < x["old_delta"], "delta_regressed"), ((x["old_edges"] > 0) & F.lit(most_growth > 0) & (ratio > most_growth), "edge_growth_ratio_exceeded"),
+        (x["status"] == "drift", "candidate_in_drift"), (x["capacity"] == "critical", "capacity_critical"), (x["growth"] == "critical", "growth_critical"), (x["old_shape"] != x["shape"], "shape_changed"),
+    ]
+    return F.array_compact(F.array(*(F.when(t, F.lit(r)) for t, r in tests)))
+
+
+def gate_fails(status: Column, delta: Column, baseline: Column, threshold: float = 0.15) -> Column:
+    """The verification gate: critical status, or a shift of delta over the threshold; drift alone passes."""
+    return (status == "critical") | F.coalesce(F.abs(delta - baseline) > threshold, F.lit(False))
+
+
+def depth_level(depth: Column) -> Column:
+    return F.when(depth <= 2, "LOW").when(depth <= 5, "MEDIUM").otherwise("HIGH")
+
+
+def propagation(avg: Column, most: Column) -> Column:
+    return F.when((avg > 2) | (most > 5), "STRONG").when((avg > 1.2) | (most > 2), "MODERATE").otherwise("LOCAL")
+
+
+def compressibility(depth: Column, spread: Column, cycles: Column) -> Column:
+    return F.when(cycles | ((depth == "HIGH") & (spread == "STRONG")), "NON_COMPRESSIBLE").when((depth == "LOW") & (spread == "LOCAL"), "COMPRESSIBLE").otherwise("PARTIAL")
+
+
+def confidence_level(x: Column) -> Column:
+    return F.when(x >= 0.8, "STRONG").when(x >= 0.6, "MODERATE").otherwise("WEAK")
+
+
+def ambiguity(seeds: Column, nodes: Column) -> Column:
+    share = seeds / nodes
+    return F.when(nodes == 0, "HIGH").when(share < 0.1, "HIGH").when(share < 0.3, "MEDIUM").otherwise("LOW")

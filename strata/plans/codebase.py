@@ -31,7 +31,7 @@ FACTS = {
         CASE WHEN k = 3 THEN 'model' || CAST((mid * 7 + 3) % 33 AS STRING) || 's.id' END AS foreign_key FROM models, (VALUES (0), (1), (2), (3), (4), (5)) AS t(k) WHERE k <= mid % 6""",
     "uses": "SELECT eid, 'Model' || CAST((eid * 3 + k) % 33 AS STRING) AS model, CASE (eid + k) % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'read_write' END AS access FROM endpoints, (VALUES (0), (1), (2), (3)) AS t(k) WHERE k < eid % 5",
     "page_calls": """SELECT '/page' || CAST(s_suppkey AS STRING) AS page, CASE s_suppkey % 6 WHEN 0 THEN 'get' WHEN 1 THEN 'POST' WHEN 2 THEN '' WHEN 3 THEN 'PUT' WHEN 4 THEN 'PATCH' ELSE 'DELETE' END AS method,
-        CASE WHEN s_suppkey % 7 = 0 THEN '/res' ELSE '/api//v1/res' END || CAST(s_suppkey % 45 AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN '/${itemId}?q=1' ELSE '/' END AS path, CASE s_suppkey % 4 WHEN 0 THEN 'status' WHEN 1 THEN 'id' WHEN 2 THEN 'bogus' END AS field FROM supplier""",
+        CASE WHEN s_suppkey % 7 = 0 THEN '/res' ELSE '/api//v1/res' END || CAST(s_suppkey % 45 AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN '/$' || '{itemId}?q=1' ELSE '/' END AS path, CASE s_suppkey % 4 WHEN 0 THEN 'status' WHEN 1 THEN 'id' WHEN 2 THEN 'bogus' END AS field FROM supplier""",
     "functions": """SELECT fid, CASE fid % 6 WHEN 0 THEN 'getUserById' WHEN 1 THEN 'save_model' WHEN 2 THEN 'parseHTTPRequest' WHEN 3 THEN 'loadItem' WHEN 4 THEN 'render_page' ELSE 'auditLog' END || CAST(unit % 50 AS STRING) AS name, path AS file, fid % 90 + 1 AS line FROM files""",
     "fn_calls": "SELECT DISTINCT a.name AS caller, b.name AS callee, a.file AS caller_file FROM file_deps d JOIN functions a ON a.file = d.src JOIN functions b ON b.file = d.dst WHERE a.name <> b.name",
 }

@@ -377,3 +377,54 @@ def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key by ``order``, as an aggregate with map-side combining."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
+def file_context(targets: DataFrame, endpoints: DataFrame, models: DataFrame, fields: DataFrame, modules: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per target path (a stated set): its module, endpoints, models with field counts, calls, and who calls it (eight at most)."""
+    from strata.operators.facts import module_of
+
+    t = F.broadcast(targets.select(F.col("path").alias("target")))
+    near = lambda df, *c: df.join(t, T.paths_related(F.col("target"), F.col("file"))).select("target", *c)
+    shown = lambda df, key, value, to: df.groupBy("target").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(key, value.alias("v")))), lambda x: x["v"]), ",").alias(to))
+    name = F.concat_ws(" ", "method", "path")
+    e = near(endpoints.withColumn("label", name), "eid", "label")
+    n = fields.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    m = near(models.join(n, "name", "left").fillna(0, ["n"]), "name", "n")
+    told = e.join(calls.filter(~F.col("call").isin(T.GENERIC)), "eid").select("target", "call")
+    stem = F.lower(F.regexp_replace(T.basename(F.col("target")), r"\.[^.]*$", ""))
+    by = calls.join(t, F.lower("call").contains(stem)).select("target", "eid").distinct().join(endpoints.select("eid", name.alias("label")), "eid")
+    by = by.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("eid"))).filter("k <= 8")
+    home = module_of(targets.select("path"), "path", modules.select("id", F.col("path").alias("module_path")), "module_path", "id")
+    inside = home.filter("id is null").select("path").join(modules.select("id"), F.col("path").contains(F.col("id"))).groupBy("path").agg(F.min("id").alias("other"))  # few targets, few modules
+    x = home.join(inside, "path", "left").select(F.col("path").alias("target"), F.coalesce("id", "other").alias("module"))
+    parts = [shown(e, "eid", F.col("label"), "endpoints"), shown(m, "name", F.concat_ws(":", "name", F.col("n").cast("string")), "models"), shown(told, "call", F.col("call"), "calls"), shown(by, "eid", F.col("label"), "called_by")]
+    for p in parts:
+        x = x.join(p, "target", "left")
+    return x.fillna("", ["endpoints", "models", "calls", "called_by"])
+
+
+def overlapping(sets: DataFrame, least: float, places: int) -> DataFrame:
+    """(a, b, similarity) of sets (id, members) with Jaccard of at least ``least``; pairs must share a member of their prefixes.
+
+    Members are ordered by how rare they are, so prefixes meet seldom; whole sets travel with distinct pairs only.
+    """
+    m = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("t"))
+    often = m.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "t"))
+    p = m.join(often, "t").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("id", "n", "t")
+    q = p.select(F.col("id").alias("b"), F.col("n").alias("n2"), "t")
+    pairs = p.join(q, "t").filter((F.col("id") < F.col("b")) & (F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
+    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    return x.withColumn("s", T.jaccard(F.col("x"), F.col("y"))).filter(F.col("s") >= least).select("a", "b", T.half_up(F.col("s"), places).alias("similarity"))
+
+
+def similar_structure(prints: DataFrame, least: float) -> DataFrame:
+    """Functions (id, kinds, size, hash) of twelve nodes or more in the same or next size bucket, of other shape, whose kinds overlap."""
+    x = prints.filter("size >= 12").select("id", F.array_distinct("kinds").alias("members"), F.floor(F.col("size") / 10).alias("bucket"), "hash")
+    pairs = overlapping(x.select("id", "members"), least, 3)
+    end = lambda c: x.select(F.col("id").alias(c), F.col("bucket").alias(f"b{c}"), F.col("hash").alias(f"h{c}"))
+    return pairs.join(end("a"), "a").join(end("b"), "b").filter((F.abs(F.col("ba") - F.col("bb")) <= 1) & (F.col("ha") != F.col("hb"))).select("a", "b", "similarity")
+
+
+def similar_tokens(rows: DataFrame, least: float, places: int) -> DataFrame:
+    return overlapping(rows.select("id", F.array_distinct("tokens").alias("members")), least, places)

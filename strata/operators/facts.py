@@ -99,3 +99,64 @@ def by_maximum(x: Column, level: str, floor: float = 1.0) -> Column:
 def numeric_key(key: Column) -> Column:
     """Number formed by a key's digits, for sorting sprint keys."""
     return F.regexp_replace(key, r"\D", "").try_cast("long")
+
+
+def longest_module(files: DataFrame, path: str, modules: DataFrame, module_path: str) -> DataFrame:
+    """Each file with the module of the longest path that is a directory above it."""
+    at = files.select(F.col(path).alias("__file")).distinct().select("__file", F.explode(F.slice(path_prefixes(F.col("__file")), F.lit(2), F.greatest(F.size(F.split("__file", "/")) - 1, F.lit(0)))).alias("__prefix"))
+    best = at.join(modules, F.col("__prefix") == F.col(module_path)).groupBy("__file").agg(F.max_by(F.struct(*modules.columns), F.length("__prefix")).alias("__module"))
+    return files.join(best, F.col(path) == F.col("__file"), "left").select(*files.columns, *(F.col("__module")[c].alias(c) for c in modules.columns))
+
+
+def subsystem(module_path: Column, file: Column) -> Column:
+    """The first folder of a file below its module; 'root' for files right there."""
+    rel = F.when(F.startswith(file, F.concat(module_path, F.lit("/"))), F.substr(file, F.length(module_path) + 2)).otherwise(file)
+    parts = F.filter(F.split(rel, "/"), lambda s: s != "")
+    return F.when((F.size(parts) == 0) | ((F.size(parts) == 1) & F.get(parts, 0).contains(".")), "root").otherwise(F.get(parts, 0))
+
+
+def subsystem_counts(files: DataFrame, endpoints: DataFrame, models: DataFrame) -> DataFrame:
+    """(module, part, files, endpoints, models) from tables of (module, part)."""
+    names = ["files", "endpoints", "models"]
+    one = [df.select("module", "part", *(F.lit(int(n == to)).alias(n) for n in names)) for df, to in zip((files, endpoints, models), names, strict=True)]
+    return one[0].unionByName(one[1]).unionByName(one[2]).groupBy("module", "part").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def access_edges(uses: DataFrame) -> DataFrame:
+    """(module, src, dst, label): which parts of a module read or write models of another part; uses has (module, src, dst, access)."""
+    x = uses.filter("src <> dst").groupBy("module", "src", "dst").agg(F.bool_or(F.col("access").isin("read", "read_write")).alias("r"), F.bool_or(F.col("access").isin("write", "read_write")).alias("w"))
+    return x.select("module", "src", "dst", F.when(F.col("r") & F.col("w"), "read/write").when(F.col("w"), "write").otherwise("read").alias("label"))
+
+
+def human_group(path: Column, id_: Column) -> Column:
+    """The first service folder of a module's path, else the first that isn't backend or src, else its id."""
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.coalesce(F.get(F.filter(parts, lambda s: s.startswith("service-")), 0), F.get(F.filter(parts, lambda s: ~s.isin("backend", "src")), 0), id_)
+
+
+def triggered_tasks(tasks: DataFrame, calls: DataFrame) -> DataFrame:
+    """(task, eid): calls that are a task's name, its bare name, or end in a dot and that; the ends of calls are joined by equality."""
+    t = tasks.select(F.col("name").alias("task"), F.explode(F.array_distinct(F.array(F.col("name"), F.regexp_replace("name", r"^[^.]+\.", "")))).alias("key"), F.regexp_replace("name", r"^[^.]+\.", "").alias("bare"))
+    parts = F.split("call", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+    x = calls.select("eid", "call", F.explode(ends).alias("key")).join(t, "key")
+    return x.filter((F.col("call") == F.col("key")) | (F.col("key") == F.col("bare"))).select("task", "eid").distinct()
+
+
+def workflow_candidates(endpoints: DataFrame, calls: DataFrame, most: int = 8) -> DataFrame:
+    """(eid, n_calls, actors, important): endpoints of more than two calls, the first call of each actor in order."""
+    actor = F.when(F.col("call").contains("."), F.split_part("call", F.lit("."), F.lit(1))).otherwise("Service")
+    n = calls.groupBy("eid").agg(F.count(F.lit(1)).alias("n_calls")).filter("n_calls > 2")
+    top = endpoints.filter("path <> '/health'").join(n, "eid").orderBy(F.desc("n_calls"), "eid").limit(most).select("eid", "method", "n_calls")
+    telling = calls.filter(~F.col("call").isin("str", "dict", "len", "int", "float", "join", "getattr", "max", "lower", "open") & ~F.col("call").rlike(r"^(params|updates)\."))
+    first = telling.join(F.broadcast(top.select("eid")), "eid", "left_semi").groupBy("eid", actor.alias("actor")).agg(F.min("k").alias("k"))
+    a = first.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "actor"))), lambda s: s["actor"]).alias("actors"))
+    return top.join(a, "eid").select("eid", "n_calls", "actors", ((F.col("method") == "POST") & (F.size("actors") >= 3)).alias("important"))
+
+
+def import_statements(names: DataFrame, imports: DataFrame) -> DataFrame:
+    """(name, statement): the most frequent specifier of a name (ties to the smaller), else the module path of its file."""
+    best = majority(imports.select("name", "specifier"), "name", "specifier").select("name", "specifier")
+    derived = F.regexp_replace(F.regexp_replace("file", r"\.py$", ""), "/", ".")
+    x = names.join(best, "name", "left")
+    return x.select("name", F.concat(F.lit("from "), F.coalesce("specifier", derived), F.lit(" import "), "name").alias("statement"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import clamp
+from strata.sources.staging import staged
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -61,23 +65,153 @@ def level(x: Column) -> Column:
     return F.when(x >= 0.55, "high").when(x >= 0.25, "medium").otherwise("low")
 
 
-def item_score(text: Column, name: Column, file: Column, tokens: list[str]) -> Column:
-    """Mean over tokens of exact 1, name .7, text .4, file .2; .15 more for the phrase; at most 1."""
-    t, n, f = F.lower(text), F.lower(name), F.lower(file)
-    one = lambda k: F.when(n == k, 1.0).when(n.contains(k), 0.7).when(t.contains(k), 0.4).when(f.contains(k), 0.2).otherwise(0.0)
+def item_score(texts: Column, name: Column, file: Column, tokens: list[str]) -> Column:
+    """Mean over tokens of exact 1, name .7, a text .4, file .2, with .15 more if the name holds the phrase; at most 1.
+
+    texts: an array of strings.
+    """
+    n, f = F.lower(name), F.lower(F.coalesce(file, F.lit("")))
+    held = lambda k: F.exists(texts, lambda t: F.lower(t).contains(k))
     total = F.lit(0.0)
     for k in tokens:
-        total = total + one(k)
-    phrase = " ".join(tokens)
-    return F.least(total / max(1, len(tokens)) + F.when(t.contains(phrase) | n.contains(phrase), 0.15).otherwise(0.0), F.lit(1.0))
+        total = total + F.when(n == k, 1.0).when(n.contains(k), 0.7).when(F.coalesce(held(k), F.lit(False)), 0.4).when(f.contains(k), 0.2).otherwise(0.0)
+    phrase = F.when(n.contains(" ".join(tokens)), 0.15).otherwise(0.0) if tokens else F.lit(0.0)
+    return F.least((total + phrase) / max(1, len(tokens)), F.lit(1.0))
 
 
-def field_score(fields: list[tuple[Column, float]], query: str) -> Column:
-    """Best weighted field: exact 1, contains .8, all tokens .6, two or more .45, one .3."""
+def field_tier(value: Column, query: str) -> Column:
+    """How a field answers a query: equal 1, contains .8, all of several tokens .6, two tokens of three letters .45, one .3."""
     tokens = query.lower().split()
-    scores = []
-    for field, weight in fields:
-        x = F.lower(F.coalesce(field, F.lit("")))
-        hits = sum((x.contains(t).cast("int") for t in tokens), F.lit(0))
-        scores.append(weight * F.when(x == query.lower(), 1.0).when(x.contains(query.lower()), 0.8).when(hits == len(tokens), 0.6).when(hits >= 2, 0.45).when(hits == 1, 0.3).otherwise(0.0))
+    x = F.lower(F.coalesce(value, F.lit("")))
+    hits = sum((x.contains(t).cast("int") for t in tokens), F.lit(0))
+    long = sum((x.contains(t).cast("int") for t in tokens if len(t) >= 3), F.lit(0))
+    some = F.when(x == query.lower(), 1.0).when(x.contains(query.lower()), 0.8).when((hits == len(tokens)) & F.lit(len(tokens) > 1), 0.6).when(long >= 2, 0.45).when(long == 1, 0.3).otherwise(0.0)
+    return F.when(x == "", 0.0).otherwise(some)
+
+
+def field_score(fields: list[tuple[Column, float]], query: str) -> Column:
+    """The best weighted field."""
+    scores = [weight * field_tier(field, query) for field, weight in fields]
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+
+def best_field(fields: Column, query: str) -> Column:
+    """The best weighted field of an array of (value, weight); 0 without fields."""
+    return F.coalesce(F.array_max(F.transform(fields, lambda f: f["weight"] * field_tier(f["value"], query))), F.lit(0.0))
+
+
+def focus_score(tokens: list[str], name: Column, file: Column, values: Column) -> Column:
+    """Mean over tokens of exact 1, name .8, file .55, any value .4."""
+    n, f = F.lower(name), F.lower(file)
+    total = F.lit(0.0)
+    for k in tokens:
+        total = total + F.when(n == k, 1.0).when(n.contains(k), 0.8).when(f.contains(k), 0.55).when(F.exists(values, lambda v: F.lower(v).contains(k)), 0.4).otherwise(0.0)
+    return total / max(1, len(tokens))
+
+
+def query_tokens(query: str) -> list[str]:
+    """Words of a query: identifiers split, single letters dropped, only letters and digits; nothing for what is left empty."""
+    spaced = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z])([A-Z])", r"\1 \2", query.replace("_", " "))).lower()
+    return [x for t in spaced.split() if len(t) > 1 and (x := re.sub("[^a-z0-9]", "", t))]
+
+
+# Words with which commit messages begin.
+CLOSERS, KINDS = "Fixed Refs Closes Resolved".split(), "feat fix chore docs test refactor style perf ci build".split()
+
+
+def clean_query(q: Column) -> Column:
+    """A query without issue numbers, commit prefixes and dashes, its identifiers split."""
+    steps = [(r"\(#\d+\)", ""), (r"#\d+\s*", ""), (rf"(?i)^(?:{'|'.join(CLOSERS)})\s*(?:#\d+\s*)?--?\s*", ""), (rf"(?i)^(?:{'|'.join(KINDS)})(?:\([^)]+\))?!?:\s*", ""), (r"\s*--\s*", " "),
+             (r"([a-z])([A-Z])", "$1 $2"), (r"([A-Z]+)([A-Z][a-z])", "$1 $2"), ("_", " "), (r"\s+", " ")]
+    for pattern, to in steps:
+        q = F.regexp_replace(q, pattern, to)
+    return F.trim(q)
+
+
+def glob_keywords(pattern: str) -> list[str]:
+    """The telling parts of a glob pattern."""
+    bare = re.sub(r"[\[\]{}]", " ", re.sub(r"\.\w+$", "", re.sub(r"\*\*?", " ", pattern)))
+    return [s for s in re.split(r"[/\s]+", bare) if len(s) > 2 and s not in ("src", "lib", "dist", "app", "index")]
+
+
+def first_hits(attempts: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The first result that has rows, else the last one."""
+    for attempt in attempts[:-1]:
+        found = attempt()
+        if not found.isEmpty():
+            return found
+    return attempts[-1]()
+
+
+FILE_WEIGHTS = {"path": 1.0, "symbol": 0.5, "endpoint": 0.7, "body": 1.0, "module": 0.6}
+SYMBOL_WEIGHTS = {"name": 0.5, "body": 1.0}
+
+
+def file_search(index: DataFrame, n_docs: int, query: list[str], deps: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
+    """(id, combined, matched) of the k best files: BM25 of a pool, weighted by how often files are imported.
+
+    index: postings of FILE_WEIGHTS; deps (src, dst); symbols (id, symbol) are words of names.
+    """
+    pool = bm25(index, n_docs, query).orderBy(F.round("score", 9), "id").limit(max(4 * k, 60)).select("id", "score")
+    out = deps.select(F.col("src").alias("id"), "dst").distinct().join(F.broadcast(pool.select("id")), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_out"))
+    into = deps.select(F.col("dst").alias("id"), "src").distinct().join(F.broadcast(pool.select("id")), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_in"))
+    sample = F.col("id").rlike(r"(?i)(^|/)(examples?|demos?|samples?)(/|$)")
+    x = pool.join(out, "id", "left").join(into, "id", "left").fillna(0, ["n_out", "n_in"]).withColumn("combined", F.col("score") * authority_quality(F.col("n_in"), F.col("n_out"), sample))
+    best = x.orderBy(F.round("combined", 9), "id").limit(k).select("id", "combined")
+    near = F.array_contains(F.transform(F.array(*map(F.lit, query)), lambda q: F.col("symbol").contains(q)), True)
+    hit = symbols.filter(near).join(F.broadcast(best.select("id")), "id", "left_semi").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("symbol")), 1, 6).alias("matched"))
+    return best.join(hit, "id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
+
+
+CALLERS, CALLEES = 30, 40
+
+
+def symbol_search(index: DataFrame, n_docs: int, query: list[str], functions: DataFrame, calls: DataFrame, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """(id, score) of the k best functions: BM25, how often source files call them, callees of the best, vectors.
+
+    index: postings of SYMBOL_WEIGHTS over functions (id, name, file, line); calls (caller, callee,
+    caller_file); vectors (id, sim). Pools are small and are broadcast; calls are aggregated once a use.
+    """
+    from strata.functions.text import non_source
+
+    source = calls.filter(~F.lower("caller_file").rlike("test|spec|mock|fixture|example|demo|sample"))
+    pool = bm25(index, n_docs, query).orderBy(F.round("score", 9), "id").limit(max(5 * k, 60)).select("id", (-F.col("score")).alias("v"))
+    pool = staged(pool.join(functions, "id"), "pool")  # used five times below
+    degree = source.join(F.broadcast(pool.select(F.col("name").alias("callee")).distinct()), "callee", "left_semi").groupBy(F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("indegree"))
+    callers = pool.orderBy(F.desc(F.round("v", 9)), "id").limit(CALLERS).select(F.col("name").alias("caller")).distinct()
+    hits = source.join(F.broadcast(callers), "caller", "left_semi").groupBy(F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("hits"))
+    callees = functions.join(hits, "name").orderBy(F.desc("hits"), "id").limit(CALLEES)
+    one = pool.agg(F.max("v").alias("most"), F.min("v").alias("least"), F.least(F.count(F.lit(1)), F.lit(CALLERS)).alias("callers"))
+    top = pool.select("name").distinct().join(degree, "name").agg(F.coalesce(F.max("indegree"), F.lit(1)).alias("most_in"))
+    sims = vectors if vectors is not None else functions.sparkSession.createDataFrame([], "id long, sim double")
+    b, a, v, c, cv = (0.5, 0.2, 0.3, 0.35, 0.3) if vectors is not None else (0.7, 0.3, 0.0, 0.45, 0.0)
+    sim = F.coalesce("sim", F.lit(0.0))
+    halved = lambda s: F.when(non_source(F.col("file")), s * 0.5).otherwise(s)
+    x = pool.join(degree, "name", "left").join(callees.select("name", F.lit(True).alias("called")).distinct(), "name", "left").join(sims, "id", "left").crossJoin(F.broadcast(one)).crossJoin(F.broadcast(top))
+    norm = (F.col("v") - F.col("least")) / F.when(F.col("most") > F.col("least"), F.col("most") - F.col("least")).otherwise(1.0)
+    bonus = F.when(~non_source(F.col("file")) & F.coalesce("called", F.lit(False)) & (norm < 0.2), 0.28).otherwise(0.0)
+    first = x.select("id", halved(b * norm + a * F.coalesce("indegree", F.lit(0)) / F.col("most_in") + v * sim + bonus).alias("score"))
+    y = callees.join(F.broadcast(pool.select("name").distinct()), "name", "left_anti").join(sims, "id", "left").crossJoin(F.broadcast(one))
+    second = y.select("id", halved(c * F.col("hits") / F.greatest("callers", F.lit(1)) + cv * sim).alias("score"))
+    return first.unionByName(second).orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+
+
+def categorical(items: DataFrame, query: str, caps: dict[str, int]) -> DataFrame:
+    """(category, label, score, place): the best items (category, ord, label, fields) of each category, as many as its cap."""
+    x = items.withColumn("score", best_field(F.col("fields"), query)).filter("score > 0")
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "ord")))
+    cap = F.element_at(F.create_map(*(F.lit(v) for kv in caps.items() for v in kv)), F.col("category"))
+    return x.filter(F.col("place") <= cap).select("category", "label", "score", "place")
+
+
+def snapshot_matches(items: DataFrame, tokens: list[str], ranks: DataFrame, most_functions: int = 10) -> DataFrame:
+    """(type, name, score) of items (type, name, file, texts); files and functions are blended with their file's rank (file, rank).
+
+    Functions are cut to the best ``most_functions`` before they are merged.
+    """
+    score = item_score(F.col("texts"), F.col("name"), F.col("file"), tokens)
+    x = items.withColumn("score", score).filter("score > 0").join(ranks, "file", "left")
+    blend = F.col("type").isin("files", "functions")
+    x = x.select("type", "name", F.when(blend, 0.7 * F.col("score") + 0.3 * F.coalesce("rank", F.lit(0.0))).otherwise(F.col("score")).alias("score"))
+    best = x.filter("type = 'functions'").orderBy(F.desc("score"), "name").limit(most_functions)
+    return x.filter("type <> 'functions'").unionByName(best)

@@ -22,9 +22,35 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
-def changed_files(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files (path, hash) whose content isn't in the cache yet."""
-    return files.join(cache.select("path", "hash"), ["path", "hash"], "left_anti")
+def changed_files(files: DataFrame, cache: DataFrame, config: str | None = None) -> DataFrame:
+    """Files (path, hash) whose content isn't in the cache yet; ``config`` is the hash of the settings that entries must have."""
+    known = cache if config is None else cache.filter(F.col("config") == config)
+    return files.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
+def live_entries(cache: DataFrame, files: DataFrame, config: str) -> DataFrame:
+    """Entries that still hold: same settings, same content, file still there; all others are evicted."""
+    return cache.filter(F.col("config") == config).join(files.select("path", "hash"), ["path", "hash"], "left_semi")
+
+
+def full_refresh(df: DataFrame, path: str) -> None:
+    """Replaces a whole table; readers see the old one until the new one is written."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def point(df: DataFrame, **keys) -> DataFrame:
+    for k, v in keys.items():
+        df = df.filter(F.col(k) == v)
+    return df
+
+
+def listed(df: DataFrame, key: str, **keys) -> DataFrame:
+    return point(df, **keys).select(key).orderBy(key)
+
+
+def backend_of(spark, table: str, folder: str) -> str:
+    """'table' if the catalog has it, else 'files'."""
+    return "table" if spark.catalog.tableExists(table) else "files"
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:

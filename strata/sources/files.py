@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 # Suffixes of code files and folders that scans leave out.
 CODE = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "py"]
 ALL_CODE = [*CODE, "mdx", "java", "go", "cs", "lean"]
-IGNORED = ["node_modules", "dist", "build", "venv", ".venv", "__pycache__", "vendor", "target", "coverage"]
+IGNORED = [".git", ".lake", "node_modules", "dist", ".next", ".nuxt", "coverage", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", "target", ".gradle", "generated", "generated-sources", "vendor", "obj", "bin", "build", ".specs", ".cache"]
+SOURCE = "py ts tsx js jsx go java cs rb rs cpp c h php swift kt".split()
+NOISE = r"test|tests|spec|specs|__pycache__|node_modules|vendor|\.git|\.tox|\.venv|venv"
 
 
 def ignored(path: Column, names: list[str] = IGNORED, prefixes: list[str] = ()) -> Column:
@@ -20,12 +22,12 @@ def ignored(path: Column, names: list[str] = IGNORED, prefixes: list[str] = ())
     folders = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     hit = F.exists(folders, lambda s: s.isin(names) | (s.startswith(".") & (F.length(s) > 1)))
     for p in prefixes:
-        hit = hit | path.startswith(p.rstrip("/") + "/")
+        hit = hit | (path == p.rstrip("/")) | path.startswith(p.rstrip("/") + "/")
     return hit
 
 
 def source_file(path: Column) -> Column:
-    return path.rlike(rf"\.({'|'.join(ALL_CODE)})$") & ~path.rlike(r"(^|/)(tests?|specs?|__tests__|vendor|node_modules|venv)/")
+    return F.lower(path).rlike(rf"\.({'|'.join(SOURCE)})$") & ~path.rlike(rf"(?i)(^|/)({NOISE})/")
 
 
 def scan_code(spark: SparkSession, root: str, suffixes: list[str] = CODE) -> DataFrame:
@@ -38,8 +40,9 @@ def scan_code(spark: SparkSession, root: str, suffixes: list[str] = CODE) -> Dat
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
     """Tolerant: bad lines are dropped. Strict: '//' lines are comments, a bad line fails the job."""
-    if not strict:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    if not strict:  # a line that is no object gives nulls only under a pruned schema, so it is parsed and dropped here
+        parsed = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").alias("v"))
+        return parsed.filter("v is not null and schema_of_variant(v) like 'OBJECT%'").select("r.*")
     text = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(//.*)?$"))
     return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 

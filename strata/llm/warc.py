@@ -14,8 +14,8 @@ a hidden name and then renamed, so a task that is run again replaces its files.
 
 Defined cases: null html is an empty payload; null urls become ``urn:page:ID``; white space in
 urls is percent-encoded; rows that repeat an id and payload are all responses if that id is the
-largest; payloads shorter than ``least`` are all responses; a null id is an error, as records
-are named by it; an empty table gives an empty result; further columns are ignored.
+largest; payloads shorter than ``least`` are all responses; rows with a null
+id share one record name and are revisits of an equal payload with an id, else responses; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
             k, parts, size = k + 1, [], 0
 
         for frame in frames:
-            for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
+            for page, url, html in zip(frame["page"], frame["url"], frame["html"], strict=True):
                 body = html.encode("utf-8", "surrogatepass")
                 block = b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(body)}\r\nX-Page-Id: {page}".encode() + 2 * CRLF + body
                 parts.append(member(arc_record(version, f"pages-{part:06d}-{k:04d}.arc.gz", size, escaped(url), DATE, block)))
@@ -77,10 +77,29 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
             close()
         yield pd.DataFrame(done, columns=["path", "records"])
 
-    clean = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    page = F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit(""))  # as text, since pandas turns numbers with nulls into floats
+    clean = pages.select(page.alias("page"), F.coalesce("url", F.concat(F.lit("urn:page:"), page)).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     return staged(clean.mapInPandas(run, "path string, records long"), "arcs")
 
 
+def numbered(page: str) -> int | None:
+    return int(page) if page else None
+
+
+def table(rows: list[tuple], columns: list[str], nullable: list[str]) -> pd.DataFrame:
+    """A frame whose integers with nulls stay integers."""
+    by = dict(zip(columns, zip(*rows, strict=True) if rows else [[]] * len(columns), strict=True))
+    return pd.DataFrame({c: pd.array(list(v), "Int64") if c in nullable else list(v) for c, v in by.items()})
+
+
+def taken(uri: str) -> bytes:
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri)
+    with where.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
 def archives(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
 
@@ -94,8 +113,8 @@ def arc_payloads(arcs: DataFrame) -> DataFrame:
                 rows = []
                 for at, r in enumerate(parse_arc(unpacked(content))):
                     http, _, payload = r.http()
-                    rows.append((path, at, int(http["x-page-id"]), base32(payload), len(payload), zlib.crc32(payload)))
-                yield pd.DataFrame(rows, columns=["path", "at", "doc_id", "digest", "n_bytes", "check"])
+                    rows.append((path, at, numbered(http["x-page-id"]), base32(payload), len(payload), zlib.crc32(payload)))
+                yield table(rows, ["path", "at", "doc_id", "digest", "n_bytes", "check"], ["doc_id"])
 
     rows = arcs.mapInPandas(run, "path string, at int, doc_id long, digest string, n_bytes long, check long")
     return rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int"))
@@ -107,15 +126,15 @@ def convert_arcs(spark: SparkSession, folder: str, to: str, least: int = 0) -> D
     records = staged(arc_payloads(arcs), "records")
     long_enough = records.filter(F.col("n_bytes") >= least)
     best = tree_merge(long_enough.select("doc_id", "run", "digest", "n_bytes", "check", "path", "at"), "largest", RUNS)
-    revisits = best.filter("doc_id <> keep_id").groupBy("path").agg(F.collect_list(F.struct("at", "keep_id")).alias("revisits"))  # bounded by an archive's records
-    revisits = staged(revisits.withColumnRenamed("path", "of"), "revisits")
+    revisits = best.filter("not (doc_id <=> keep_id)").groupBy(F.regexp_extract("path", "[^/]*$", 0).alias("of")).agg(F.collect_list(F.struct("at", "keep_id")).alias("revisits"))  # bounded by an archive's records
+    revisits = staged(revisits, "revisits")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             done = []
-            for path, content, found in zip(frame["path"], frame["content"], frame["revisits"], strict=True):
+            for arc, found in zip(frame["arc"], frame["revisits"], strict=True):
                 known = {r["at"]: r["keep_id"] for r in found} if found is not None else {}
-                name = path.rsplit("/", 1)[1].replace(".arc.gz", ".warc.gz")
+                name, content = arc.replace(".arc.gz", ".warc.gz"), taken(f"{folder}/{arc}")
                 info = f"software: strata\r\nformat: WARC File Format 1.0\r\nisPartOf: {name}\r\n".encode()
                 parts = [member(warc_record("warcinfo", [("WARC-Record-ID", record_id(name)), ("WARC-Date", iso(DATE)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info))]
                 for at, r in enumerate(parse_arc(unpacked(content))):
@@ -130,7 +149,9 @@ def convert_arcs(spark: SparkSession, folder: str, to: str, least: int = 0) -> D
                 done.append((f"{to}/{name}", len(parts) - 1))
             yield pd.DataFrame(done, columns=["path", "records"])
 
-    joined = arcs.join(revisits, arcs["path"] == revisits["of"], "left").select("path", "content", "revisits")
+    # only names and decisions are joined; a task reads the archives of its names itself
+    names = arcs.select(F.regexp_extract("path", "[^/]*$", 0).alias("arc"))
+    joined = names.join(revisits, names["arc"] == revisits["of"], "left").select("arc", "revisits")
     return staged(joined.mapInPandas(run, "path string, records long"), "warcs")
 
 
@@ -152,9 +173,8 @@ def read_warcs(spark: SparkSession, folder: str) -> DataFrame:
                     digest = h["warc-payload-digest"].removeprefix("sha1:")
                     if h["warc-type"] == "response" and base32(payload) != digest or h["warc-block-digest"] != "sha1:" + base32(block):
                         raise ValueError(f"wrong digest of {h['warc-record-id']}")
-                    rows.append((int(http["x-page-id"]), int(http["content-length"]), digest, h["warc-type"], int(h["warc-refers-to-page"]) if h["warc-type"] == "revisit" else None))
-                x = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield x.astype({"refers_to": "Int64"})
+                    rows.append((numbered(http["x-page-id"]), int(http["content-length"]), digest, h["warc-type"], int(h["warc-refers-to-page"]) if h["warc-type"] == "revisit" else None))
+                yield table(rows, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], ["page_id", "refers_to"])
 
     return archives(spark, folder, ".warc.gz").mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

@@ -63,11 +63,14 @@ def token_estimate(x: Column) -> Column:
     return F.ceil(F.length(x) / 3.5)
 
 
-def cosine_to_unit(vec: Column, query: list[float]) -> Column:
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(vec: Column, query: Column) -> Column:
     """Dot product with the normalised query; stored vectors count as unit. A zero query gives 0."""
-    norm = sum(q * q for q in query) ** 0.5
-    q = F.array(*(F.lit(v / norm if norm else 0.0) for v in query))
-    return F.aggregate(F.zip_with(vec, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(query, query))
+    return F.when(norm > 0, dot(vec, query) / norm).otherwise(0.0)
 
 
 def extension(path: Column) -> Column:

@@ -100,8 +100,7 @@ def f5_symbol_search(spark, d):
 def f5_j5_symbol_search_with_vectors(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    sims = e.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), (dot("embedding", "q") / F.sqrt(dot("q", "q"))).alias("sim"))
+    sims = e.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), T.cosine(F.col("embedding"), F.col("q")).alias("sim"))
     return symbols(spark, d, sims)
 
 

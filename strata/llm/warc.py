@@ -35,6 +35,8 @@ from .exact_dedup import tree_merge
 
 ARCHIVE_BYTES = 16 << 20
 RUNS = 64
+#: Tasks that convert archives at most.
+TASKS = 100_000
 #: Fixed archive date of pages, which have none of their own.
 DATE = "20240101000000"
 
@@ -151,7 +153,8 @@ def convert_arcs(spark: SparkSession, folder: str, to: str, least: int = 0) -> D
 
     # only names and decisions are joined; a task reads the archives of its names itself
     names = arcs.select(F.regexp_extract("path", "[^/]*$", 0).alias("arc"))
-    joined = names.join(revisits, names["arc"] == revisits["of"], "left").select("arc", "revisits")
+    # names are so small that they would be put together into few tasks, so they are dealt out by number
+    joined = names.join(revisits, names["arc"] == revisits["of"], "left").select("arc", "revisits").repartition(max(1, min(names.count(), TASKS)), "arc")
     return staged(joined.mapInPandas(run, "path string, records long"), "warcs")
 
 

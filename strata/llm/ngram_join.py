@@ -11,7 +11,7 @@ Data flow. (1) One pass gives each document's set size, a 64-bit name of its set
 check it (a clash names all sets anew) and the shingles that are frequent in its task; documents
 of equal sets are one node from there on. (2) A second pass sends prefix postings, packed per token
 bucket (their number follows from the measured sizes); a token's entries meet and only those with
-company stay, each node once. (3) Pivot rounds: in every token's list,
+company stay, each node once. (3) Pivot rounds, as long as they find much: in every token's list,
 documents outside the list's largest component are compared with a few of its members, so a
 group of g near copies joins up with O(g) comparisons. (4) The exhaustive round lists all pairs
 of documents that are still in different components and share l prefix tokens, with length and
@@ -21,7 +21,9 @@ lost. Pairs inside a component are never needed. Verification compares whole set
 Bitmap filter: each set has BITS bits, a bit being the parity of the tokens that fall on it. The
 bits that differ between two sets are at most the tokens that only one of them has, and a link
 leaves at most a seventh of both sizes; so a pair with more differing bits is no link. Lists carry
-BITS bits; pairs found are looked up again by WIDE bits, which still tell large sets apart.
+BITS bits; pairs found are looked up again by bitmaps of about two bits a token, folded to the same
+width, which tell large sets apart too. Of a pivot round's pairs only the NEAREST of each document
+are verified; the exhaustive round verifies all.
 
 The order of frequent tokens is only an estimate and affects cost, not results. Lists of more
 than ``BLOCK`` expected entries are dealt into blocks that meet pairwise.
@@ -58,14 +60,17 @@ LEVELS = 24
 #: that is taken to have company beyond what was counted.
 VERIFY, COMPANY = 64, 0.05
 BLOCK = 8_192
-MEMBERS, BEST, PIVOT_ROUNDS = 6, 6, 3
+MEMBERS, BEST, NEAREST, PIVOT_ROUNDS = 6, 6, 2, 3
+#: Pivot rounds end with one that finds this share of the most links that one has found, or less.
+GAIN = 0.05
 #: Places for the lists of one home, and rows of a home that a task holds at once.
 PARTS, HELD = 2, 400_000
 #: Postings of a bucket on average; names of sets that a task keeps in mind.
 BUCKET, SEEN = 300_000, 100_000
 #: Copies of a group's row for a join with its sets; sets with more than one in MANY rows are hot.
 SALTS, MANY = 16, 1_000
-BITS, WIDE = 256, 2_048
+#: Bits of a list's bitmaps; most bits of a set's own one.
+BITS, WIDE = 256, 65_536
 BIT_COLS = [f"b{i}" for i in range(BITS // 64)]
 U = np.uint64
 
@@ -317,18 +322,28 @@ def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
     return together.mapInArrow(run, "x long, y long, level long, c long")
 
 
+def differing(p: np.ndarray, q: np.ndarray) -> int:
+    """Differing bits of two bitmaps, the wider one folded; at most the tokens only one set has."""
+    while len(p) != len(q):
+        p, q = sorted((p, q), key=len)
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum(dtype=np.int64))
+
+
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that the wide bitmaps don't rule out; only bitmaps travel, no sets."""
+    """The pairs that the wide bitmaps don't rule out, with their share of differing bits; no sets travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, WIDE // 64) for c in (3, 5))
-            keep = 7 * np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            size = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            wide = zip(batch.column(3), batch.column(5), strict=True)
+            d = np.fromiter((differing(np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)) for p, q in wide), np.int64, batch.num_rows)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d / size)], names=["x", "y", "far"])
+            yield found.filter(pa.array(7 * d <= size, pa.bool_()))
 
     end = lambda e: sets.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("wide").alias(f"w{e}"))
     both = pairs.join(end("x"), "x").join(end("y"), "y")
-    return both.select("x", "y", "nx", "wx", "ny", "wy").mapInArrow(run, "x long, y long")
+    return both.select("x", "y", "nx", "wx", "ny", "wy").mapInArrow(run, "x long, y long, far double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -348,11 +363,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in the shared folder, dealt by ``key``: joins on it don't shuffle it again."""
+    """``df``, dealt by ``key`` to as many tasks as a shuffle has, as a table in the shared folder: joins on it don't shuffle it again."""
     spark = df.sparkSession
     n, name = shuffle_width(spark), f"strata_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/strata/{name}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.staged_at, out.table = path, name
     return out
@@ -364,6 +379,11 @@ def parities(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(odd).view(U)
 
 
+def wide_bits(n: int) -> int:
+    """The least power of two of at least two bits a token, from BITS to WIDE."""
+    return min(max(1 << (2 * n - 1).bit_length(), BITS), WIDE)
+
+
 def set_bytes(docs: DataFrame, k: int, salt: int) -> DataFrame:
     """node, size, members and bitmaps of each document's set."""
 
@@ -372,7 +392,7 @@ def set_bytes(docs: DataFrame, k: int, salt: int) -> DataFrame:
             for s in range(0, batch.num_rows, 500):
                 sets = [shingle_set(t.as_py(), k) for t in batch.column(2)[s : s + 500]]
                 bits = np.array([parities(h) for h in sets], U).reshape(len(sets), len(BIT_COLS)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(h, salt)[0] for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([parities(h, WIDE).tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "n", "members", "wide", *BIT_COLS])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(h, salt)[0] for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([parities(h, wide_bits(len(h))).tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "n", "members", "wide", *BIT_COLS])
 
     return docs.mapInArrow(run, f"node long, n long, members binary, wide binary, {', '.join(f'{c} long' for c in BIT_COLS)}")
 
@@ -392,17 +412,16 @@ def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int,
     # x of a pair has n and so base_level at least as large as y: fewer shared tokens than its own
     # base_level rule a set out of all pairs
     enough = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.ceil(F.col("n") * 0.75), F.floor(F.sqrt(F.lit(VERIFY * COMPANY / 4) * F.col("n")))))
-    ranked = shared.withColumn("rank", (F.row_number().over(by_node.orderBy("pos")) - 1).cast("long")).withColumn("k", F.count(F.lit(1)).over(by_node))
-    runs = staged(ranked.filter(F.col("k") >= enough).drop("k"), "runs")
+    ranked = shared.repartition(shuffle_width(spark), "node").withColumn("rank", (F.row_number().over(by_node.orderBy("pos")) - 1).cast("long")).withColumn("k", F.count(F.lit(1)).over(by_node))
+    runs = bucketed(ranked.filter(F.col("k") >= enough).drop("k"), "node")
     discard(shared)
     wanted = classes.join(runs.filter("rank = 0").select("node").distinct(), "node", "left_semi")
     wanted = staged(wanted.select(F.col("first.key").alias("doc_id"), F.col("first.at").alias("at")), "wanted")
     some = rows.join(wanted.select("at"), "at", "left_semi").select("doc_id", "at", "text")  # copies of a row are a node twice, which repeats links
-    sets = bucketed(set_bytes(some, k, salt), "node")
+    sets = bucketed(set_bytes(some, k, salt).repartition(shuffle_width(spark), "node"), "node")
 
-    comp = None
+    comp, every, most = None, False, 0
     for round_ in range(PIVOT_ROUNDS + 1):
-        every = round_ == PIVOT_ROUNDS
         now = runs.withColumn("comp", F.col("node")) if comp is None else runs.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
         if every:
             now = now.join(sets.select("node", *BIT_COLS), "node")
@@ -411,7 +430,10 @@ def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int,
             pairs = pairs.filter("c >= level")
         else:  # a list's pivots are some of a few, so a pair meets in about a quarter of its tokens
             pairs = pairs.filter("4 * c >= level").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("k") <= BEST)
-        links = staged(verified(staged(plausible(pairs.select("x", "y"), sets), "pairs"), sets), "links")
+        near = plausible(pairs.select("x", "y"), sets)
+        if not every:
+            near = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("far", "y"))).filter(F.col("k") <= NEAREST)
+        links = staged(verified(staged(near.select("x", "y"), "pairs"), sets), "links")
         if comp is None:
             comp = components(links)
         elif not links.isEmpty():
@@ -421,8 +443,14 @@ def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int,
             merged = components(ends.filter("x <> y"))
             known = comp.select("node", F.col("component").alias("old")).unionByName(merged.select("node", F.col("node").alias("old"))).distinct()
             comp = staged(known.join(merged.select(F.col("node").alias("old"), "component"), "old", "left").groupBy("node").agg(F.min(F.coalesce("component", "old")).alias("component")), "comp")
+        if every:
+            break
+        gained = links.count()
+        most = max(most, gained)
+        every = round_ + 1 == PIVOT_ROUNDS or gained <= GAIN * most
     discard(runs, wanted, sets)
-    spark.sql(f"DROP TABLE IF EXISTS {sets.table}")
+    for table in (runs, sets):
+        spark.sql(f"DROP TABLE IF EXISTS {table.table}")
     return comp
 
 

@@ -38,3 +38,17 @@ def test_exhaustive_round_keeps_links(spark, monkeypatch, longer):
         batch = pa.RecordBatch.from_arrays(cols, names=["home", "token", "node", "comp", "n", "pos", "level", "rank", *ngram_join.BIT_COLS])
         links += sum(len(x) for x in run(iter([batch])))
     assert links == len(range(30, 401, 2)) and differ > 30
+
+
+def test_folded_bitmaps_keep_links():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 120, 130, 500, 2100, 40_000):
+        for drop in (0, n // 9, n // 7):
+            base = np.unique(rng.integers(0, 2**64, n + drop, dtype=np.uint64))
+            a, b = base[drop:], base
+            p, q = (ngram_join.parities(x, ngram_join.wide_bits(len(x))) for x in (a, b))
+            assert ngram_join.differing(p, q) == ngram_join.differing(q, p) <= len(np.setxor1d(a, b))
+            if len(p) < len(q):
+                assert ngram_join.differing(p, q) == ngram_join.differing(p, ngram_join.parities(b, 64 * len(p)))
+    x, y = (rng.integers(0, 2**64, 3000, dtype=np.uint64) for _ in "ab")
+    assert 7 * ngram_join.differing(*(ngram_join.parities(s, ngram_join.wide_bits(3000)) for s in (x, y))) > 6000

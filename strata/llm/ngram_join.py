@@ -11,7 +11,7 @@ Data flow. (1) One pass gives each document's set size, a 64-bit name of its set
 check it (a clash names all sets anew) and the shingles that are frequent in its task; documents
 of equal sets are one node from there on. (2) A second pass sends prefix postings, packed per token
 bucket (their number follows from the measured sizes); a token's entries meet and only those with
-company stay, each node once. (3) Pivot rounds, as long as they find much: in every token's list,
+company stay, each node once. (3) Pivot rounds: in every token's list,
 documents outside the list's largest component are compared with a few of its members, so a
 group of g near copies joins up with O(g) comparisons. (4) The exhaustive round lists all pairs
 of documents that are still in different components and share l prefix tokens, with length and
@@ -61,8 +61,8 @@ LEVELS = 24
 VERIFY, COMPANY = 64, 0.05
 BLOCK = 8_192
 MEMBERS, BEST, NEAREST, PIVOT_ROUNDS = 6, 6, 2, 3
-#: Pivot rounds end with one that finds this share of the most links that one has found, or less.
-GAIN = 0.05
+#: Most row keys that are broadcast to pick texts, 16 bytes each; more are joined by a shuffle.
+PICKED = 1_000_000
 #: Places for the lists of one home, and rows of a home that a task holds at once.
 PARTS, HELD = 2, 400_000
 #: Postings of a bucket on average; names of sets that a task keeps in mind.
@@ -417,11 +417,14 @@ def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int,
     discard(shared)
     wanted = classes.join(runs.filter("rank = 0").select("node").distinct(), "node", "left_semi")
     wanted = staged(wanted.select(F.col("first.key").alias("doc_id"), F.col("first.at").alias("at")), "wanted")
-    some = rows.join(wanted.select("at"), "at", "left_semi").select("doc_id", "at", "text")  # copies of a row are a node twice, which repeats links
+    picked = wanted.select("at")
+    picked = F.broadcast(picked) if picked.count() <= PICKED else picked  # keeps whole texts out of a shuffle
+    some = rows.join(picked, "at", "left_semi").select("doc_id", "at", "text")  # copies of a row are a node twice, which repeats links
     sets = bucketed(set_bytes(some, k, salt).repartition(shuffle_width(spark), "node"), "node")
 
-    comp, every, most = None, False, 0
+    comp = None
     for round_ in range(PIVOT_ROUNDS + 1):
+        every = round_ == PIVOT_ROUNDS
         now = runs.withColumn("comp", F.col("node")) if comp is None else runs.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
         if every:
             now = now.join(sets.select("node", *BIT_COLS), "node")
@@ -443,11 +446,6 @@ def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int,
             merged = components(ends.filter("x <> y"))
             known = comp.select("node", F.col("component").alias("old")).unionByName(merged.select("node", F.col("node").alias("old"))).distinct()
             comp = staged(known.join(merged.select(F.col("node").alias("old"), "component"), "old", "left").groupBy("node").agg(F.min(F.coalesce("component", "old")).alias("component")), "comp")
-        if every:
-            break
-        gained = links.count()
-        most = max(most, gained)
-        every = round_ + 1 == PIVOT_ROUNDS or gained <= GAIN * most
     discard(runs, wanted, sets)
     for table in (runs, sets):
         spark.sql(f"DROP TABLE IF EXISTS {table.table}")

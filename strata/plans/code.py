@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as T
 from strata.operators import code as C
 from strata.operators import facts as X
+from strata.operators import sessions as P
 
 from .catalogue import query, table
 from .codebase import PATTERN, WITH, fact
@@ -281,13 +282,29 @@ def a15_category_counts(spark, d):
     return n("endpoints", fact(spark, d, "endpoints")).unionByName(n("models", fact(spark, d, "models"))).unionByName(n("pages", fact(spark, d, "page_calls").select("page").distinct())).unionByName(n("modules", fact(spark, d, "modules")))
 
 
-@query("SELECT count(*) AS calls, sum(CAST(ceil(length(props) / 3.5) AS BIGINT))::BIGINT AS tokens, greatest(0, count(*) * 400 - sum(CAST(ceil(length(props) / 3.5) AS BIGINT)))::BIGINT AS saved, CAST(floor((count(*) * 400 - sum(CAST(ceil(length(props) / 3.5) AS BIGINT))) / (count(*) * 400)::DOUBLE * 100 + 0.5) AS BIGINT) || '%' AS ratio, (SELECT count(*) FROM (SELECT ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) WHERE ts - p <= INTERVAL 30 MINUTE) AS cache_hits FROM events")
+def misses(key: str, seconds: int) -> str:
+    """The chain of misses of each key: the first call, then the first one at least a TTL after the last miss."""
+    return f"WITH RECURSIVE c AS (SELECT {key} AS k, ts, event_type, props FROM events), m(k, ts) AS (SELECT k, min(ts) FROM c GROUP BY k UNION ALL SELECT m.k, min(c.ts) FROM m JOIN c ON c.k = m.k AND c.ts >= m.ts + INTERVAL {seconds} SECOND GROUP BY m.k, m.ts)"
+
+
+TOKENS = "sum(CAST(ceil(length(props) / 3.5) AS BIGINT))"
+METRICS = f"count(*) AS calls, {TOKENS}::BIGINT AS tokens, greatest(0, count(*) * 400 - {TOKENS})::BIGINT AS saved, CAST(floor(greatest(0, count(*) * 400 - {TOKENS}) / (count(*) * 400)::DOUBLE * 100 + 0.5) AS BIGINT) || '%' AS ratio"
+
+
+def session_calls(spark, d, key, seconds):
+    e = table(spark, d, "events").select("event_id", "ts", "event_type", "props")
+    return P.cache_hits(e, key, "ts", "event_id", seconds)
+
+
+@query(f"{misses('(event_type, props)', 30)} SELECT {METRICS}, count(*) - (SELECT count(*) FROM m) AS cache_hits FROM c")
 def a14_q6_session_summary(spark, d):
-    e = table(spark, d, "events")
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    x = e.withColumn("hit", F.coalesce(gap <= F.expr("INTERVAL '30' MINUTE"), F.lit(False))).agg(F.count(F.lit(1)).alias("calls"), F.sum(T.token_estimate(F.col("props")).cast("long")).alias("tokens"), F.count(F.when(F.col("hit"), 1)).alias("cache_hits"))
-    saved = F.col("calls") * 400 - F.col("tokens")
-    return x.select("calls", "tokens", F.greatest(saved, F.lit(0)).alias("saved"), F.concat(T.half_up(saved / (F.col("calls") * 400) * 100).cast("long").cast("string"), F.lit("%")).alias("ratio"), "cache_hits")
+    return P.session_metrics(session_calls(spark, d, ["event_type", "props"], 30), T.token_estimate(F.col("props")).cast("long"), F.col("hit"))
+
+
+@query(f"{misses('event_type', 1800)} SELECT event_type AS tool, {METRICS}, count(*) - (SELECT count(*) FROM m WHERE m.k = event_type) AS cache_hits FROM c GROUP BY event_type")
+def st2_cache_hits_by_tool(spark, d):
+    x = session_calls(spark, d, ["event_type"], 1800).withColumnRenamed("event_type", "tool")
+    return P.session_metrics(x, T.token_estimate(F.col("props")).cast("long"), F.col("hit"), ["tool"])
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1")

@@ -6,8 +6,12 @@ twelve modules; API files hold endpoints, model files hold models, suppliers sta
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.sources.staging import once, once_at
+
 BASE = ["part", "supplier", "lineitem"]
 G, S = "CAST(floor(p_partkey / 5) AS BIGINT)", "CAST({} AS STRING)"
 UNIT = f"{S.format(G)}"
@@ -41,7 +45,18 @@ WITH = "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in FACTS.items())
 PATTERN = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[?].*$', ''), '[$]?[{{][^}}]+[}}]|<[^>]+>|:[A-Za-z0-9_]+', ':param', 'g'), '/+', '/', 'g'), '/$', ''), ''), '/')"
 
 
+def needs(name: str, known: list[str]) -> list[str]:
+    return [t for t in known if re.search(rf"\b(?:FROM|JOIN) {t}\b", FACTS[name])]
+
+
 def fact(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A fact table; only the base columns that it needs are read."""
-    base = ", ".join(f"{t} AS (SELECT * FROM parquet.`{d}/{t}.parquet`)" for t in BASE)
-    return spark.sql(f"WITH {base}, {WITH[5:]} SELECT * FROM {name}")
+    """A fact table, made once per application and folder from the base tables and facts that it names."""
+
+    def build() -> DataFrame:
+        places = {t: f"{d}/{t}.parquet" for t in needs(name, BASE)}
+        for t in needs(name, list(FACTS)[: list(FACTS).index(name)]):
+            fact(spark, d, t)
+            places[t] = once_at(spark, f"fact_{t}", d)
+        return spark.sql("WITH " + ", ".join(f"{t} AS (SELECT * FROM parquet.`{p}`)" for t, p in places.items()) + " " + FACTS[name])
+
+    return once(spark, f"fact_{name}", d, build)

@@ -6,7 +6,13 @@ import re
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Tables written once per application: (application, name, key) to path and schema.
+ONCE: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +33,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/strata/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, written when first asked for and read from then on.
+
+    ``key`` names what it was made from (a folder); a source that changes under the same key within one application isn't seen.
+    """
+    at = (spark.sparkContext.applicationId, name, key)
+    if at not in ONCE:
+        df = build()
+        path = f"{shared_dir(spark)}/strata/{uuid.uuid4().hex}/{name}"
+        df.write.parquet(path)
+        ONCE[at] = (path, df.schema)
+    path, schema = ONCE[at]
+    return spark.read.schema(schema).parquet(path)
+
+
+def once_at(spark: SparkSession, name: str, key: str) -> str:
+    """The folder of a table that ``once`` has written."""
+    return ONCE[spark.sparkContext.applicationId, name, key][0]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import VersionedStore
+
+#: Name of the one table of a folder that ``full_refresh`` writes.
+TABLE = "data"
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same keys."""
@@ -34,8 +39,13 @@ def live_entries(cache: DataFrame, files: DataFrame, config: str) -> DataFrame:
 
 
 def full_refresh(df: DataFrame, path: str) -> None:
-    """Replaces a whole table; readers see the old one until the new one is written."""
-    df.write.mode("overwrite").parquet(path)
+    """Replaces a whole table; readers keep the old one, and a refresh that fails changes nothing. See ``versions``."""
+    VersionedStore(df.sparkSession, path).refresh(TABLE, df)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``full_refresh`` wrote last, pinned."""
+    return VersionedStore(spark, path).read(TABLE)
 
 
 def point(df: DataFrame, **keys) -> DataFrame:
@@ -48,9 +58,9 @@ def listed(df: DataFrame, key: str, **keys) -> DataFrame:
     return point(df, **keys).select(key).orderBy(key)
 
 
-def backend_of(spark, table: str, folder: str) -> str:
-    """'table' if the catalog has it, else 'files'."""
-    return "table" if spark.catalog.tableExists(table) else "files"
+def backend_of(spark: SparkSession, table: str, folder: str) -> str:
+    """'table' if the catalog or the versioned store in ``folder`` has it, else 'files'."""
+    return "table" if spark.catalog.tableExists(table) or table in VersionedStore(spark, folder).version().tables else "files"
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:

@@ -112,9 +112,9 @@ def test_store(spark, tmp_path):
     assert [r["path"] for r in store.live_entries(cache, now, "c").collect()] == ["a"]
     store.full_refresh(cache, str(tmp_path / "t"))
     store.full_refresh(now.withColumn("config", F.lit("c")), str(tmp_path / "t"))
-    t = spark.read.parquet(str(tmp_path / "t"))
+    t = store.current(spark, str(tmp_path / "t"))
     assert store.point(t, path="b").first()["hash"] == "9" and [r["path"] for r in store.listed(t, "path", config="c").collect()] == ["a", "b", "d"]
-    assert store.backend_of(spark, "no_such_table", "x") == "files"
+    assert store.backend_of(spark, "no_such_table", str(tmp_path / "x")) == "files" and store.backend_of(spark, "data", str(tmp_path / "t")) == "table"
     assert [r["hash"] for r in store.last_wins(cache, ["config"], "hash").orderBy("config").collect()] == ["2", "3"]
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
+from strata.sources.staging import staged
+
+from .substrings import related_paths, texts_with
 
 SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py"]
 
@@ -207,19 +210,21 @@ def pattern_registry(patterns: DataFrame, endpoints: DataFrame) -> DataFrame:
 def impact(targets: DataFrame, endpoints: DataFrame, models: DataFrame, modules: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
     """Per target file (a stated set): endpoints, models, affected endpoints, dependent modules, pages, total and risk.
 
-    imports has (from_module, to_module); calls (page, path). Targets are few and broadcast.
+    imports has (from_module, to_module); calls (page, path). Paths meet by ``related_paths``.
     """
     from strata.operators.facts import module_of
 
-    t = F.broadcast(targets.select(F.col("path").alias("target")).distinct())
-    in_file = lambda df, *c: df.join(t, T.paths_related(F.col("target"), F.col("file"))).select("target", *c)
+    files = endpoints.select("file").unionByName(models.select("file")).distinct()
+    related = staged(related_paths(targets.select(F.col("path").alias("target")), files), "related")
+    in_file = lambda df, *c: df.join(related, "file").select("target", *c)
     e, m = in_file(endpoints, "eid", "path"), in_file(models, "name")
     schemas = endpoints.select("eid", F.explode(F.array_compact(F.array("request_schema", "response_schema"))).alias("name"))
     hit = m.join(schemas, "name").select("target", "eid").distinct()
     home = module_of(targets.select("path"), "path", modules.select("id", F.col("path").alias("module_path")), "module_path", "id").select(F.col("path").alias("target"), F.col("id").alias("to_module"))
     dep = home.join(imports.select("from_module", "to_module").distinct(), "to_module").select("target", "from_module")
     heads = e.select("target", F.split_part("path", F.lit("{"), F.lit(1)).alias("head")).distinct()
-    pages = calls.join(F.broadcast(heads), F.col("path").contains(F.col("head"))).select("target", "page").distinct()
+    hold = texts_with(calls.select(F.col("path").alias("text")), heads.select(F.col("head").alias("pattern")))
+    pages = calls.join(hold, F.col("path") == F.col("text")).join(heads, F.col("head") == F.col("pattern")).select("target", "page").distinct()
     n = lambda df, to: df.groupBy("target").agg(F.count(F.lit(1)).alias(to))
     x = targets.select(F.col("path").alias("target")).distinct()
     names = ["endpoints", "models", "affected", "modules", "pages"]
@@ -240,7 +245,8 @@ def feature_context(endpoints: DataFrame, models: DataFrame, fields: DataFrame,
     near = schemas(e.filter(~F.col("key").isin(wanted))).join(names, "name", "left_semi").select("key").distinct()
     hit = models.join(names, "name", "left_semi")
     used = fields.join(hit.select("name"), "name", "left_semi").select(F.lower("field").alias("field")).distinct()
-    named = F.broadcast(enums).join(used, F.col("field").contains(F.lower("enum"))).select("enum").distinct()  # enums of one code base
+    named = texts_with(used.select(F.col("field").alias("text")), enums.select(F.lower("enum").alias("pattern"))).select("pattern").distinct()
+    named = enums.join(named, F.lower("enum") == F.col("pattern")).select("enum").distinct()
     parts = [("declared", own, "key"), ("neighbour", near, "key"), ("model", hit, "name"), ("enum", named, "enum")]
     out = [df.select(F.lit(k).alias("kind"), F.col(c).alias("id")).distinct() for k, df, c in parts]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
@@ -383,8 +389,9 @@ def file_context(targets: DataFrame, endpoints: DataFrame, models: DataFrame, fi
     """Per target path (a stated set): its module, endpoints, models with field counts, calls, and who calls it (eight at most)."""
     from strata.operators.facts import module_of
 
-    t = F.broadcast(targets.select(F.col("path").alias("target")))
-    near = lambda df, *c: df.join(t, T.paths_related(F.col("target"), F.col("file"))).select("target", *c)
+    t = targets.select(F.col("path").alias("target"))
+    related = staged(related_paths(t, endpoints.select("file").unionByName(models.select("file"))), "related")
+    near = lambda df, *c: df.join(related, "file").select("target", *c)
     shown = lambda df, key, value, to: df.groupBy("target").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(key, value.alias("v")))), lambda x: x["v"]), ",").alias(to))
     name = F.concat_ws(" ", "method", "path")
     e = near(endpoints.withColumn("label", name), "eid", "label")
@@ -392,10 +399,13 @@ def file_context(targets: DataFrame, endpoints: DataFrame, models: DataFrame, fi
     m = near(models.join(n, "name", "left").fillna(0, ["n"]), "name", "n")
     told = e.join(calls.filter(~F.col("call").isin(T.GENERIC)), "eid").select("target", "call")
     stem = F.lower(F.regexp_replace(T.basename(F.col("target")), r"\.[^.]*$", ""))
-    by = calls.join(t, F.lower("call").contains(stem)).select("target", "eid").distinct().join(endpoints.select("eid", name.alias("label")), "eid")
+    stems = t.select("target", stem.alias("pattern"))
+    said = texts_with(calls.select(F.lower("call").alias("text")), stems).join(stems, "pattern")
+    by = calls.join(said, F.lower("call") == F.col("text")).select("target", "eid").distinct().join(endpoints.select("eid", name.alias("label")), "eid")
     by = by.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("eid"))).filter("k <= 8")
     home = module_of(targets.select("path"), "path", modules.select("id", F.col("path").alias("module_path")), "module_path", "id")
-    inside = home.filter("id is null").select("path").join(modules.select("id"), F.col("path").contains(F.col("id"))).groupBy("path").agg(F.min("id").alias("other"))  # few targets, few modules
+    lost = home.filter("id is null").select(F.col("path").alias("text"))
+    inside = texts_with(lost, modules.select(F.col("id").alias("pattern"))).groupBy(F.col("text").alias("path")).agg(F.min("pattern").alias("other"))
     x = home.join(inside, "path", "left").select(F.col("path").alias("target"), F.coalesce("id", "other").alias("module"))
     parts = [shown(e, "eid", F.col("label"), "endpoints"), shown(m, "name", F.concat_ws(":", "name", F.col("n").cast("string")), "models"), shown(told, "call", F.col("call"), "calls"), shown(by, "eid", F.col("label"), "called_by")]
     for p in parts:

@@ -12,6 +12,7 @@ from strata.operators import graph as G
 from strata.operators import reports as R
 from strata.operators import search as S
 from strata.operators import store
+from strata.operators.substrings import containing
 from strata.sources.staging import once, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,8 +265,8 @@ def st3_debounced_sessions(spark, d):
 
 @query("WITH t AS (SELECT doc_id, text FROM documents), r AS (SELECT b.item_id AS query, t.doc_id AS item FROM benchmark b JOIN t ON contains(t.text, b.text)), k AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY item) AS rank FROM r), h AS (SELECT query, count(*) AS relevant, least(count(*), 5) AS hits FROM k GROUP BY 1) SELECT query, hits::BIGINT AS hits, 1.0::DOUBLE AS precision, floor(hits / relevant * 1e6 + 0.5) / 1e6 AS recall, floor(2 * hits / relevant / (1 + hits / relevant) * 1e6 + 0.5) / 1e6 AS f1 FROM h")
 def b1_retrieval_metrics(spark, d):
-    # words two to four of a passage lie between spaces in every text that holds it; passages that are
-    # too short for that are few and meet all texts
+    # words two to four of a passage lie between spaces in every text that holds it; shorter passages
+    # meet texts by their q-grams
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage")).withColumn("w", F.split("passage", " "))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")
     three = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
@@ -273,7 +274,8 @@ def b1_retrieval_metrics(spark, d):
     keyed = docs.select("item", F.split("text", " ").alias("w")).select("item", F.explode(F.array_distinct(grams)).alias("key"))
     long = b.filter(F.size("w") >= 5).select("query", "passage", three(F.lit(1)).alias("key"))
     near = keyed.join(long, "key").select("query", "item", "passage").distinct()
-    short = docs.join(F.broadcast(b.filter(F.size("w") < 5).select("query", "passage")), F.contains("text", "passage")).select("query", "item", "passage")
+    few = b.filter(F.size("w") < 5).select("query", F.col("passage").alias("pattern"))
+    short = containing(docs.select(F.col("item").alias("id"), "text"), few.select("pattern")).join(few, "pattern").select("query", F.col("id").alias("item"), F.col("pattern").alias("passage"))
     near = near.unionByName(short)
     truth = near.join(docs, "item").filter(F.contains("text", "passage")).select("query", "item")
     ranked = truth.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("item")))

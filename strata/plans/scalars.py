@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
+from strata.operators.substrings import related_paths
 
 from .catalogue import query
 from .codebase import PATTERN, WITH, fact
@@ -16,7 +17,8 @@ NAME = "regexp_extract({0}, '[^/]*$')"
 @query(f"{WITH} SELECT t.path AS target, e.eid FROM files t, endpoints e WHERE t.fid <= 8 AND (contains(t.path, e.file) OR contains(e.file, t.path) OR ends_with(e.file, {NAME.format('t.path')}))")
 def p5_related_paths(spark, d):
     targets = fact(spark, d, "files").filter("fid <= 8").select(F.col("path").alias("target"))  # a stated set of eight files
-    return fact(spark, d, "endpoints").join(F.broadcast(targets), T.paths_related(F.col("target"), F.col("file"))).select("target", "eid")
+    e = fact(spark, d, "endpoints")
+    return e.join(related_paths(targets, e.select("file")), "file").select("target", "eid")
 
 
 @query(f"{WITH} SELECT a.path AS file, b.path AS other FROM files a JOIN files b ON (a.path = b.path OR ends_with(a.path, '/' || b.path) OR ends_with(b.path, '/' || a.path) OR {NAME.format('a.path')} = {NAME.format('b.path')}) AND a.fid < b.fid")

@@ -147,12 +147,18 @@ FILE_WEIGHTS = {"path": 1.0, "symbol": 0.5, "endpoint": 0.7, "body": 1.0, "modul
 SYMBOL_WEIGHTS = {"name": 0.5, "body": 1.0}
 
 
-def file_search(index: DataFrame, n_docs: int, query: list[str], deps: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
+def best_documents(index, n_docs: int, query: list[str], k: int) -> DataFrame:
+    """The k best of a stored index or of a table of postings: (id, score)."""
+    found = bm25(index, n_docs, query) if isinstance(index, DataFrame) else index.search(query, k)
+    return found.orderBy(F.round("score", 9), "id").limit(k).select("id", "score")
+
+
+def file_search(index, n_docs: int, query: list[str], deps: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
     """(id, combined, matched) of the k best files: BM25 of a pool, weighted by how often files are imported.
 
-    index: postings of FILE_WEIGHTS; deps (src, dst); symbols (id, symbol) are words of names.
+    index: a TextIndex or postings of FILE_WEIGHTS; deps (src, dst); symbols (id, symbol) are words of names.
     """
-    pool = bm25(index, n_docs, query).orderBy(F.round("score", 9), "id").limit(max(4 * k, 60)).select("id", "score")
+    pool = staged(best_documents(index, n_docs, query, max(4 * k, 60)), "pool")  # used three times
     out = deps.select(F.col("src").alias("id"), "dst").distinct().join(F.broadcast(pool.select("id")), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_out"))
     into = deps.select(F.col("dst").alias("id"), "src").distinct().join(F.broadcast(pool.select("id")), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_in"))
     sample = F.col("id").rlike(r"(?i)(^|/)(examples?|demos?|samples?)(/|$)")
@@ -166,21 +172,21 @@ def file_search(index: DataFrame, n_docs: int, query: list[str], deps: DataFrame
 CALLERS, CALLEES = 30, 40
 
 
-def symbol_search(index: DataFrame, n_docs: int, query: list[str], functions: DataFrame, calls: DataFrame, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
+def symbol_search(index, n_docs: int, query: list[str], functions: DataFrame, calls: DataFrame, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(id, score) of the k best functions: BM25, how often source files call them, callees of the best, vectors.
 
-    index: postings of SYMBOL_WEIGHTS over functions (id, name, file, line); calls (caller, callee,
+    index: a TextIndex or postings of SYMBOL_WEIGHTS over functions (id, name, file, line); calls (caller, callee,
     caller_file); vectors (id, sim). Pools are small and are broadcast; calls are aggregated once a use.
     """
     from strata.functions.text import non_source
 
     source = calls.filter(~F.lower("caller_file").rlike("test|spec|mock|fixture|example|demo|sample"))
-    pool = bm25(index, n_docs, query).orderBy(F.round("score", 9), "id").limit(max(5 * k, 60)).select("id", (-F.col("score")).alias("v"))
+    pool = best_documents(index, n_docs, query, max(5 * k, 60)).select("id", (-F.col("score")).alias("v"))
     pool = staged(pool.join(functions, "id"), "pool")  # used five times below
     degree = source.join(F.broadcast(pool.select(F.col("name").alias("callee")).distinct()), "callee", "left_semi").groupBy(F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("indegree"))
     callers = pool.orderBy(F.desc(F.round("v", 9)), "id").limit(CALLERS).select(F.col("name").alias("caller")).distinct()
     hits = source.join(F.broadcast(callers), "caller", "left_semi").groupBy(F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("hits"))
-    callees = functions.join(hits, "name").orderBy(F.desc("hits"), "id").limit(CALLEES)
+    callees = staged(functions.join(hits, "name").orderBy(F.desc("hits"), "id").limit(CALLEES), "callees")  # used twice
     one = pool.agg(F.max("v").alias("most"), F.min("v").alias("least"), F.least(F.count(F.lit(1)), F.lit(CALLERS)).alias("callers"))
     top = pool.select("name").distinct().join(degree, "name").agg(F.coalesce(F.max("indegree"), F.lit(1)).alias("most_in"))
     sims = vectors if vectors is not None else functions.sparkSession.createDataFrame([], "id long, sim double")

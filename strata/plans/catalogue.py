@@ -64,9 +64,12 @@ idf AS (SELECT q, CASE WHEN ln((any_value(nd) - count(*) + 0.5) / (count(*) + 0.
 b AS (SELECT id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score, count(*) AS matched FROM f JOIN idf USING (q) JOIN len USING (id), av GROUP BY id)"""
 
 
+def document_postings(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, "document_postings", d, lambda: S.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0}))
+
+
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    index = staged(S.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0}), "index")  # read three times
-    return S.bm25(index, table(spark, d, "documents").count(), QUERY)
+    return S.bm25(document_postings(spark, d), table(spark, d, "documents").count(), QUERY)
 
 
 @query(f"WITH {BM} SELECT id AS doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score, matched FROM b ORDER BY score, id LIMIT 10")
@@ -95,8 +98,7 @@ def f5_hybrid_symbols(spark, d):
 def f6_query_signal(spark, d):
     b = bm25(spark, d)
     langs = b.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id").groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("matched") == 3, F.col("score"))).alias("best"))
-    index = S.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0})
-    cover = index.agg(sum((F.max(F.col("token").startswith(t).cast("int")) for t in QUERY), F.lit(0)).alias("n"))
+    cover = document_postings(spark, d).agg(sum((F.max(F.col("token").startswith(t).cast("int")) for t in QUERY), F.lit(0)).alias("n"))
     one = langs.agg((F.max("c") / F.sum("c")).alias("cl"), F.coalesce(F.min("best"), F.lit(0.0)).alias("joint")).crossJoin(F.broadcast(cover))
     return one.select(T.half_up(S.signal(F.col("n") / 3, F.col("joint"), F.col("cl")), 2).alias("signal"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
 from strata.operators import code as C
 from strata.operators import search as S
-from strata.sources.staging import staged
+from strata.operators.text_index import TextIndex
+from strata.sources.staging import shared_dir, staged
 
 from .catalogue import query, r6, table
 from .codebase import WITH, fact
@@ -37,23 +40,34 @@ def file_docs(spark, d):
     return fact(spark, d, "files").select("path", "module").join(fn, "path", "left").join(e, "path", "left").select(F.col("path").alias("id"), "path", *(F.coalesce(c, F.lit("")).alias(c) for c in ("symbol", "endpoint", "body")), "module")
 
 
+#: Stored indexes by application, name and folder.
+INDEXES: dict[tuple[str, str, str], TextIndex] = {}
+
+
+def stored_index(spark, d, name, docs, weights):
+    """An index that is built when first asked for and then read by all queries of the application."""
+    at = (spark.sparkContext.applicationId, name, d)
+    if at not in INDEXES:
+        index = TextIndex(spark, f"{shared_dir(spark)}/strata/{uuid.uuid4().hex}/{name}")
+        index.build(docs(spark, d), weights)
+        INDEXES[at] = index
+    return INDEXES[at]
+
+
 def file_index(spark, d):
-    docs = staged(file_docs(spark, d), "docs")
-    return staged(S.postings(docs, "id", S.FILE_WEIGHTS), "index"), docs.count()
+    return stored_index(spark, d, "file_index", file_docs, S.FILE_WEIGHTS)
 
 
 @query(f"{FILE_BM} SELECT id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM b ORDER BY floor(score * 1e9), id LIMIT 20")
 def f3_weighted_file_search(spark, d):
-    index, n = file_index(spark, d)
-    return S.bm25(index, n, S.query_tokens(ASK)).orderBy(F.floor(F.col("score") * 1e9), "id").limit(20).select("id", r6(F.col("score")).alias("score"))
+    return file_index(spark, d).search(S.query_tokens(ASK), 20).orderBy(F.floor(F.col("score") * 1e9), "id").limit(20).select("id", r6(F.col("score")).alias("score"))
 
 
 @query(f"""{FILE_BM}, pool AS (SELECT id, score FROM b ORDER BY round(score, 9), id LIMIT 60), x AS (SELECT id, score * CASE WHEN i + o = 0 THEN 1 ELSE 0.7 + 0.3 * i / (i + o) END AS c FROM (SELECT id, score, (SELECT count(*) FROM file_deps WHERE dst = id) AS i, (SELECT count(*) FROM file_deps WHERE src = id) AS o FROM pool)), t AS (SELECT * FROM x ORDER BY round(c, 9), id LIMIT 5)
 SELECT t.id, floor(c * 1e6 + 0.5) / 1e6 AS combined, coalesce(string_agg(DISTINCT w, ',' ORDER BY w), '') AS matched FROM t LEFT JOIN (SELECT id, unnest(string_split(symbol, ' ')) AS w FROM sym) s ON s.id = t.id AND len(list_filter(['get', 'user', 'by', 'id', 'model', 'of', 'service'], lambda v: contains(w, v))) > 0 GROUP BY 1, 2""")
 def f4_file_search_with_authority(spark, d):
-    index, n = file_index(spark, d)
     words = fact(spark, d, "functions").select(F.col("file").alias("id"), F.explode(F.split(T.split_identifiers(F.col("name")), " ")).alias("symbol"))
-    x = S.file_search(index, n, S.query_tokens(ASK), fact(spark, d, "file_deps"), words)
+    x = S.file_search(file_index(spark, d), 0, S.query_tokens(ASK), fact(spark, d, "file_deps"), words)
     return x.select("id", r6(F.col("combined")).alias("combined"), F.array_join("matched", ",").alias("matched"))
 
 
@@ -85,10 +99,9 @@ SELECT id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM s ORDER BY round(score,
 
 
 def symbols(spark, d, vectors=None):
-    docs = staged(function_docs(spark, d), "docs")
-    index = staged(S.postings(docs, "id", S.SYMBOL_WEIGHTS), "index")
+    index = stored_index(spark, d, "function_index", function_docs, S.SYMBOL_WEIGHTS)
     fn = fact(spark, d, "functions").select(F.col("fid").alias("id"), "name", "file", "line")
-    return S.symbol_search(index, docs.count(), S.query_tokens(ASK), fn, fact(spark, d, "fn_calls"), vectors).select("id", r6(F.col("score")).alias("score"))
+    return S.symbol_search(index, 0, S.query_tokens(ASK), fn, fact(spark, d, "fn_calls"), vectors).select("id", r6(F.col("score")).alias("score"))
 
 
 @query(hybrid(False))
@@ -164,8 +177,8 @@ def f16_focus_score(spark, d):
 @query(f"{FILE_BM.replace(QS, QS.replace('[' + QS.split('[')[1].split(']')[0] + ']', '[' + chr(39) + 'model' + chr(39) + ']'))} SELECT id FROM b ORDER BY floor(score * 1e9), id LIMIT 10")
 def f17_f18_fallback_search(spark, d):
     """A query whose cleaned form finds nothing falls back to the keywords of a glob pattern, then to categories."""
-    index, n = file_index(spark, d)
-    top = lambda tokens: S.bm25(index, n, tokens).orderBy(F.floor(F.col("score") * 1e9), "id").limit(10).select("id") if tokens else index.select("id").limit(0)
+    index = file_index(spark, d)
+    top = lambda tokens: index.search(tokens, 10).orderBy(F.floor(F.col("score") * 1e9), "id").limit(10).select("id")
     return S.first_hits([lambda: top(S.query_tokens("zzqx #12")), lambda: top(S.glob_keywords("src/model*/**/*.ts")), lambda: S.categorical(category_items(spark, d), "model", CATS).select(F.col("label").alias("id"))])
 
 

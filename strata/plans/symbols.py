@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata.operators import components as K
 from strata.operators import symbols as Y
 from strata.sources.staging import once
 
@@ -64,3 +65,47 @@ CALLS = "cl AS (SELECT DISTINCT file, caller, in_class, text, split_part(text, '
 def g24_function_graph(spark, d):
     p = lambda n: part(spark, d, n)
     return Y.script_call_edges(p("scalls"), p("sdefs"), p("simports"), p("sreexports"), p("sstars"))
+
+
+# Components: one per file, in groups of forty that render each other, with cycles; a tenth are pages.
+COMPONENTS = {
+    "ccomps": "SELECT fid, path AS file, 'Card' || CAST(fid AS STRING) AS name, path || '#Card' || CAST(fid AS STRING) AS id FROM files",
+    "ctags": """SELECT f.path AS file, f.path || '#Card' || CAST(f.fid AS STRING) AS component, 'Tag' || CAST(k AS STRING) AS tag, g.path AS to_file, 'Card' || CAST(g.fid AS STRING) AS symbol
+        FROM (SELECT fid, path, k, fid - fid % 40 + (fid % 40 * (2 + k) + k) % 40 AS other FROM files, (VALUES (0), (1)) AS s(k) WHERE fid % 4 <> 3 OR k = 0) f JOIN files g ON g.fid = f.other WHERE f.fid % 5 <> 4""",
+}
+COMPONENT_SQL = WITH[5:] + ",\n" + ",\n".join(f"{k} AS ({v})" for k, v in COMPONENTS.items())
+
+
+def component_part(spark, d, name):
+    def build():
+        fact(spark, d, "files").createOrReplaceTempView("strata_files")
+        return spark.sql("WITH files AS (SELECT * FROM strata_files) " + COMPONENTS[name])
+
+    return once(spark, name, d, build)
+
+
+def component_graph(spark, d):
+    tags, comps = component_part(spark, d, "ctags"), component_part(spark, d, "ccomps")
+    none = tags.limit(0)
+    # a barrel file re-exports every component under another name, so tags are resolved through it
+    barrel = comps.select(F.lit("barrel").alias("file"), F.concat(F.lit("X"), "name").alias("name"), F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.lit(0).alias("ord"))
+    imports = tags.select("file", F.col("tag").alias("alias"), F.lit("barrel").alias("to_file"), F.concat(F.lit("X"), "symbol").alias("symbol"))
+    return once(spark, "component_edges", d, lambda: K.component_edges(tags, comps.select("file", "name"), imports, barrel, none.select("file", "to_file", F.lit(0).alias("ord"))))
+
+
+@query(f"WITH {COMPONENT_SQL} SELECT DISTINCT component AS src, to_file || '#' || symbol AS dst FROM ctags")
+def g25_component_graph(spark, d):
+    return component_graph(spark, d)
+
+
+@query(f"""WITH RECURSIVE {COMPONENT_SQL}, ce AS (SELECT DISTINCT component AS src, to_file || '#' || symbol AS dst FROM ctags), pg AS (SELECT '/p' || CAST(fid AS STRING) AS page, id FROM ccomps WHERE fid % 10 = 0), rc(page, root, id) AS (SELECT page, id, id FROM pg UNION SELECT rc.page, rc.root, ce.dst FROM rc JOIN ce ON ce.src = rc.id),
+facts AS (SELECT id, CASE fid % 3 WHEN 0 THEN 'state' WHEN 1 THEN 'call' ELSE 'nav' END AS kind, CAST(fid % 6 AS STRING) AS value FROM ccomps WHERE fid % 4 = 1)
+SELECT page, coalesce((SELECT string_agg(DISTINCT c.name, ',' ORDER BY c.name) FROM rc JOIN ccomps c ON c.id = rc.id WHERE rc.page = pg.page AND rc.id <> rc.root), '') AS components, coalesce((SELECT string_agg(DISTINCT c.name, ',' ORDER BY c.name) FROM ce JOIN ccomps c ON c.id = ce.dst WHERE ce.src = pg.id AND ce.dst <> pg.id), '') AS direct,
+coalesce((SELECT string_agg(DISTINCT f.kind || ':' || f.value, ',' ORDER BY f.kind || ':' || f.value) FROM rc JOIN facts f ON f.id = rc.id WHERE rc.page = pg.page), '') AS facts FROM pg""")
+def g25_page_components(spark, d):
+    comps = component_part(spark, d, "ccomps")
+    pages = comps.filter("fid % 10 = 0").select(F.concat(F.lit("/p"), F.col("fid").cast("string")).alias("page"), "id")
+    kind = F.when(F.col("fid") % 3 == 0, "state").when(F.col("fid") % 3 == 1, "call").otherwise("nav")
+    facts = comps.filter("fid % 4 = 1").select("id", kind.alias("kind"), (F.col("fid") % 6).cast("string").alias("value"))
+    x = K.page_components(pages, comps, component_graph(spark, d), facts)
+    return x.select("page", *(F.array_join(c, ",").alias(c) for c in ("components", "direct", "facts")))

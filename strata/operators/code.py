@@ -56,7 +56,7 @@ def with_key(df: DataFrame) -> DataFrame:
 def matched_endpoints(keys: DataFrame, endpoints: DataFrame, suffixes: bool = True) -> DataFrame:
     """(m, p, eid) for call keys (m, p): endpoints of the same key, else of ANY, else with compatible paths.
 
-    Compatible paths end in each other; the ends of a path, which is short, are joined by equality.
+    Compatible paths end in each other. A pattern begins with a slash, so only a path's ends that do are joined, by equality.
     """
     e = with_key(endpoints).select("eid", F.col("m").alias("em"), F.col("p").alias("ep"))
     k = keys.select("m", "p").distinct()
@@ -66,7 +66,8 @@ def matched_endpoints(keys: DataFrame, endpoints: DataFrame, suffixes: bool = Tr
     found = exact.unionByName(wild)
     if suffixes:
         rest = rest.join(wild.select("m", "p"), ["m", "p"], "left_anti")
-        ends = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.col(c), i))
+        parts = lambda c: F.split(c, "/")
+        ends = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts(c)), F.lit(2))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/")))))
         same = (F.col("em") == "ANY") | (F.col("em") == F.col("m"))
         short = rest.withColumn("t", F.explode(ends("p"))).join(e.withColumn("t", F.col("ep")), "t")
         long = rest.withColumn("t", F.col("p")).join(e.withColumn("t", F.explode(ends("ep"))), "t")

@@ -160,3 +160,37 @@ def import_statements(names: DataFrame, imports: DataFrame) -> DataFrame:
     derived = F.regexp_replace(F.regexp_replace("file", r"\.py$", ""), "/", ".")
     x = names.join(best, "name", "left")
     return x.select("name", F.concat(F.lit("from "), F.coalesce("specifier", derived), F.lit(" import "), "name").alias("statement"))
+
+
+def constraints_packet(cycles: DataFrame, duplicates: DataFrame, similar: DataFrame, endpoints: DataFrame, modules: DataFrame, models: DataFrame, cross: DataFrame, status: DataFrame, most: int = 20) -> DataFrame:
+    """(section, ord, item): what a change must respect, one row per item.
+
+    cycles (id); duplicates (hash, n, size), largest first; similar (a, b, similarity), most similar first;
+    endpoints (eid, name) in their order: pairs whose path words overlap by 0.8; modules (id);
+    models (name); cross (src, dst): edges that leave the allowed flow; status (delta, status).
+    Lists of pairs and duplicates are cut to ``most``; the cut is a top-k, all else is whole.
+    """
+    from .code import overlapping
+
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("name"), "[^a-z0-9/]+", " "), r"[/\s]+"), lambda w: w != ""))
+    pairs = overlapping(endpoints.select(F.col("eid").alias("id"), words.alias("members")).filter(F.size("members") > 0), 0.8, 2)
+    name = lambda c: endpoints.select(F.col("eid").alias(c), F.col("name").alias(f"name_{c}"))
+    pairs = pairs.orderBy("a", "b").limit(most).join(name("a"), "a").join(name("b"), "b")
+
+    def section(to: str, df: DataFrame, item: Column, order: list[Column]) -> DataFrame:
+        return df.select(F.lit(to).alias("section"), F.row_number().over(Window.partitionBy(F.lit(to)).orderBy(*order)).alias("ord"), item.alias("item"))
+
+    top = lambda df, *order: df.orderBy(*order).limit(most)
+    plain = lambda to, df, item: df.select(F.lit(to).alias("section"), F.lit(0).alias("ord"), item.alias("item")).distinct()
+    big, near = (F.desc("size"), F.desc("n"), F.col("hash")), (F.desc("similarity"), F.col("a"), F.col("b"))
+    parts = [
+        section("duplicate", top(duplicates, *big), F.concat_ws(":", "hash", "n", "size"), list(big)),
+        section("similar", top(similar, *near), F.concat_ws(":", "a", "b", F.format_string("%.3f", F.col("similarity").cast("double"))), list(near)),
+        section("related_endpoints", pairs, F.concat_ws(" ~ ", "name_a", "name_b", F.format_string("%.3f", F.col("similarity").cast("double"))), [F.col("a"), F.col("b")]),
+        plain("cycle_risk", cycles, F.col("id")), plain("module", modules, F.col("id")), plain("endpoint", endpoints, F.col("name")), plain("model", models, F.col("name")),
+        plain("cross_layer", cross, F.concat_ws(" -> ", "src", "dst")), plain("status", status, F.col("status")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

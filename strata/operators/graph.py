@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from strata.sources.staging import staged
 
+from .components import cyclic_parts
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, n_in, n_out) of every node; isolated ones have zeros."""
@@ -45,10 +47,6 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-#: Edges up to which a whole graph is ranked in one task.
-SMALL = 200_000
-
-
 def ranks(ids: list, edges: list[tuple], rounds: int, alpha: float) -> dict:
     """PageRank of one small graph."""
     n = len(ids)
@@ -65,34 +63,34 @@ def ranks(ids: list, edges: list[tuple], rounds: int, alpha: float) -> dict:
     return rank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFrame:
-    """(id, rank) after a fixed number of rounds, relative to the largest rank.
+def pagerank_levels(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFrame:
+    """(level, id, rank) after a fixed number of rounds, relative to each level's largest rank.
 
-    Parallel edges count; the mass of nodes without outgoing edges is spread evenly. A graph of
-    at most SMALL edges and nodes, counted first, is ranked in one task; larger ones by one join
-    and one aggregation per round, staged every round.
+    Nodes are (level, id), edges (level, src, dst), all ends of edges among the nodes. Parallel edges
+    count; the mass of nodes without outgoing edges is spread evenly. All levels are ranked together:
+    a round is one join and one aggregation, in which the lost mass is the group without an id.
     """
-    edges, nodes = staged(edges.select("src", "dst"), "edges"), staged(nodes.select("id"), "nodes")
-    n = nodes.count()
-    if edges.count() <= SMALL and n <= SMALL:
-        kind = nodes.schema["id"].dataType.simpleString()
-
-        def run(x: pd.DataFrame) -> pd.DataFrame:
-            ends = x[x["dst"].notna()]
-            rank = ranks(sorted(x.loc[x["dst"].isna(), "src"]), list(zip(ends["src"], ends["dst"], strict=True)), rounds, alpha)
-            return pd.DataFrame({"id": list(rank), "rank": list(rank.values())})
-
-        both = edges.unionByName(nodes.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst")))
-        rank = both.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"id {kind}, rank double")
-    else:
-        share = staged(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src").select("src", "dst", (1 / F.col("out")).alias("share")), "shares")
-        sinks = staged(nodes.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "sinks")
-        rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-        for _ in range(rounds):
-            lost = sinks.join(rank, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-            got = share.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-            rank = staged(nodes.join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")), "rank")
-    return rank.crossJoin(F.broadcast(rank.agg(F.max("rank").alias("top")))).select("id", (F.col("rank") / F.col("top")).alias("rank"))
+    nodes = staged(nodes.select("level", "id").distinct().join(nodes.select("level", "id").distinct().groupBy("level").agg(F.count(F.lit(1)).alias("n")), "level"), "nodes")
+    edges = staged(edges.select("level", "src", "dst"), "edges")
+    out = edges.groupBy("level", "src").agg(F.count(F.lit(1)).alias("out"))
+    share = edges.join(out, ["level", "src"]).select("level", "src", "dst", (1 / F.col("out")).alias("share"))
+    sinks = nodes.select("level", F.col("id").alias("src")).join(out, ["level", "src"], "left_anti").select("level", "src", F.lit(None).cast(edges.schema["dst"].dataType).alias("dst"), F.lit(1.0).alias("share"))
+    share = staged(share.unionByName(sinks), "shares")
+    rank = nodes.select("level", "id", (1.0 / F.col("n")).alias("rank"))
+    for _ in range(rounds):
+        got = share.join(rank.withColumnRenamed("id", "src"), ["level", "src"]).groupBy("level", F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        got = staged(got, "got")
+        lost = got.filter("id is null").select("level", F.col("got").alias("lost"))
+        x = nodes.join(got.filter("id is not null"), ["level", "id"], "left").join(lost, "level", "left")
+        rank = x.select("level", "id", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))).alias("rank"))
+    rank = staged(rank, "rank")
+    return rank.join(rank.groupBy("level").agg(F.max("rank").alias("top")), "level").select("level", "id", (F.col("rank") / F.col("top")).alias("rank"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFrame:
+    """(id, rank) of one graph: see ``pagerank_levels``."""
+    one = lambda df: df.withColumn("level", F.lit(0))
+    return pagerank_levels(one(nodes.select("id")), one(edges.select("src", "dst")), rounds, alpha).select("id", "rank")
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -328,23 +326,21 @@ def level_entropy(deg: DataFrame) -> DataFrame:
     return c.join(n, "level").groupBy("level").agg(F.max("nodes").alias("nodes"), (-F.sum(p * F.log(p))).alias("entropy"))
 
 
-def ranked_levels(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFrame:
-    """(level, id, rank, in_cycle): PageRank over its largest value, and membership of a cycle, per level.
-
-    A level is one graph of one code base, which bounds what a task holds; ``pagerank`` is for graphs beyond that.
-    """
-    rows = nodes.select("level", F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("level", "src", "dst"))
+def level_cycles(edges: DataFrame) -> DataFrame:
+    """(level, id, part) of nodes on cycles: nodes that reach each other share a part; a loop alone is a part of one."""
+    named = lambda c: F.concat_ws("\x01", "level", F.col(c).cast("string"))
+    e = staged(edges.select("level", "src", "dst").distinct(), "edges")
+    parts = cyclic_parts(e.select(named("src").alias("src"), named("dst").alias("dst")))
+    parts = staged(parts.select(F.split_part("id", F.lit("\x01"), F.lit(1)).alias("level"), F.split_part("id", F.lit("\x01"), F.lit(2)).alias("id"), "part"), "parts")
+    loops = e.filter("src = dst").select("level", F.col("src").cast("string").alias("id")).join(parts, ["level", "id"], "left_anti")
+    return parts.unionByName(loops.select("level", "id", F.col("id").alias("part")))
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(x[x["dst"].notna()][["src", "dst"]].itertuples(index=False, name=None))
-        ids = sorted(set(x["src"]) | {b for _, b in pairs})
-        rank = ranks(ids, pairs, rounds, alpha)
-        top = max(rank.values(), default=0) or 1.0
-        loops = {a for a, b in pairs if a == b}
-        round_trip = {v for part in strong_components(pairs) if len(part) > 1 or part[0] in loops for v in part}
-        return pd.DataFrame({"level": x["level"].iloc[0], "id": ids, "rank": [rank[v] / top for v in ids], "in_cycle": [v in round_trip for v in ids]})
 
-    return rows.groupBy("level").applyInPandas(run, "level string, id string, rank double, in_cycle boolean")
+def ranked_levels(nodes: DataFrame, edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFrame:
+    """(level, id, rank, in_cycle): PageRank over its largest value, and membership of a cycle, per level."""
+    all_ = nodes.select("level", "id").unionByName(edges.select("level", F.explode(F.array("src", "dst")).alias("id"))).distinct()
+    rank = pagerank_levels(all_, edges, rounds, alpha)
+    return rank.join(level_cycles(edges).select("level", "id", F.lit(True).alias("in_cycle")), ["level", "id"], "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
 
 
 def heatmap(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -362,13 +358,7 @@ def heatmap(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
 
 def cycle_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(level, cycles): strongly connected components of more than one node or with a loop."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(x[["src", "dst"]].itertuples(index=False, name=None))
-        loops = {a for a, b in pairs if a == b}
-        return pd.DataFrame([{"level": x["level"].iloc[0], "cycles": sum(len(p) > 1 or p[0] in loops for p in strong_components(pairs))}])
-
-    found = edges.select("level", "src", "dst").groupBy("level").applyInPandas(run, "level string, cycles long")
+    found = level_cycles(edges).groupBy("level").agg(F.countDistinct("part").alias("cycles"))
     return nodes.select("level").distinct().join(found, "level", "left").fillna(0, ["cycles"])
 
 

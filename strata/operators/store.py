@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.sources.staging import staged
+
 from .versions import VersionedStore
 
 #: Name of the one table of a folder that ``full_refresh`` writes.
@@ -64,16 +66,20 @@ def backend_of(spark: SparkSession, table: str, folder: str) -> str:
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, similarity) of sets (k, a) of equal size n with Jaccard of at least ``least``.
+    """Pairs (a, b, similarity) of sets (k, a) of equal size with Jaccard of at least ``least``.
 
-    Pairs must share one of the first ``n - ceil(2 least n / (1 + least)) + 1`` members in a
-    common order, so only those prefixes are joined, never all pairs of a size.
+    Equal sets are one set while candidates are sought: distinct sets meet by their rarest members
+    only. Empty sets are like nothing.
     """
-    n = F.size("a")
-    x = sets.select("k", "a", n.alias("n"), F.slice("a", F.lit(1), (n - F.ceil(F.lit(2 * least / (1 + least)) * n - 1e-9) + 1).cast("int")).alias("prefix"))
-    p = x.select("k", "a", "n", F.explode("prefix").alias("t"))
-    q = p.select(F.col("k").alias("k2"), F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("t").alias("t2"))
-    pairs = p.join(q, (F.col("t") == F.col("t2")) & (F.col("n") == F.col("n2")) & (F.col("k") < F.col("k2")))
-    both = F.size(F.array_intersect("a", "a2")).cast("double")
-    s = both / (F.col("n") + F.col("n2") - both)
-    return pairs.withColumn("s", s).filter(F.col("s") >= least).select(F.col("k").alias("a"), F.col("k2").alias("b"), (F.floor(F.col("s") * 1e6 + 0.5) / 1e6).alias("similarity")).distinct()
+    from .code import overlapping
+
+    name = F.sha2(F.to_json(F.array_sort("a")), 256).alias("id")
+    of = staged(sets.filter(F.size("a") > 0).select("k", name), "set_of")
+    distinct = staged(sets.filter(F.size("a") > 0).select(name, F.col("a").alias("members")).dropDuplicates(["id"]), "distinct_sets")
+    size = distinct.select("id", F.size("members").alias("n"))
+    near = overlapping(distinct, least, 6).join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").filter("na = nb").select("a", "b", "similarity")
+    near = near.unionByName(distinct.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    one, two = of.toDF("k1", "a"), of.toDF("k2", "b")
+    # each pair of distinct sets stands for all pairs of their owners, smaller key first
+    x = near.join(one, "a").join(two, "b").filter("k1 <> k2").filter("a <> b or k1 < k2")
+    return x.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "similarity")

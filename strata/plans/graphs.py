@@ -14,6 +14,7 @@ from strata.sources.staging import staged
 from .catalogue import query, r6, table
 from .code import MODULE_EDGES, module_edges
 from .codebase import WITH, fact
+from .find import SETS, d4_similar_structure
 
 TEST = "regexp_matches(lower({0}), 'test|spec|mock')"
 DOMAIN = "CASE WHEN {0} = 'service-1' THEN 'one' WHEN starts_with({0}, 'service-1') THEN 'teens' WHEN {0} IN ('service-2', 'service-3') THEN 'pair' END"
@@ -101,19 +102,19 @@ def g15_g10_g3_level_kernels(spark, d):
 
 
 HEAT = f"""WITH RECURSIVE {DEGREES[5:]}, {CLOSE}, k AS (SELECT level, count(*)::DOUBLE AS n FROM nd GROUP BY 1), hn AS (SELECT level, id FROM nd WHERE level IN ('module', 'domain')), o AS (SELECT level, src, count(*)::DOUBLE AS out FROM ed GROUP BY 1, 2), r0 AS (SELECT level, id, 1 / n AS rank FROM hn JOIN k USING (level))""" + "".join(
-    f", r{i} AS (SELECT h.level, h.id, 0.15 / k.n + 0.85 * (coalesce((SELECT sum(q.rank / o.out) FROM ed e JOIN r{i - 1} q ON q.level = e.level AND q.id = e.src JOIN o ON o.level = e.level AND o.src = e.src WHERE e.level = h.level AND e.dst = h.id), 0) + (SELECT coalesce(sum(q.rank), 0) FROM r{i - 1} q WHERE q.level = h.level AND q.id NOT IN (SELECT src FROM ed WHERE ed.level = h.level)) / k.n) AS rank FROM hn h JOIN k USING (level))" for i in range(1, 4)
+    f", r{i} AS MATERIALIZED (SELECT h.level, h.id, 0.15 / k.n + 0.85 * (coalesce((SELECT sum(q.rank / o.out) FROM ed e JOIN r{i - 1} q ON q.level = e.level AND q.id = e.src JOIN o ON o.level = e.level AND o.src = e.src WHERE e.level = h.level AND e.dst = h.id), 0) + (SELECT coalesce(sum(q.rank), 0) FROM r{i - 1} q WHERE q.level = h.level AND q.id NOT IN (SELECT src FROM ed WHERE ed.level = h.level)) / k.n) AS rank FROM hn h JOIN k USING (level))" for i in range(1, 31)
 ) + """, cx AS (SELECT level, id, avg(c) AS c FROM (SELECT ed.level, src AS id, CASE WHEN x.layer <> y.layer THEN 1.0 ELSE 0.0 END AS c FROM ed JOIN nd x ON x.level = ed.level AND x.id = src JOIN nd y ON y.level = ed.level AND y.id = dst UNION ALL SELECT ed.level, dst, CASE WHEN x.layer <> y.layer THEN 1.0 ELSE 0.0 END FROM ed JOIN nd x ON x.level = ed.level AND x.id = src JOIN nd y ON y.level = ed.level AND y.id = dst) GROUP BY 1, 2),
-hm AS (SELECT h.level, h.id, floor((0.4 * rank / max(rank) OVER (PARTITION BY h.level) + 0.3 * (n_in + n_out) / greatest(max(n_in + n_out) OVER (PARTITION BY h.level), 1) + 0.2 * coalesce(c, 0) + 0.1 * CASE WHEN cyc.id IS NULL THEN 0 ELSE 1 END) * 1e4 + 0.5) / 1e4 AS score FROM r3 h JOIN dg ON dg.level = h.level AND dg.id = h.id LEFT JOIN cx ON cx.level = h.level AND cx.id = h.id LEFT JOIN cyc ON cyc.level = h.level AND cyc.id = h.id)"""
+hm AS (SELECT h.level, h.id, floor((0.4 * rank / max(rank) OVER (PARTITION BY h.level) + 0.3 * (n_in + n_out) / greatest(max(n_in + n_out) OVER (PARTITION BY h.level), 1) + 0.2 * coalesce(c, 0) + 0.1 * CASE WHEN cyc.id IS NULL THEN 0 ELSE 1 END) * 1e4 + 0.5) / 1e4 AS score FROM r30 h JOIN dg ON dg.level = h.level AND dg.id = h.id LEFT JOIN cx ON cx.level = h.level AND cx.id = h.id LEFT JOIN cyc ON cyc.level = h.level AND cyc.id = h.id)"""
 
 
 @query(f"{HEAT} SELECT * FROM hm")
 def g7_g8_heatmap_bundle(spark, d):
-    return G.heatmap(*levels(spark, d, ["module", "domain"]), rounds=3)
+    return G.heatmap(*levels(spark, d, ["module", "domain"]))
 
 
 @query(f"{HEAT} SELECT id, score FROM hm WHERE level = 'module' ORDER BY score DESC, id LIMIT 5")
 def t6_r18_heatmap_level(spark, d):
-    h = G.heatmap(*levels(spark, d, ["module", "domain"]), rounds=3)
+    h = G.heatmap(*levels(spark, d, ["module", "domain"]))
     return h.filter("level = 'module'").orderBy(F.desc("score"), "id").limit(5).select("id", "score")
 
 
@@ -230,3 +231,23 @@ def r15_bounded_walk(spark, d):
 def r11_t11_cross_module_edges(spark, d):
     _, edges = levels(spark, d, ["module"])
     return edges.filter("src <> dst").select("src", "dst").distinct().orderBy("src", "dst").limit(10)
+
+
+WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(method || ' ' || path), '[^a-z0-9/]+', ' ', 'g'), '[/ ]+'), lambda t: t <> ''))"
+OVER = "len(list_intersect(a.{0}, b.{0})) / (len(a.{0}) + len(b.{0}) - len(list_intersect(a.{0}, b.{0})))::DOUBLE"
+
+
+@query(f"""{DRIFT}, {SETS}, ew AS (SELECT eid, method || ' ' || path AS name, {WORDS} AS t FROM endpoints), rel AS (SELECT a.eid AS a, b.eid AS b, a.name AS na, b.name AS nb, floor({OVER.format('t')} * 100 + 0.5) / 100 AS s FROM ew a JOIN ew b ON a.eid < b.eid WHERE {OVER.format('t')} >= 0.8 ORDER BY 1, 2 LIMIT 20),
+sim AS (SELECT a.fid AS a, b.fid AS b, floor({OVER.format('k')} * 1000 + 0.5) / 1000 AS s FROM x a JOIN x b ON a.fid < b.fid AND abs(floor(a.size / 10) - floor(b.size / 10)) <= 1 AND a.h <> b.h WHERE {OVER.format('k')} >= 0.8 ORDER BY 3 DESC, 1, 2 LIMIT 20),
+dup AS (SELECT sha1(text) AS hash, count(*) AS n, max(length(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, n DESC, hash LIMIT 20)
+SELECT 'duplicate' AS section, row_number() OVER (ORDER BY size DESC, n DESC, hash)::INTEGER AS ord, hash || ':' || n || ':' || size AS item FROM dup UNION ALL SELECT 'similar', row_number() OVER (ORDER BY s DESC, a, b), a || ':' || b || ':' || printf('%.3f', s) FROM sim UNION ALL SELECT 'related_endpoints', row_number() OVER (ORDER BY a, b), na || ' ~ ' || nb || ' ~ ' || printf('%.3f', s) FROM rel
+UNION ALL SELECT 'cycle_risk', 0, id FROM cyc WHERE level = 'module' UNION ALL SELECT 'module', 0, id FROM modules UNION ALL SELECT DISTINCT 'endpoint', 0, name FROM ew UNION ALL SELECT 'model', 0, name FROM models UNION ALL SELECT DISTINCT 'cross_layer', 0, src || ' -> ' || dst FROM ed LEFT JOIN nd p ON p.level = 'module' AND p.id = src LEFT JOIN nd q ON q.level = 'module' AND q.id = dst LEFT JOIN al ON al.a = p.layer AND al.b = q.layer WHERE ed.level = 'module' AND al.a IS NULL
+UNION ALL SELECT 'status', 0, status FROM rp WHERE level = 'module'""")
+def q8_constraints_packet(spark, d):
+    nodes, edges = levels(spark, d, ["module"])
+    docs = table(spark, d, "documents").filter("text is not null")
+    duplicates = docs.groupBy(F.sha1("text").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("size")).filter("n > 1")
+    cross = G.level_cross(nodes, edges, spark.createDataFrame(ALLOWED, "a string, b string")).filter("cross = 1").select("src", "dst")
+    status = R.primary_level(drift(spark, d)).select("status")
+    e = fact(spark, d, "endpoints").select("eid", F.concat_ws(" ", "method", "path").alias("name"))
+    return X.constraints_packet(G.level_cycles(edges).select("id"), duplicates, d4_similar_structure(spark, d), e, fact(spark, d, "modules").select("id"), fact(spark, d, "models").select("name"), cross, status)

@@ -72,13 +72,16 @@ def test_graph_kernels():
     assert G.modularity_gap([], []) == 0
 
 
-def test_pagerank_forms_agree(spark, monkeypatch):
-    nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
-    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0), (0, 1)], "src long, dst long")
-    small = rows(G.pagerank(nodes, edges, rounds=3))
-    monkeypatch.setattr(G, "SMALL", 0)
-    for a, b in zip(small, rows(G.pagerank(nodes, edges, rounds=3)), strict=True):
-        assert a[0] == b[0] and a[1] == pytest.approx(b[1])
+def test_pagerank_of_levels(spark):
+    nodes = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 7), ("b", 8)], "level string, id long")
+    edges = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 2, 0), ("a", 3, 0), ("a", 0, 1), ("b", 7, 8), ("b", 7, 7)], "level string, src long, dst long")
+    got = {(r["level"], r["id"]): r["rank"] for r in G.pagerank_levels(nodes, edges, rounds=3).collect()}
+    for level, ids in (("a", range(5)), ("b", (7, 8))):
+        want = G.ranks(list(ids), [(s, t) for k, s, t in ((r["level"], r["src"], r["dst"]) for r in edges.collect()) if k == level], 3, 0.85)
+        for v in ids:
+            assert got[level, v] == pytest.approx(want[v] / max(want.values()))
+    cycles = {(r["level"], r["id"]): r["part"] for r in G.level_cycles(edges.withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string"))).collect()}
+    assert cycles == {("a", "0"): "2", ("a", "1"): "2", ("a", "2"): "2", ("b", "7"): "7"}
 
 
 def test_store_and_reports(spark):

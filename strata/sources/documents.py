@@ -138,6 +138,16 @@ def description(readme: str) -> str:
     return " ".join(found)[:300]
 
 
+def described(readmes: DataFrame, text_col: str = "content") -> DataFrame:
+    """``readmes`` with the column ``description``; null texts have an empty one."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(description)
+
+    return readmes.withColumn("description", of(F.col(text_col)))
+
+
 def merged_config(base: dict, over: dict) -> dict:
     """Settings with those of ``over`` in place; objects are merged, lists joined without repeats."""
     out = dict(base)

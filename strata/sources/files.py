@@ -30,12 +30,21 @@ def source_file(path: Column) -> Column:
     return F.lower(path).rlike(rf"\.({'|'.join(SOURCE)})$") & ~path.rlike(rf"(?i)(^|/)({NOISE})/")
 
 
+#: Files above this many bytes are left out of scans.
+LARGEST = 1 << 20
+
+
+def scanned(files: DataFrame, suffixes: list[str] = CODE, names: list[str] = IGNORED, prefixes: list[str] = ()) -> DataFrame:
+    """The rows of files (path relative to the root, length) that a scan keeps."""
+    return files.filter((F.col("length") <= LARGEST) & F.col("path").rlike(rf"\.({'|'.join(suffixes)})$") & ~ignored(F.col("path"), names, prefixes))
+
+
 def scan_code(spark: SparkSession, root: str, suffixes: list[str] = CODE) -> DataFrame:
     """(path relative to root, content, hash) of a code tree, files over 1 MB left out as unparsable."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
     base = root.rstrip("/").removeprefix("file://")
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    return raw.filter("length <= 1048576").select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash")).filter(~ignored(F.col("path")))
+    return scanned(raw.withColumn("path", rel), suffixes).select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:

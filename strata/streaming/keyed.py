@@ -37,36 +37,50 @@ def after(us: int) -> int:
 
 
 class InOrder(StatefulProcessor):
-    """Holds rows (t, id, number) until the watermark has passed them, then hands them on in order."""
+    """Holds rows (t, id, number) until the watermark has passed them, then hands them on in order.
+
+    A key has one timer, at its earliest held row; when it fires, all rows that the watermark has passed are
+    taken at once, so a row is read twice however many its key holds.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", "t long, id long, n long, mark string")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def wake(self, ms: int) -> None:
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        first = []
         for x in rows:
             x = x[x["t"].notna()]
             t = micros(x["t"])
             if t:
                 self.held.appendList(list(zip(t, x["id"].astype("int64").tolist(), x["n"].astype("int64").tolist(), x["mark"].tolist(), strict=True)))
-                times.update(map(after, t))
-        for ms in times:
-            self.handle.registerTimer(ms)
+                first.append(min(t))
+        if first:
+            self.wake(after(min(first)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = list(self.held.get())
-        due = sorted(r for r in held if r[0] <= until)
-        if not due:
+        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
             return iter(())
-        rest = [r for r in held if r[0] > until]
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.held.get())
+        due, rest = sorted(r for r in held if r[0] <= passed), [r for r in held if r[0] > passed]
         if rest:
             self.held.put(rest)
+            self.wake(after(min(rest)[0]))
         else:
             self.held.clear()
-        out = self.taken(key[0], due)
+        out = self.taken(key[0], due) if due else []
         return iter([out]) if len(out) else iter(())
 
     def taken(self, key: str, due: list[tuple]) -> pd.DataFrame:
@@ -155,7 +169,7 @@ class SessionRollup(InOrder):
             end = now[1] + self.idle
             if after(end) > passed:  # a timer behind the watermark would not fire
                 self.handle.registerTimer(after(end))
-            elif not any(r[0] < end for r in self.held.get()):
+            else:  # all rows before the watermark were taken
                 out.append(self.table([(key[0], *now, "idle")]))
                 self.open.clear()
         return iter(out)

@@ -331,7 +331,7 @@ def level_cycles(edges: DataFrame) -> DataFrame:
     named = lambda c: F.concat_ws("\x01", "level", F.col(c).cast("string"))
     e = staged(edges.select("level", "src", "dst").distinct(), "edges")
     parts = cyclic_parts(e.select(named("src").alias("src"), named("dst").alias("dst")))
-    parts = staged(parts.select(F.split_part("id", F.lit("\x01"), F.lit(1)).alias("level"), F.split_part("id", F.lit("\x01"), F.lit(2)).alias("id"), "part"), "parts")
+    parts = staged(parts.select(F.split_part("id", F.lit("\x01"), F.lit(1)).alias("level"), F.split_part("id", F.lit("\x01"), F.lit(2)).alias("id"), F.split_part("part", F.lit("\x01"), F.lit(2)).alias("part")), "parts")
     loops = e.filter("src = dst").select("level", F.col("src").cast("string").alias("id")).join(parts, ["level", "id"], "left_anti")
     return parts.unionByName(loops.select("level", "id", F.col("id").alias("part")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.sources.staging import staged
@@ -393,15 +393,41 @@ def unused_exports(exports: DataFrame, imports: DataFrame, entrypoints: DataFram
 
 
 def walked_tree(edges: DataFrame, root: str, cap: int = 20) -> DataFrame:
-    """(src, dst, ord): edges by which a breadth-first walk first reaches a node, nodes and edges in order of name, at most ``cap`` nodes."""
-    both = edges.sparkSession
-    seen, queue, used = {root}, [root], []
-    while queue and len(seen) < cap:
-        at = queue.pop(0)
-        # the next children by name: never more than the cap leaves room for
-        room = cap - len(seen)
-        for r in edges.filter((F.col("src") == at) & ~F.col("dst").isin(sorted(seen))).select("dst").distinct().orderBy("dst").limit(room).collect():
-            seen.add(r["dst"])
-            queue.append(r["dst"])
-            used.append((at, r["dst"], len(used)))
-    return both.createDataFrame(used, "src string, dst string, ord int")
+    """(src, dst, ord): edges by which a breadth-first walk first reaches a node, at most ``cap`` nodes.
+
+    A step takes all nodes of one distance at once: each new node hangs on its first parent, and new
+    nodes stand in order of parent and name, which is the order of a walk node by node. There are
+    fewer steps than ``cap``, and no step keeps more than ``cap`` rows.
+    """
+    edges = staged(edges.select("src", "dst").distinct(), "edges")
+    reached = edges.sparkSession.range(1).select(F.lit(None).cast("string").alias("src"), F.lit(root).alias("dst"), F.lit(0).alias("ord"))
+    front, n = reached, 1
+    while n < cap:
+        new = edges.join(front.select(F.col("dst").alias("src"), "ord"), "src").join(reached.select("dst"), "dst", "left_anti")
+        new = new.groupBy("dst").agg(F.min(F.struct("ord", "src")).alias("by")).orderBy("by", "dst").limit(cap - n)
+        place = (F.row_number().over(Window.orderBy("by", "dst")) + (n - 1)).cast("int")  # of at most cap rows
+        front = staged(new.select(F.col("by.src").alias("src"), "dst", place.alias("ord")), "front")
+        found = front.count()
+        if not found:
+            break
+        reached, n = reached.unionByName(front), n + found
+    return reached.filter("src is not null").select("src", "dst", (F.col("ord") - 1).alias("ord"))
+
+
+def community_modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(level, modularity, gap) of given communities: members (level, id, community), edges (level, src, dst).
+
+    Edges count without direction and as often as they are given; loops and edges with an end that is
+    no member are left out. gap is 1 - modularity within 0 and 1; a level without edges has a
+    modularity and a gap of 0. A level's sums are formed by grouped aggregation over its edges.
+    """
+    m = members.select("level", "id", F.coalesce(F.col("community").cast("string"), F.lit("")).alias("community"))
+    end = lambda c: m.select("level", F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+    e = edges.filter("src <> dst").join(end("src"), ["level", "src"]).join(end("dst"), ["level", "dst"])
+    e = e.groupBy("level", "csrc", "cdst").agg(F.count(F.lit(1)).alias("n"))
+    inside = F.when(F.col("csrc") == F.col("cdst"), F.col("n")).otherwise(0)
+    sums = e.select("level", F.explode(F.array(F.struct(F.col("csrc").alias("c"), inside.alias("i"), "n"), F.struct(F.col("cdst").alias("c"), inside.alias("i"), "n"))).alias("x")).groupBy("level", "x.c").agg(F.sum("x.i").alias("i"), F.sum("x.n").alias("k"))
+    two_m = F.sum("k").over(Window.partitionBy("level"))  # a row per community
+    q = sums.withColumn("part", F.col("i") / two_m - (F.col("k") / two_m) ** 2).groupBy("level").agg(F.sum("part").alias("modularity"))
+    x = members.select("level").distinct().join(q, "level", "left")
+    return x.select("level", F.coalesce("modularity", F.lit(0.0)).alias("modularity"), F.coalesce(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("modularity"))), F.lit(0.0)).alias("gap"))

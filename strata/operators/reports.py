@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strata.functions.text import clamp, half_up
 
+from .numbering import numbered
+
 # Weights of the drift score.
 WEIGHTS = {"entropy": 0.4, "cross_layer": 0.3, "cycles": 0.2, "modularity": 0.1}
 
@@ -73,10 +75,10 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 def signed_rank(pairs: DataFrame, a: str, b: str, ties: list[str] | None = None) -> DataFrame:
     """Signed-rank sums of paired results, ranks by |difference| without ties, zero differences left out.
 
-    Paired results of a benchmark are as few as its tasks, which bounds the one ordered window.
+    ``ties`` orders equal differences and should tell rows apart.
     """
     d = pairs.withColumn("d", F.col(a) - F.col(b)).filter("d <> 0")
-    r = d.withColumn("r", F.row_number().over(Window.orderBy(F.abs("d"), *(ties or [a, b]))))
+    r = numbered(d, [F.abs("d"), *map(F.col, ties or [a, b])], "r")
     plus, minus = F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0)), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0))
     return r.agg(plus.cast("long").alias("w_plus"), minus.cast("long").alias("w_minus"), F.count(F.lit(1)).alias("n"))
 

@@ -95,6 +95,37 @@ def g18_primary_level(spark, d):
     return R.primary_level(drift(spark, d))
 
 
+MODULARITY = """me2 AS (SELECT level, id, coalesce(layer, '') AS c FROM nd), ends AS (SELECT ed.level, a.c AS ca, b.c AS cb FROM ed JOIN me2 a ON a.level = ed.level AND a.id = src JOIN me2 b ON b.level = ed.level AND b.id = dst WHERE src <> dst), tot AS (SELECT level, c, count(*) AS k FROM (SELECT level, ca AS c FROM ends UNION ALL SELECT level, cb FROM ends) GROUP BY 1, 2),
+inn AS (SELECT level, ca AS c, 2 * count(*) AS i FROM ends WHERE ca = cb GROUP BY 1, 2), mm AS (SELECT level, sum(k)::DOUBLE AS two_m FROM tot GROUP BY 1), qq AS (SELECT tot.level, sum(coalesce(i, 0) / two_m - (k / two_m) ** 2) AS q FROM tot JOIN mm USING (level) LEFT JOIN inn ON inn.level = tot.level AND inn.c = tot.c GROUP BY 1),
+mg AS (SELECT l.level, coalesce(q, 0.0) AS q, coalesce(1 - greatest(0.0, least(1.0, q)), 0.0) AS gap FROM (SELECT DISTINCT level FROM nd) l LEFT JOIN qq USING (level))"""
+
+
+@query(f"{LEVELS}, {MODULARITY} SELECT level, floor(q * 1e6 + 0.5) / 1e6 AS modularity, floor(gap * 1e6 + 0.5) / 1e6 AS gap FROM mg")
+def g15_modularity_of_layers(spark, d):
+    """How well the layers part each level's graph."""
+    nodes, edges = levels(spark, d)
+    x = G.community_modularity(nodes.withColumnRenamed("layer", "community"), edges)
+    return x.select("level", r6(F.col("modularity")).alias("modularity"), r6(F.col("gap")).alias("gap"))
+
+
+ALL_DRIFT = f"""WITH RECURSIVE {CROSS[5:]}, {CLOSE.replace(" WHERE level IN ('module', 'domain')", "")}, {MODULARITY}, c AS (SELECT level, n_in + n_out AS d, count(*) AS c FROM dg GROUP BY 1, 2), n AS (SELECT level, sum(c)::DOUBLE AS n FROM c GROUP BY 1), en AS (SELECT level, any_value(n) AS n, -sum(c / n * ln(c / n)) AS e FROM c JOIN n USING (level) GROUP BY 1),
+dl AS (SELECT en.level, edges, cross_edges, 0.4 * e + 0.3 * cross_edges / edges + 0.2 * (SELECT count(*) FROM comp WHERE comp.level = en.level) / n + 0.1 * gap AS d FROM en JOIN cr USING (level) JOIN mg USING (level)), rp AS (SELECT level, edges, cross_edges, floor(d * 1e6 + 0.5) / 1e6 AS score, floor((ln(4) - ln(d + 1e-6)) * 1e6 + 0.5) / 1e6 AS delta, CASE WHEN ln(4) - ln(d + 1e-6) < 0 THEN 'drift' WHEN ln(4) - ln(d + 1e-6) < 0.25 THEN 'critical' ELSE 'stable' END AS status FROM dl)"""
+
+
+@query(f"{ALL_DRIFT} SELECT *, level = 'function' AS is_primary FROM rp")
+def g16_g18_drift_of_all_levels(spark, d):
+    """Drift of all four levels with all four terms; the layers are the communities of the modularity term."""
+    nodes, edges = levels(spark, d)
+    allowed = spark.createDataFrame(ALLOWED, "a string, b string")
+    cross = G.level_cross(nodes, edges, allowed).groupBy("level").agg(F.count(F.lit(1)).alias("edges"), F.sum("cross").alias("cross_edges"))
+    gap = G.community_modularity(nodes.withColumnRenamed("layer", "community"), edges)
+    x = G.level_entropy(G.level_degrees(nodes, edges)).join(cross, "level").join(G.cycle_counts(nodes, edges), "level").join(gap, "level")
+    x = x.withColumn("score", R.drift_score(F.col("entropy"), F.col("cross_edges") / F.col("edges"), F.col("cycles") / F.col("nodes"), F.col("gap")))
+    x = x.withColumn("delta", R.drift_delta(F.col("score"), F.lit(4)))
+    x = staged(x.select("level", "edges", "cross_edges", r6(F.col("score")).alias("score"), r6(F.col("delta")).alias("delta"), R.drift_status(F.col("delta")).alias("status")), "drift")
+    return x.join(R.primary_level(x).select("level", F.lit(True).alias("is_primary")), "level", "left").fillna(False, ["is_primary"])
+
+
 @query(None)
 def g15_g10_g3_level_kernels(spark, d):
     _, edges = levels(spark, d, ["module", "domain", "file"])
@@ -221,10 +252,16 @@ def w1_st4_latest_growth(spark, d):
     return last.select("r.delta", r6(F.col("r.per_hour")).alias("per_hour"), r6(F.col("r.per_hour") * 24).alias("per_day"))
 
 
-@query(f"{LEVELS}, o AS (SELECT src, dst FROM ed WHERE level = 'module' AND src < dst) SELECT 'service-0' AS src, dst FROM o WHERE src = 'service-0' ORDER BY dst LIMIT 19")
+#: A node's place in a breadth-first walk is that of its least path among the shortest.
+WALK = f"""WITH RECURSIVE {LEVELS[5:]}, o AS MATERIALIZED (SELECT src, dst FROM ed WHERE level = 'file'), wk(id, depth, path) AS (SELECT min(src), 0, [min(src)] FROM o UNION ALL SELECT o.dst, wk.depth + 1, list_append(min(wk.path), o.dst) FROM wk JOIN o ON o.src = wk.id WHERE wk.depth < 19 GROUP BY o.dst, wk.depth),
+fs AS (SELECT id, min(depth) AS depth, arg_min(path, depth) AS path FROM wk GROUP BY id), rk AS (SELECT *, row_number() OVER (ORDER BY depth, path) AS k FROM fs)"""
+
+
+@query(f"{WALK} SELECT path[-2] AS src, id AS dst, (k - 2)::INTEGER AS ord FROM rk WHERE k BETWEEN 2 AND 20")
 def r15_bounded_walk(spark, d):
-    _, edges = levels(spark, d, ["module"])
-    return G.walked_tree(edges.filter("src < dst"), "service-0", 20).filter("src = 'service-0'").select("src", "dst")
+    """The first twenty files that a breadth-first walk over imports reaches from the first file."""
+    _, edges = levels(spark, d, ["file"])
+    return G.walked_tree(edges, edges.agg(F.min("src")).first()[0], 20)
 
 
 @query(f"{LEVELS} SELECT src, dst FROM ed WHERE level = 'module' AND src <> dst ORDER BY src, dst LIMIT 10")

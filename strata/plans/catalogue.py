@@ -354,9 +354,9 @@ def j3_a3_group_concat(spark, d):
     return table(spark, d, "supplier").select("s_suppkey").join(f, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.coalesce("flags", F.lit("")).alias("flags"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 430000)")
 def j4_anti_join(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_totalprice > 430000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 3")

@@ -2,7 +2,7 @@
 
 Windows are words in a fixed frame (a marked start and end; words over ``WINDOW`` characters are
 several windows). Two dictionaries are trained by zstandard's own trainer: one on ordinary text,
-its most common windows, and one on toxic text, the windows whose character 5-grams are far more
+all windows that at least ``SHARED`` of its documents have, the most common last, and one on toxic text, the windows whose character 5-grams are far more
 frequent in toxic than in ordinary documents; a window is a training sample as often as documents
 have it, up to ``REPEATS``. The trainer drops windows of many samples, so those that are missing whole
 are put behind its result, which the format allows. A window's distance is how much shorter it gets with the toxic
@@ -44,8 +44,8 @@ from .quality import fit_logistic
 
 TOXIC, ORDINARY = 3_000, 9_000
 WINDOW, GRAM = 48, 5
-#: Windows in the dictionaries, and samples of one window at most.
-TOXIC_WINDOWS, ORDINARY_WINDOWS, REPEATS = 256, 1_500, 50
+#: Ordinary documents that must have a window of the ordinary dictionary; samples of one window at most.
+SHARED, REPEATS = 3, 50
 STRICT, LOW = 3, -60
 #: All frames begin alike, so a match is found only by a deep search: 2**SEARCH places.
 SEARCH = 10
@@ -76,8 +76,9 @@ class Distance(dict):
 
     def __init__(self, toxic: bytes, ordinary: bytes, marked: list[str]):
         def made(b: bytes) -> zs.ZstdCompressor:
-            log = max(10, min(20, len(b).bit_length() + 2))
-            how = zs.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zs.STRATEGY_BTOPT, window_log=log, hash_log=log, chain_log=log, search_log=SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            reach = max(10, min(24, len(b).bit_length() + 2))  # all of the dictionary
+            log = min(20, reach)
+            how = zs.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zs.STRATEGY_BTOPT, window_log=reach, hash_log=log, chain_log=log, search_log=SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
             return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(b), compression_params=how)
 
         self.toxic, self.ordinary = made(toxic), made(ordinary)
@@ -93,7 +94,7 @@ class Distance(dict):
         word = chunk.strip(MARKS)
         if word != chunk and word and len(word) <= WINDOW:
             return self[word]
-        d = max((self.of(word[i : i + WINDOW]) for i in range(0, len(word), WINDOW)), default=LOW)
+        d = max(map(self.of, pieces(word)), default=LOW)
         if len(self) >= CACHE:
             self.clear()
         if len(chunk) <= WINDOW:
@@ -105,6 +106,11 @@ class Distance(dict):
         return float(max(LOW, max(found, default=LOW))), log1p(sum(d > 0 for d in found))
 
 
+def pieces(word: str) -> list[str]:
+    """The windows of a word."""
+    return [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)]
+
+
 def grams(word: str) -> set[str]:
     w = f"_{word}_"
     return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}
@@ -116,14 +122,14 @@ def signs(chunks: list[str]) -> list[int]:
 
 
 def words_of(sample: DataFrame) -> DataFrame:
-    """doc_id, y, signs and distinct words of up to WINDOW characters of each labelled text."""
+    """doc_id, y, signs and distinct windows of each labelled text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 200):
                 part = batch.slice(s, 200)
                 chunks = [windows(t.as_py()) for t in part.column(2)]
-                words = [sorted({y for x in set(c) if len(y := x.strip(MARKS)) <= WINDOW} - {""}) for c in chunks]
+                words = [sorted({w for x in set(c) for w in pieces(x.strip(MARKS))}) for c in chunks]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(signs, chunks), pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "y", "signs", "words"])
 
     return sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, signs array<long>, words array<string>")
@@ -173,8 +179,9 @@ def chosen_windows(sample: DataFrame) -> tuple[list[tuple[str, int]], list[tuple
         padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
         pieces = counts.filter((F.col("n1") > 0) & (F.length("word") + 2 >= GRAM)).select("word", "n1", F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - GRAM + 1), lambda i: padded.substr(i, F.lit(GRAM)))).alias("gram"))
         marked = pieces.join(signs_of, "gram", "left_semi").select("word", "n1").distinct()
-        top = lambda df, by, most: [(r["word"], r[by]) for r in df.orderBy(F.desc(by), "word").limit(most).collect()]
-        found = top(marked, "n1", TOXIC_WINDOWS), top(counts.filter("n0 > 0"), "n0", ORDINARY_WINDOWS)
+        # windows of at most TOXIC + ORDINARY labelled texts
+        top = lambda df, by: [(r["word"], r[by]) for r in df.orderBy(F.desc(by), "word").collect()]
+        found = top(marked, "n1"), top(counts.filter(F.col("n0") >= SHARED), "n0")
         discard(counts)
     discard(words)
     return found if found[0] else ([], [])

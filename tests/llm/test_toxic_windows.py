@@ -1,8 +1,10 @@
 """The windows of the toxicity dictionaries against counts in one process, and awkward labels."""
 
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strata.llm import toxicity as tx
@@ -27,7 +29,7 @@ def brute(rows):
             first[s] = min(i, first.get(s, i))
     for i, t, y in rows:
         if all(first[s] >= i for s in tx.signs(tx.windows(t))):
-            kept.append((y, {x.strip(tx.MARKS) for x in tx.windows(t)} - {""}))
+            kept.append((y, {w for x in tx.windows(t) for w in tx.pieces(x.strip(tx.MARKS))}))
     n = Counter(y for y, _ in kept)
     by = [Counter(g for y, w in kept if y == c for g in set().union(*map(tx.grams, w))) for c in (0, 1)]
 
@@ -37,8 +39,8 @@ def brute(rows):
         return a >= max(4, 0.02 * n[1]) and a / n[1] >= 8 * (b + 0.5) / n[0] and (a - expected) / expected**0.5 > 4
 
     words = [Counter(x for y, w in kept if y == c for x in w) for c in (0, 1)]
-    top = lambda c, k: sorted(c.items(), key=lambda i: (-i[1], i[0]))[:k]
-    return top({x: m for x, m in words[1].items() if any(map(tells, tx.grams(x)))}, tx.TOXIC_WINDOWS), top(words[0], tx.ORDINARY_WINDOWS)
+    top = lambda c: sorted(c.items(), key=lambda i: (-i[1], i[0]))
+    return top({x: m for x, m in words[1].items() if any(map(tells, tx.grams(x)))}), top({x: m for x, m in words[0].items() if m >= tx.SHARED})
 
 
 def test_windows(spark):
@@ -47,6 +49,29 @@ def test_windows(spark):
     assert (got[0], got[1]) == brute(rows) and {w for w, _ in got[0]} >= set(RUDE)
 
 
+def test_long_words_are_several_windows(spark):
+    rows = [(i, "z" * 100 + f" own{i} word", 0) for i in range(3)] + [(9, "short words", 1)]
+    got = {r["doc_id"]: r["words"] for r in tx.words_of(spark.createDataFrame(rows, "doc_id long, text string, y int")).collect()}
+    assert got[0] == sorted(["z" * 48, "z" * 4, "own0", "word"]) and got[9] == ["short", "words"] and tx.trained([])
+
+
+def test_scores(spark):
+    """Scores by plain Python: dictionaries of the windows, features, logistic regression."""
+    rows = fixture()
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows}
+    known = [r for r in rows if fold[r[0]]]
+    two = len({(fold[i] == 4, y) for i, _, y in known}) == 4
+    toxic, ordinary = brute([r for r in known if fold[r[0]] != 4 or not two])
+    d = tx.Distance(tx.trained(toxic), tx.trained(ordinary), [w for w, _ in toxic])
+    x = np.array(sorted((float(y), *d.features(t)) for i, t, y in known if fold[i] == 4 or not two))
+    mean, dev, w = tx.fit_logistic(x[:, 1:], x[:, 0])
+    want = {i: 1 / (1 + np.exp(-np.clip(w[0] + ((np.array(d.features(t)) - mean) / dev) @ w[1:], -30, 30))) for i, t, _ in rows}
+    got = tx.toxicity(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-9 and r["held_out"] == (fold[r["doc_id"]] == 0) and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def test_dictionary_windows_match():
     words = [(f"{a}{b}word", 20) for a in ("brown", "green", "violet", "amber") for b in range(60)]
     d = tx.Distance(tx.trained(words), tx.trained([(f"plain{i}", 9) for i in range(300)]), [w for w, _ in words])

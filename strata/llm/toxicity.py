@@ -7,7 +7,8 @@ frequent in toxic than in ordinary documents; a window is a training sample as o
 have it, up to ``REPEATS``. The trainer drops windows of many samples, so those that are missing whole
 are put behind its result, which the format allows. A window's distance is how much shorter it gets with the toxic
 dictionary than with the ordinary one, less ``STRICT`` times what the toxic dictionary leaves of
-it: full matches stand out from windows that merely share some letters. A document's largest
+it: full matches stand out from windows that merely share some letters. What the toxic dictionary leaves bounds the distance from above, so the
+ordinary dictionary is asked only for the windows that can still decide. A document's largest
 distance and its number of positive windows are calibrated to a score by logistic regression.
 
 Labels are read from rows whose crc32(id) mod 5 is not 0, at most ``TOXIC`` toxic and
@@ -49,6 +50,8 @@ SHARED, REPEATS = 3, 50
 STRICT, LOW = 3, -60
 #: All frames begin alike, so a match is found only by a deep search: 2**SEARCH places.
 SEARCH = 10
+#: Bytes of frame and block that zstandard adds to a window that it stores as it is: the most a window can take.
+STORED = 9
 CACHE, LOCAL = 200_000, 200_000
 MARKS = ".,!?;:%$#*&|()[]{}\"'=+@/\\<>~^_`-"
 
@@ -84,11 +87,15 @@ class Distance(dict):
         self.toxic, self.ordinary = made(toxic), made(ordinary)
         # a window that the toxic dictionary holds whole
         self.least = min(len(self.toxic.compress(framed(w))) for w in marked)
+        self.bounds = Bounds(self)
 
     def of(self, word: str) -> int:
         b = framed(word)
+        return len(self.ordinary.compress(b)) - self.left(b)
+
+    def left(self, b: bytes) -> int:
         t = len(self.toxic.compress(b))
-        return len(self.ordinary.compress(b)) - t - STRICT * (t - self.least)
+        return t + STRICT * (t - self.least)
 
     def __missing__(self, chunk: str) -> int:
         word = chunk.strip(MARKS)
@@ -102,8 +109,31 @@ class Distance(dict):
         return d
 
     def features(self, text: str) -> tuple[float, float]:
-        found = list(map(self.__getitem__, set(windows(text))))
-        return float(max(LOW, max(found, default=LOW))), log1p(sum(d > 0 for d in found))
+        """The largest distance and the number of positive ones; chunks that can change neither are left alone."""
+        chunks = list(set(windows(text)))
+        bounds = list(map(self.bounds.__getitem__, chunks))
+        first = self[chunks[bounds.index(max(bounds))]] if chunks else LOW
+        floor = min(max(first, LOW), 0)
+        found = [self[c] for c, most in zip(chunks, bounds, strict=True) if most > floor]
+        return float(max(LOW, first, *found)), log1p(sum(d > 0 for d in found))
+
+
+class Bounds(dict):
+    """The most that the distance of a chunk can be, by the toxic dictionary alone; cached."""
+
+    def __init__(self, distance: Distance):
+        self.distance = distance
+
+    def __missing__(self, chunk: str) -> int:
+        word = chunk.strip(MARKS)
+        if word != chunk and word and len(word) <= WINDOW:
+            return self[word]
+        most = max((len(b) + STORED - self.distance.left(b) for b in map(framed, pieces(word))), default=LOW)
+        if len(self) >= CACHE:
+            self.clear()
+        if len(chunk) <= WINDOW:
+            self[chunk] = most
+        return most
 
 
 def pieces(word: str) -> list[str]:

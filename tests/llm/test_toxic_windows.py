@@ -86,3 +86,15 @@ def test_labels(spark):
     assert got.count() == docs.count() and got.filter("doc_id is null and predicted = 1").count() == 1
     assert got.filter(F.col("doc_id") == 3).select("score").distinct().count() == 2
     assert tx.toxicity(docs, labels.filter("toxic = 0")).filter("score <> 0").count() == 0
+
+
+def test_bounds_change_no_feature():
+    rng = random.Random(5)
+    words = [(f"{a}{b}word", 20) for a in ("brown", "green") for b in range(40)]
+    d = tx.Distance(tx.trained(words), tx.trained([(f"plain{i}", 9) for i in range(300)]), [w for w, _ in words])
+    some = [w for w, _ in words] + [f"plain{i}" for i in range(300)] + ["".join(chr(rng.choice((97, 122, 233, 20013, 128512)) + rng.randint(0, 3)) for _ in range(rng.randint(1, 120))) for _ in range(500)]
+    assert all(d.bounds[w] >= d[w] for w in some)
+    for n in (0, 1, 3, 40, 400):
+        text = " ".join(w + rng.choice(["", "!", '",']) for w in rng.choices(some, k=n))
+        found = [d[w] for w in set(tx.windows(text))]
+        assert d.features(text) == (float(max([tx.LOW, *found])), np.log1p(sum(x > 0 for x in found)))

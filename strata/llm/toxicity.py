@@ -28,6 +28,7 @@ are 0; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -60,6 +61,10 @@ def framed(window: str) -> bytes:
     return ("\n\n\n " + window + " \t\t\t").encode("utf-8", "surrogatepass")
 
 
+#: A whole window within a dictionary; windows hold no white space, so two of them can't overlap.
+WHOLE = re.compile(re.escape(framed("|")).replace(rb"\|", rb"[^ \n\t]+"))
+
+
 def windows(text: str) -> list[str]:
     return text.lower().split()
 
@@ -71,7 +76,8 @@ def trained(counted: list[tuple[str, int]]) -> bytes:
         made = zs.train_dictionary(max(4_096, 2 * sum(len(framed(w)) for w, _ in counted)), samples).as_bytes()
     except zs.ZstdError:  # too few samples for the trainer
         made = b""
-    return made + b"".join(b for w, _ in counted[::-1] if (b := framed(w)) not in made) or framed("")
+    whole = set(WHOLE.findall(made))
+    return made + b"".join(b for w, _ in counted[::-1] if (b := framed(w)) not in whole) or framed("")
 
 
 class Distance(dict):

@@ -98,3 +98,10 @@ def test_bounds_change_no_feature():
         text = " ".join(w + rng.choice(["", "!", '",']) for w in rng.choices(some, k=n))
         found = [d[w] for w in set(tx.windows(text))]
         assert d.features(text) == (float(max([tx.LOW, *found])), np.log1p(sum(x > 0 for x in found)))
+
+
+def test_windows_that_the_trainer_left_out_are_added():
+    words = [(f"{a}{b}word", b % 7 + 1) for a in ("brown", "größe", "\U0001f600", "|a.b*") for b in range(80)]
+    made = tx.zs.train_dictionary(max(4_096, 2 * sum(len(tx.framed(w)) for w, _ in words)), [tx.framed(w) for w, n in words for _ in range(n)]).as_bytes()
+    assert tx.trained(words) == made + b"".join(tx.framed(w) for w, _ in words[::-1] if tx.framed(w) not in made)
+    assert all(tx.framed(w) in tx.trained(words) for w, _ in words)

@@ -65,6 +65,8 @@ MEMBERS, BEST, NEAREST, PIVOT_ROUNDS = 6, 6, 2, 3
 PICKED = 1_000_000
 #: Places for the lists of one home, and rows of a home that a task holds at once.
 PARTS, HELD = 2, 400_000
+#: Pairs that a task holds at once.
+TOLD = 2_000_000
 #: Postings of a bucket on average; names of sets that a task keeps in mind.
 BUCKET, SEEN = 300_000, 100_000
 #: Copies of a group's row for a join with its sets; sets with more than one in MANY rows are hot.
@@ -225,13 +227,8 @@ def shared_runs(postings: DataFrame) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(run, "token long, home long, node long, n long, pos long, level long")
 
 
-def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
-    """Pairs (x, y, level, c) of different components from the lists of tokens.
-
-    every: all pairs that pass the filters, x the larger one, with BIT_COLS in runs; else pivots only.
-    Lists of one home are in one of PARTS places, so that a pair is told about PARTS times, not
-    once per shared token; a home's lists are as many as a prefix has tokens, of BLOCK sets or so.
-    """
+def pair_lister(every: bool, seed: int = 0):
+    """What lists the pairs of a task's tokens: its memory follows HELD rows and TOLD pairs, however many pairs there are."""
 
     def pivots(token, node, comp, n, level):
         """All lists at once: each row outside its list's main component meets MEMBERS rows inside.
@@ -259,26 +256,33 @@ def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
         ok = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
         return node[x[ok]], node[y[ok]], level[x[ok]]
 
-    def pairs(node, comp, n, pos, level, rank, *bits):
-        order = np.lexsort((node, n))
-        node, comp, n, pos, level, rank = (v[order] for v in (node, comp, n, pos, level, rank))
+    def pairs(token, node, comp, n, pos, level, rank, *bits):
+        """All lists at once, for as many sets x at a time as TOLD pairs allow: the pairs of x stay together over its lists."""
+        run = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
+        order = np.lexsort((node, n, run))
+        run, node, comp, n, pos, level, rank = (v[order] for v in (run, node, comp, n, pos, level, rank))
         bits = np.stack(bits)[:, order].view(U)  # bitwise_count takes the absolute value of signed integers
         lx = pos - (n - -(-3 * n // 4)) + 1  # the least l whose probing prefix holds the token
         ly = pos - (n - -(-6 * n // 7)) + 1  # the same for the indexing prefix
-        out = []
-        for i in range(1, len(node)):
-            if lx[i] > level[i]:
-                continue
-            lo = int(np.searchsorted(n, -(-3 * n[i] // 4)))
-            y = np.arange(lo, i)
-            need = -(-3 * (n[i] + n[y]) // 7)
-            most = np.minimum(rank[i], rank[y]) + 1 + np.minimum(n[i] - pos[i], n[y] - pos[y]) - 1
-            y = y[(comp[y] != comp[i]) & (ly[y] <= level[i]) & (most >= need)]
-            if len(y):
-                y = y[7 * np.bitwise_count(bits[:, y] ^ bits[:, i : i + 1]).sum(axis=0, dtype=np.int64) <= n[i] + n[y]]
-            if len(y):
-                out.append((np.full(len(y), node[i]), node[y], np.full(len(y), level[i])))
-        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
+        low = np.searchsorted(run << 32 | n, run << 32 | -(-3 * n // 4))
+        room = np.where(lx <= level, np.arange(len(node)) - low, 0)
+        _, of = np.unique(node, return_inverse=True)
+        part = (np.cumsum(np.bincount(of, room)) // TOLD).astype(np.int64)[of]
+        rows = np.flatnonzero(room)
+        rows = rows[np.argsort(part[rows], kind="stable")]
+        for some in np.split(rows, np.flatnonzero(np.diff(part[rows])) + 1):
+            out = []
+            for i in some:
+                y = np.arange(low[i], i)
+                need = -(-3 * (n[i] + n[y]) // 7)
+                most = np.minimum(rank[i], rank[y]) + 1 + np.minimum(n[i] - pos[i], n[y] - pos[y]) - 1
+                y = y[(comp[y] != comp[i]) & (ly[y] <= level[i]) & (most >= need)]
+                if len(y):
+                    y = y[7 * np.bitwise_count(bits[:, y] ^ bits[:, i : i + 1]).sum(axis=0, dtype=np.int64) <= n[i] + n[y]]
+                if len(y):
+                    out.append((np.full(len(y), node[i]), node[y], np.full(len(y), level[i])))
+            if out:
+                yield [np.concatenate(c) for c in zip(*out, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["home", "token", "node", "comp", "n", "level"] if not every else ["home", "token", "node", "comp", "n", "pos", "level", "rank", *BIT_COLS]
@@ -288,22 +292,19 @@ def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
             cols = cols[1:]
             token = cols[0]
             if not len(token):
-                return None
+                return
             starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            length = np.diff(np.append(starts, len(token)))
             mixed_runs = np.minimum.reduceat(cols[2], starts) < np.maximum.reduceat(cols[2], starts)
-            if every:
-                got = [p for s, e in zip(starts[mixed_runs], (starts + length)[mixed_runs], strict=True) if (p := pairs(*(c[s:e] for c in cols[1:]))) is not None]
-            else:
-                keep = np.repeat(mixed_runs, length)
-                got = [pivots(*(c[keep] for c in cols))] if keep.any() else []
-            if not got:
-                return None
-            x, y, level = (np.concatenate(c) for c in zip(*got, strict=True))
-            order = np.lexsort((y, x))
-            x, y, level = x[order], y[order], level[order]
-            at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))[: len(x)]
-            return pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(level[at]), pa.array(np.diff(np.append(at, len(x))))], names=["x", "y", "level", "c"]) if len(x) else None
+            keep = np.repeat(mixed_runs, np.diff(np.append(starts, len(token))))
+            if not keep.any():
+                return
+            cols = [c[keep] for c in cols]
+            for x, y, level in pairs(*cols) if every else [pivots(*cols)]:
+                order = np.lexsort((y, x))
+                x, y, level = x[order], y[order], level[order]
+                at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))[: len(x)]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(level[at]), pa.array(np.diff(np.append(at, len(x))))], names=["x", "y", "level", "c"])
 
         for batch in batches:
             cols = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, names, strict=True)]
@@ -312,14 +313,23 @@ def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
             if not cut and len(cols[0]) > HELD:
                 cut = int(np.searchsorted(cols[1], cols[1][-1]))
             rest = [c[cut:] for c in cols]
-            if cut and (out := found([c[:cut] for c in cols])) is not None:
-                yield out
-        if (out := found(rest)) is not None:
-            yield out
+            if cut:
+                yield from found([c[:cut] for c in cols])
+        yield from found(rest)
+
+    return run
 
+
+def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
+    """Pairs (x, y, level, c) of different components from the lists of tokens.
+
+    every: all pairs that pass the filters, x the larger one, with BIT_COLS in runs; else pivots only.
+    Lists of one home are in one of PARTS places, so that a pair is told about PARTS times, not
+    once per shared token; a home's lists are as many as a prefix has tokens, of BLOCK sets or so.
+    """
     at = runs.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int"))
     together = at.repartition(shuffle_width(runs.sparkSession), "home", "part").sortWithinPartitions("part", "home", "token")
-    return together.mapInArrow(run, "x long, y long, level long, c long")
+    return together.mapInArrow(pair_lister(every, seed), "x long, y long, level long, c long")
 
 
 def differing(p: np.ndarray, q: np.ndarray) -> int:

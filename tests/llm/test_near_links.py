@@ -1,7 +1,10 @@
 """Links that near-duplicate candidates must keep."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from strata.llm import ngram_join
@@ -52,3 +55,26 @@ def test_folded_bitmaps_keep_links():
                 assert ngram_join.differing(p, q) == ngram_join.differing(p, ngram_join.parities(b, 64 * len(p)))
     x, y = (rng.integers(0, 2**64, 3000, dtype=np.uint64) for _ in "ab")
     assert 7 * ngram_join.differing(*(ngram_join.parities(s, ngram_join.wide_bits(3000)) for s in (x, y))) > 6000
+
+
+def large_group(lists: int, sets: int) -> pa.RecordBatch:
+    """Lists of one home that all hold the same sets, each set a component of its own."""
+    token, node = np.repeat(np.arange(lists), sets), np.tile(np.arange(sets), lists)
+    flat = lambda v: np.full(lists * sets, v)
+    cols = [flat(1), token, node, node, flat(400), flat(0), flat(1), flat(0), *(flat(0) for _ in ngram_join.BIT_COLS)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["home", "token", "node", "comp", "n", "pos", "level", "rank", *ngram_join.BIT_COLS])
+
+
+def test_pairs_of_a_large_group_leave_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOLD", 50_000, raising=False)
+    run, batch = exhaustive(monkeypatch), large_group(20, 600)
+    tracemalloc.start()
+    total, distinct, pairs = 0, 0, set()
+    for b in run(iter([batch])):
+        total += pc.sum(b.column(3)).as_py()
+        distinct += b.num_rows
+        pairs.update((b.column(0).to_numpy() * 1000 + b.column(1).to_numpy()).tolist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 20 * len(pairs) == 20 * 600 * 599 // 2
+    assert distinct == len(pairs) and peak < 60e6  # of this the set of pairs takes a third

@@ -414,27 +414,104 @@ def file_context(targets: DataFrame, endpoints: DataFrame, models: DataFrame, fi
     return x.fillna("", ["endpoints", "models", "calls", "called_by"])
 
 
-def overlapping(sets: DataFrame, least: float, places: int) -> DataFrame:
-    """(a, b, similarity) of sets (id, members) with Jaccard of at least ``least``; pairs must share a member of their prefixes.
+def named_sets(sets: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(id, set, more) of each row, and the distinct sets (id, members): set is the name of the row's members, in any order."""
+    name = F.unhex(F.sha2(F.to_json(F.array_sort("members")), 256))
+    return sets.select("id", name.alias("set"), *more), sets.select(name.alias("id"), "members").dropDuplicates(["id"])
 
-    Members are ordered by how rare they are, so prefixes meet seldom; whole sets travel with distinct pairs only.
+
+def near_sets(sets: DataFrame, least: float, equal_sizes: bool = False) -> DataFrame:
+    """(a, b, s) of sets (id, members), a < b, with Jaccard of at least ``least``: sets that share l members of their prefixes.
+
+    Members are ordered by how rare they are, so prefixes meet seldom; whole sets travel with distinct pairs only. Sets of
+    one size n share w = least * 2n / (1 + least) members at least, so l of the first n - w + l of each; l is 1, if sizes differ.
     """
     m = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("t"))
     often = m.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "t"))
-    p = m.join(often, "t").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("id", "n", "t")
-    q = p.select(F.col("id").alias("b"), F.col("n").alias("n2"), "t")
-    pairs = p.join(q, "t").filter((F.col("id") < F.col("b")) & (F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
+    first = lambda k: F.transform(F.slice(F.array_sort(F.collect_list(F.struct("c", "t"))), F.lit(1), k), lambda e: e["t"])
+    if equal_sizes:
+        w = F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9).cast("int")
+        p = m.join(often, "t").groupBy("id", "n").agg(first(F.col("n") - w + F.least(w, F.lit(2))).alias("p")).withColumn("w", w)
+        at = F.sequence(F.lit(0), F.size("p") - 1)
+        two = F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j > i), lambda j: F.struct(F.col("p")[i].alias("t"), F.col("p")[j].alias("u")))))
+        one = F.transform("p", lambda t: F.struct(t.alias("t"), F.lit(None).alias("u")))
+        p = p.select("id", "n", F.explode(F.when(F.col("w") >= 2, two).otherwise(one)).alias("k")).select("id", F.struct("n", "k").alias("k"))
+        pairs = p.join(p.select(F.col("id").alias("b"), "k"), "k").filter(F.col("id") < F.col("b"))
+    else:
+        p = m.join(often, "t").groupBy("id", "n").agg(first((F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")).alias("p")).select("id", "n", F.explode("p").alias("t"))
+        q = p.select(F.col("id").alias("b"), F.col("n").alias("n2"), "t")
+        pairs = p.join(q, "t").filter((F.col("id") < F.col("b")) & (F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - 1e-9))
+    pairs = pairs.select(F.col("id").alias("a"), "b").distinct()
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return x.withColumn("s", T.jaccard(F.col("x"), F.col("y"))).filter(F.col("s") >= least).select("a", "b", T.half_up(F.col("s"), places).alias("similarity"))
+    return x.withColumn("s", T.jaccard(F.col("x"), F.col("y"))).filter(F.col("s") >= least).select("a", "b", "s")
+
+
+def near_classes(classes: DataFrame, distinct: DataFrame, least: float, places: int, equal_sizes: bool = False) -> DataFrame:
+    """(a, b, similarity) both ways of classes (class, set) whose sets are near or equal, each with itself too."""
+    one = near_sets(distinct, least, equal_sizes).withColumn("similarity", T.half_up(F.col("s"), places))
+    both = one.select("a", "b", "similarity").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    both = both.unionByName(distinct.filter(F.size("members") > 0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    of = lambda c, to: classes.select(F.col("set").alias(c), *(F.col(x).alias(f"{x}_{to}") for x in classes.columns if x != "set"))
+    return both.join(of("a", "a"), "a").join(of("b", "b"), "b").drop("a", "b")
+
 
+#: Rows of a class for each copy of it, and most copies.
+ROWS, PLACES = 512, 64
+
+
+def owners(near: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b, similarity), a < b: classes (class_a, class_b) stand for all pairs of their rows (id, class).
+
+    A large class is copied to several places, among which the rows of near classes are dealt, so that a few classes still make many tasks.
+    """
+    parts = of.groupBy("class").agg(F.least(F.ceil(F.count(F.lit(1)) / ROWS), F.lit(PLACES)).cast("int").alias("parts"))
+    place = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("place")
+    one = of.select(F.col("id").alias("a"), F.col("class").alias("class_a")).join(near, "class_a").join(parts.withColumnRenamed("class", "class_b"), "class_b").select("a", "class_b", "similarity", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("place"))
+    two = of.join(parts, "class").select(F.col("id").alias("b"), F.col("class").alias("class_b"), place)
+    return one.join(two, ["class_b", "place"]).filter("a < b").select("a", "b", "similarity")
 
-def similar_structure(prints: DataFrame, least: float) -> DataFrame:
-    """Functions (id, kinds, size, hash) of twelve nodes or more in the same or next size bucket, of other shape, whose kinds overlap."""
+
+def first_owners(near: DataFrame, of: DataFrame, most: int, similar_first: bool) -> DataFrame:
+    """The first ``most`` rows of ``owners`` by a and b, or by falling similarity before; the others are not listed.
+
+    Rows of a class with an id below a row that has a partner have that partner too, so a class's ``most`` smallest
+    rows are enough. Pairs among these give a bound, and only rows within it meet whole classes.
+    """
+    best = [F.desc("similarity")] * similar_first + [F.col("a"), F.col("b")]
+    rows = of.select(F.col("id").alias("a"), F.col("class").alias("class_a"))
+    few = staged(rows.withColumn("k", F.row_number().over(Window.partitionBy("class_a").orderBy("a"))).filter(F.col("k") <= most).drop("k"), "few")
+    heads = few.join(near, "class_a")
+    some = heads.join(few.toDF("b", "class_b"), "class_b").filter("a < b").orderBy(*best).limit(most).collect()  # most rows at most
+    if len(some) == most:
+        last = some[-1]
+        heads = heads.filter((F.col("similarity") > last["similarity"]) | ((F.col("similarity") == last["similarity"]) & (F.col("a") <= last["a"])) if similar_first else F.col("a") <= last["a"])
+    found = heads.join(rows.toDF("b", "class_b"), "class_b").filter("a < b")
+    return found.select("a", "b", "similarity").orderBy(*best).limit(most)
+
+
+def overlapping(sets: DataFrame, least: float, places: int, first: int | None = None) -> DataFrame:
+    """(a, b, similarity) of sets (id, members) with Jaccard of at least ``least``, or the ``first`` of them by a, b.
+
+    Rows of equal sets are one class while candidates are sought, so what is compared follows distinct sets; empty sets are like nothing.
+    """
+    of, distinct = (staged(x, n) for x, n in zip(named_sets(sets), ("set_of", "distinct_sets"), strict=True))
+    near = staged(near_classes(distinct.select(F.col("id").alias("set"), F.col("id").alias("class")), distinct, least, places), "near_sets")
+    of = of.withColumnRenamed("set", "class")
+    return owners(near, of) if first is None else first_owners(near, of, first, False)
+
+
+def similar_structure(prints: DataFrame, least: float, first: int | None = None) -> DataFrame:
+    """Functions (id, kinds, size, hash) of twelve nodes or more in the same or next size bucket, of other shape, whose kinds overlap.
+
+    first: only so many, the most similar first, then by a and b. A class is a set of kinds, a bucket and a hash.
+    """
     x = prints.filter("size >= 12").select("id", F.array_distinct("kinds").alias("members"), F.floor(F.col("size") / 10).alias("bucket"), "hash")
-    pairs = overlapping(x.select("id", "members"), least, 3)
-    end = lambda c: x.select(F.col("id").alias(c), F.col("bucket").alias(f"b{c}"), F.col("hash").alias(f"h{c}"))
-    return pairs.join(end("a"), "a").join(end("b"), "b").filter((F.abs(F.col("ba") - F.col("bb")) <= 1) & (F.col("ha") != F.col("hb"))).select("a", "b", "similarity")
+    of, distinct = (staged(y, n) for y, n in zip(named_sets(x, "bucket", "hash"), ("set_of", "distinct_sets"), strict=True))
+    of = of.withColumn("class", F.struct("set", "bucket", "hash"))
+    classes = of.select("class", "set", "bucket", "hash").distinct()
+    near = near_classes(classes, distinct, least, 3).filter((F.abs(F.col("bucket_a") - F.col("bucket_b")) <= 1) & (F.col("hash_a") != F.col("hash_b")))
+    near = staged(near.select("class_a", "class_b", "similarity"), "near_classes")
+    return owners(near, of.select("id", "class")) if first is None else first_owners(near, of.select("id", "class"), first, True)
 
 
 def similar_tokens(rows: DataFrame, least: float, places: int) -> DataFrame:

@@ -173,9 +173,9 @@ def constraints_packet(cycles: DataFrame, duplicates: DataFrame, similar: DataFr
     from .code import overlapping
 
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("name"), "[^a-z0-9/]+", " "), r"[/\s]+"), lambda w: w != ""))
-    pairs = overlapping(endpoints.select(F.col("eid").alias("id"), words.alias("members")).filter(F.size("members") > 0), 0.8, 2)
+    pairs = overlapping(endpoints.select(F.col("eid").alias("id"), words.alias("members")).filter(F.size("members") > 0), 0.8, 2, first=most)
     name = lambda c: endpoints.select(F.col("eid").alias(c), F.col("name").alias(f"name_{c}"))
-    pairs = pairs.orderBy("a", "b").limit(most).join(name("a"), "a").join(name("b"), "b")
+    pairs = pairs.join(name("a"), "a").join(name("b"), "b")
 
     def section(to: str, df: DataFrame, item: Column, order: list[Column]) -> DataFrame:
         return df.select(F.lit(to).alias("section"), F.row_number().over(Window.partitionBy(F.lit(to)).orderBy(*order)).alias("ord"), item.alias("item"))

@@ -71,15 +71,9 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     Equal sets are one set while candidates are sought: distinct sets meet by their rarest members
     only. Empty sets are like nothing.
     """
-    from .code import overlapping
-
-    name = F.sha2(F.to_json(F.array_sort("a")), 256).alias("id")
-    of = staged(sets.filter(F.size("a") > 0).select("k", name), "set_of")
-    distinct = staged(sets.filter(F.size("a") > 0).select(name, F.col("a").alias("members")).dropDuplicates(["id"]), "distinct_sets")
-    size = distinct.select("id", F.size("members").alias("n"))
-    near = overlapping(distinct, least, 6).join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").filter("na = nb").select("a", "b", "similarity")
-    near = near.unionByName(distinct.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-    one, two = of.toDF("k1", "a"), of.toDF("k2", "b")
-    # each pair of distinct sets stands for all pairs of their owners, smaller key first
-    x = near.join(one, "a").join(two, "b").filter("k1 <> k2").filter("a <> b or k1 < k2")
-    return x.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "similarity")
+    from .code import named_sets, near_classes, owners
+
+    x = sets.filter(F.size("a") > 0).select(F.col("k").alias("id"), F.col("a").alias("members"))
+    of, distinct = (staged(y, n) for y, n in zip(named_sets(x), ("set_of", "distinct_sets"), strict=True))
+    near = staged(near_classes(distinct.select(F.col("id").alias("set"), F.col("id").alias("class")), distinct, least, 6, equal_sizes=True), "near_sets")
+    return owners(near, of.withColumnRenamed("set", "class"))

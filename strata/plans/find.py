@@ -216,11 +216,14 @@ def q4_model_context(spark, d):
 SETS = "x AS (SELECT fid, len(list_distinct(k)) AS n, list_distinct(k) AS k, 12 + fid % 40 AS size, fid % 6 AS h FROM (SELECT fid, list('kind' || CAST((fid % 9 + i * (fid % 3 + 1)) % 24 AS STRING)) AS k FROM files, (VALUES (0), (1), (2), (3), (4), (5)) AS t(i) GROUP BY fid))"
 
 
+def structures(spark, d):
+    kinds = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("kind"), ((F.col("fid") % 9 + i * (F.col("fid") % 3 + 1)) % 24).cast("string"))))
+    return fact(spark, d, "files").select(F.col("fid").alias("id"), kinds.alias("kinds"), (F.lit(12) + F.col("fid") % 40).alias("size"), (F.col("fid") % 6).cast("string").alias("hash"))
+
+
 @query(f"{WITH}, {SETS} SELECT a.fid AS a, b.fid AS b, floor(len(list_intersect(a.k, b.k)) / (a.n + b.n - len(list_intersect(a.k, b.k)))::DOUBLE * 1000 + 0.5) / 1000 AS similarity FROM x a JOIN x b ON a.fid < b.fid AND abs(floor(a.size / 10) - floor(b.size / 10)) <= 1 AND a.h <> b.h WHERE len(list_intersect(a.k, b.k)) / (a.n + b.n - len(list_intersect(a.k, b.k)))::DOUBLE >= 0.8")
 def d4_similar_structure(spark, d):
-    kinds = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("kind"), ((F.col("fid") % 9 + i * (F.col("fid") % 3 + 1)) % 24).cast("string"))))
-    x = fact(spark, d, "files").select(F.col("fid").alias("id"), kinds.alias("kinds"), (F.lit(12) + F.col("fid") % 40).alias("size"), (F.col("fid") % 6).cast("string").alias("hash"))
-    return C.similar_structure(x, 0.8)
+    return C.similar_structure(structures(spark, d), 0.8)
 
 
 @query(f"{WITH}, x AS (SELECT eid, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(method || ' ' || path), '[^a-z0-9/]+', ' ', 'g'), '[/ ]+'), lambda t: t <> '')) AS t FROM endpoints) SELECT a.eid AS a, b.eid AS b, floor(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE * 100 + 0.5) / 100 AS similarity FROM x a JOIN x b ON a.eid < b.eid WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE >= 0.8")

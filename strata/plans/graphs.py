@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
+from strata.operators import code as C
 from strata.operators import facts as X
 from strata.operators import graph as G
 from strata.operators import reports as R
@@ -14,7 +15,7 @@ from strata.sources.staging import staged
 from .catalogue import query, r6, table
 from .code import MODULE_EDGES, module_edges
 from .codebase import WITH, fact
-from .find import SETS, d4_similar_structure
+from .find import SETS, structures
 
 TEST = "regexp_matches(lower({0}), 'test|spec|mock')"
 DOMAIN = "CASE WHEN {0} = 'service-1' THEN 'one' WHEN starts_with({0}, 'service-1') THEN 'teens' WHEN {0} IN ('service-2', 'service-3') THEN 'pair' END"
@@ -287,4 +288,4 @@ def q8_constraints_packet(spark, d):
     cross = G.level_cross(nodes, edges, spark.createDataFrame(ALLOWED, "a string, b string")).filter("cross = 1").select("src", "dst")
     status = R.primary_level(drift(spark, d)).select("status")
     e = fact(spark, d, "endpoints").select("eid", F.concat_ws(" ", "method", "path").alias("name"))
-    return X.constraints_packet(G.level_cycles(edges).select("id"), duplicates, d4_similar_structure(spark, d), e, fact(spark, d, "modules").select("id"), fact(spark, d, "models").select("name"), cross, status)
+    return X.constraints_packet(G.level_cycles(edges).select("id"), duplicates, C.similar_structure(structures(spark, d), 0.8, first=20), e, fact(spark, d, "modules").select("id"), fact(spark, d, "models").select("name"), cross, status)

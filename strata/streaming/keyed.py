@@ -8,6 +8,7 @@ the batch operators; rows behind the watermark are dropped by Spark.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,7 +113,13 @@ class CacheHits(InOrder):
 
 
 class LatestGrowth(InOrder):
-    """Difference between the last two points of a key, a row for each new point."""
+    """Difference between the last two points of a key, a row for each new point.
+
+    alone: points that share their time with another one of the key are left out, as none of them is the value of that time.
+    """
+
+    def __init__(self, alone: bool = False):
+        self.alone = alone
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -121,13 +128,17 @@ class LatestGrowth(InOrder):
     def taken(self, key: str, due: list[tuple]) -> pd.DataFrame:
         rows = []
         before = self.last.get() if self.last.exists() else None
+        if self.alone:  # rows of one time pass the watermark together
+            often = Counter(r[0] for r in due)
+            due = [r for r in due if often[r[0]] == 1]
         for t, _, n, _ in due:
             if before is not None:
                 hours = (t - before[0]) / 3.6e9
                 delta = float(n - before[1])
                 rows.append((key, before[0], t, delta, delta / hours if hours > 0 else None, "insufficient_data" if hours <= 0 else "increasing" if delta > 0 else "decreasing" if delta < 0 else "stable"))
             before = (t, n)
-        self.last.update(tuple(before))
+        if before is not None:
+            self.last.update(tuple(before))
         out = pd.DataFrame(rows, columns=["k", "from_ts", "to_ts", "delta", "per_hour", "trend"])
         return out.assign(from_ts=stamp(out["from_ts"].tolist()), to_ts=stamp(out["to_ts"].tolist())) if rows else out
 
@@ -196,9 +207,9 @@ def cache_hit_stream(stream: DataFrame, key: list[str], ts: str = "ts", id_col:
     return keyed(stream, CacheHits(ttl_seconds * 1_000_000), HITS, ts, late, key, id=F.col(id_col), n=F.lit(0), mark=F.lit(""))
 
 
-def growth_stream(stream: DataFrame, key: list[str], ts: str, value: str, late: str = "1 minute") -> DataFrame:
-    """(k, from_ts, to_ts, delta, per_hour, trend) of each point and the one before."""
-    return keyed(stream, LatestGrowth(), GROWTH, ts, late, key, id=F.lit(0), n=F.col(value), mark=F.lit(""))
+def growth_stream(stream: DataFrame, key: list[str], ts: str, value: str, late: str = "1 minute", alone: bool = False) -> DataFrame:
+    """(k, from_ts, to_ts, delta, per_hour, trend) of each point and the one before; alone: without points of one key and time."""
+    return keyed(stream, LatestGrowth(alone), GROWTH, ts, late, key, id=F.lit(0), n=F.col(value), mark=F.lit(""))
 
 
 def session_stream(stream: DataFrame, key: list[str], ts: str, tokens: str, hit: str, mark: str, idle_seconds: int, late: str = "1 minute") -> DataFrame:

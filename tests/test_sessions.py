@@ -114,3 +114,27 @@ def test_session_metrics(spark):
     x = spark.createDataFrame([(1, 100, True), (2, 900, False)], "id long, n long, hit boolean")
     assert S.session_metrics(x, F.col("n"), F.col("hit")).first().asDict() == {"calls": 2, "tokens": 1000, "saved": 0, "ratio": "0%", "cache_hits": 1}
     assert S.session_metrics(x.filter("id > 5"), F.col("n"), F.col("hit")).first().asDict() == {"calls": 0, "tokens": 0, "saved": 0, "ratio": "n/a", "cache_hits": 0}
+
+
+class Kept:
+    """A value state in memory."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_growth_of_points_of_one_time(alone):
+    p = K.LatestGrowth(*[alone] * alone)
+    p.last = Kept()
+    assert len(p.taken("a", [(0, 0, 5, ""), (0, 0, 9, "")])) == (0 if alone else 1)
+    out = p.taken("a", [(10, 0, 1, ""), (20, 0, 2, ""), (20, 0, 3, ""), (30, 0, 7, "")])
+    assert out["delta"].tolist() == ([6.0] if alone else [-8.0, 1.0, 1.0, 4.0])

@@ -141,11 +141,12 @@ def merged_suffixes(rows: DataFrame, path: str, body: str) -> DataFrame:
     """Rows whose path is the end of another row's path go into that row, with their body if it lacks it.
 
     All ends of a path are exploded, so this is an equi join. Of several longer paths the first by name gets it.
+    Paths pack well, so their tables look small and grow by the explosion: none is broadcast.
     """
     ends = rows.select(F.col(path).alias("longer"), F.explode(F.slice(T.path_suffixes(F.col(path)), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))).alias(path))
-    moved = rows.join(ends, path).groupBy(path, body).agg(F.min("longer").alias("longer"))
+    moved = staged(rows.join(ends.hint("merge"), path).groupBy(path, body).agg(F.min("longer").alias("longer")), "moved")
     got = moved.groupBy(F.col("longer").alias(path)).agg(F.transform(F.array_sort(F.collect_list(F.struct(path, body))), lambda r: r[body]).alias("more"))
-    x = rows.join(moved.select(path), path, "left_anti").join(got, path, "left")
+    x = rows.join(moved.select(path).hint("merge"), path, "left_anti").join(got.hint("merge"), path, "left")
     add = lambda acc, b: F.when((b == "") | acc.contains(b), acc).when(acc == "", b).otherwise(F.concat(acc, F.lit(" "), b))
     return x.withColumn(body, F.aggregate(F.coalesce("more", F.array().cast("array<string>")), F.coalesce(body, F.lit("")), add)).drop("more")
 

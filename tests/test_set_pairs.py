@@ -39,3 +39,10 @@ def test_equal_sizes_keep_all_pairs(spark, least):
     rows = [(i, rng.sample(range(9), 1 + i % 8)) for i in range(90)]
     want = {(a, b) for (a, p), (b, q) in itertools.combinations(rows, 2) if len(p) == len(q) and like(p, q) >= least}
     assert {(r["a"], r["b"]) for r in store.similar_sets(spark.createDataFrame(rows, "k long, a array<long>"), least).collect()} == want
+
+
+def test_suffixes_are_merged_without_broadcasts(spark):
+    rows = spark.createDataFrame([("b/a/x.py", "one"), ("a/x.py", "two"), ("y.py", "")], "path string, body string")
+    merged = C.merged_suffixes(rows, "path", "body")
+    assert sorted(map(tuple, merged.collect())) == [("b/a/x.py", "one two"), ("y.py", "")]
+    assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()

@@ -23,6 +23,11 @@ def postings(docs: DataFrame, id_col: str, weights: dict[str, float], token: str
     return parts.groupBy("id", "token").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
 
 
+def in_order(key: str, part: Column) -> Column:
+    """The sum of a few parts in the order of their keys, so that equal parts give equal sums in every group."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct(key, part.alias("part")))), F.lit(0.0), lambda a, e: a + e["part"])
+
+
 def bm25(index: DataFrame, n_docs: int, query: list[str]) -> DataFrame:
     """(id, score, matched): prefix BM25, more negative is better.
 
@@ -38,7 +43,7 @@ def bm25(index: DataFrame, n_docs: int, query: list[str]) -> DataFrame:
     idf = idf.select("q", F.when(F.col("idf") > 0, F.col("idf")).otherwise(LEAST_IDF).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = hits.join(F.broadcast(idf), "q").join(length, "id").join(F.broadcast(mean))
-    return scored.groupBy("id").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("matched"))
+    return scored.groupBy("id").agg((-in_order("q", part)).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def authority_quality(n_in: Column, n_out: Column, example: Column) -> Column:

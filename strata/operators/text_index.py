@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strata.sources.staging import staged
 
-from .search import B, K1, LEAST_IDF, postings
+from .search import B, K1, LEAST_IDF, in_order, postings
 from .versions import Version, VersionedStore
 
 #: Documents of one group.
@@ -120,7 +120,7 @@ class TextIndex:
         x = self.store.read("blocks", version).filter(near).join(groups.select("grp"), "grp", "left_semi").select("gen", q, F.arrays_zip("ids", "ws", "lens").alias("r"))
         x = self._live(x.select("gen", "q", F.explode("r").alias("r")).select("gen", "q", "r.ids", "r.ws", "r.lens").toDF("gen", "q", "id", "w", "len"), version)
         x = x.groupBy("id", "q", "len").agg(F.sum("w").alias("f")).join(idf, "q")
-        return x.groupBy("id").agg((-F.sum(self._part(F.col("f"), F.col("len"), version))).alias("score"), F.count(F.lit(1)).alias("matched"))
+        return x.groupBy("id").agg((-in_order("q", self._part(F.col("f"), F.col("len"), version))).alias("score"), F.count(F.lit(1)).alias("matched"))
 
     def search(self, query: list[str], k: int) -> DataFrame:
         """(id, score, matched) of the k best documents and of all that are within SLACK of the k-th; more negative is better."""

@@ -67,3 +67,12 @@ def test_a_search_reads_few_postings(spark, tmp_path, monkeypatch):
     index.build(frame(spark, rows), WEIGHTS)
     read, all_ = index.postings_read(["special", "common"], 5)
     assert read < 0.05 * all_ and best(index.search(["special", "common"], 5), 5) == best(S.bm25(S.postings(frame(spark, rows), "id", WEIGHTS), len(rows), ["special", "common"]), 5)
+
+
+def test_equal_parts_have_equal_sums_in_any_order(spark):
+    from strata.operators.search import in_order
+
+    values = {"a": 0.1, "b": 0.2, "c": 0.3, "d": 1e-17, "e": 0.7}
+    rows = [(i, q, values[q]) for i in range(40) for q in random.Random(i).sample(sorted(values), 5)]
+    x = spark.createDataFrame(rows, "id long, q string, v double").coalesce(1).groupBy("id").agg(in_order("q", F.col("v")).alias("s"))
+    assert len({r["s"] for r in x.collect()}) == 1

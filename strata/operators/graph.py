@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.sources.staging import staged
 
 from .components import cyclic_parts
+from .numbering import numbered
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,47 +107,105 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-# Kernels on one graph per level; their results depend on the order of nodes and edges.
+# Kernels on one graph per level; their results depend on the order of nodes and edges. Nodes are numbers from 0
+# in their order, so that a kernel needs a few numbers per node and edge, whatever the names are.
 
 
-def strong_components(edges: list[tuple]) -> list[list]:
-    """Strongly connected components, by Tarjan's walk without recursion."""
-    out: dict = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    index, low, stack, on, found = {}, {}, [], set(), []
-    for root in sorted(out):
-        if root in index:
+def numbers_of(edges: list[tuple], names: list) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of edges as places in ``names``."""
+    at = {v: i for i, v in enumerate(names)}
+    return np.array([at[a] for a, _ in edges], "int64"), np.array([at[b] for _, b in edges], "int64")
+
+
+def sorted_numbers(edges: list[tuple]) -> tuple[list, np.ndarray, np.ndarray]:
+    names = sorted({v for e in edges for v in e})
+    return names, *numbers_of(edges, names)
+
+
+def out_lists(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[memoryview, memoryview]:
+    """Where each node's edges begin, and what they lead to, in the order of the edges."""
+    start = np.zeros(n + 1, "int64")
+    np.cumsum(np.bincount(src, minlength=n), out=start[1:])
+    return memoryview(start), memoryview(dst[np.argsort(src, kind="stable")].astype("int32"))
+
+
+def distinct_edges(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = np.unique(src * n + dst)
+    return key // max(n, 1), key % max(n, 1)
+
+
+def strong_parts(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The strongly connected component of each node, by Tarjan's walk without recursion."""
+    start, to = out_lists(n, src, dst)
+    at = memoryview(np.array(start[:-1], "int64"))
+    part = np.full(n, -1, "int32")
+    parts, index, low = memoryview(part), memoryview(np.full(n, -1, "int32")), memoryview(np.zeros(n, "int32"))
+    stack, count, found = [], 0, 0
+    for root in range(n):
+        if index[root] >= 0:
             continue
-        work = [(root, iter(out[root]))]
-        index[root] = low[root] = len(index)
+        work = [root]
+        index[root] = low[root] = count
+        count += 1
         stack.append(root)
-        on.add(root)
         while work:
-            v, rest = work[-1]
-            for w in rest:
-                if w not in index:
-                    index[w] = low[w] = len(index)
+            v = work[-1]
+            i = at[v]
+            if i < start[v + 1]:
+                at[v] = i + 1
+                w = to[i]
+                if index[w] < 0:
+                    index[w] = low[w] = count
+                    count += 1
                     stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(out[w])))
-                    break
-                if w in on:
-                    low[v] = min(low[v], index[w])
+                    work.append(w)
+                elif parts[w] < 0 and index[w] < low[v]:
+                    low[v] = index[w]
+                continue
+            work.pop()
+            if work and low[v] < low[work[-1]]:
+                low[work[-1]] = low[v]
+            if low[v] == index[v]:
+                while True:
+                    w = stack.pop()
+                    parts[w] = found
+                    if w == v:
+                        break
+                found += 1
+    return part
+
+
+def strong_components(edges: list[tuple]) -> list[list]:
+    """Strongly connected components of a small graph, each sorted."""
+    names, src, dst = sorted_numbers(edges)
+    found: dict = {}
+    for v, p in zip(names, strong_parts(len(names), src, dst).tolist(), strict=True):
+        found.setdefault(p, []).append(v)
+    return [found[p] for p in sorted(found)]
+
+
+def back_edges(n: int, src: np.ndarray, dst: np.ndarray) -> int:
+    """How many cycles ``back_edge_cycles`` lists: each back edge of the walk closes another one, so none is kept."""
+    start, to = out_lists(n, *distinct_edges(n, src, dst))
+    at, state, found = memoryview(np.array(start[:-1], "int64")), bytearray(n), 0  # 1: on the path, 2: done
+    for root in range(n):
+        if state[root]:
+            continue
+        state[root], path = 1, [root]
+        while path:
+            v = path[-1]
+            i = at[v]
+            if i < start[v + 1]:
+                at[v] = i + 1
+                w = to[i]
+                if state[w] == 1:
+                    found += 1
+                elif not state[w]:
+                    state[w] = 1
+                    path.append(w)
             else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    part = []
-                    while True:
-                        w = stack.pop()
-                        on.discard(w)
-                        part.append(w)
-                        if w == v:
-                            break
-                    found.append(sorted(part))
+                state[v] = 2
+                path.pop()
     return found
 
 
@@ -184,25 +244,33 @@ def back_edge_cycles(edges: list[tuple]) -> list[list]:
 
 
 def modularity_gap(nodes: list, edges: list[tuple], passes: int = 10) -> float:
-    """1 - Q of one level of local moving; nodes are visited in the given order."""
-    weight: dict = {v: {} for v in nodes}
-    for a, b in edges:
-        if a != b and a in weight and b in weight:
-            weight[a][b] = weight[a].get(b, 0) + 1
-            weight[b][a] = weight[b].get(a, 0) + 1
-    degree = {v: sum(w.values()) for v, w in weight.items()}
-    two_m = sum(degree.values())
+    """1 - Q of one level of local moving on a small graph; nodes are visited in the given order."""
+    known = set(nodes)
+    return moved_gap(len(nodes), *numbers_of([e for e in edges if e[0] in known and e[1] in known], nodes), passes)
+
+
+def moved_gap(n: int, src: np.ndarray, dst: np.ndarray, passes: int = 10) -> float:
+    """1 - Q of one level of local moving; nodes are visited by their numbers, neighbours by the first edge between them."""
+    keep = src != dst
+    a, b = np.concatenate([src[keep], dst[keep]]), np.concatenate([dst[keep], src[keep]])
+    two_m = len(a)
     if not two_m:
         return 0.0
-    home = {v: i for i, v in enumerate(nodes)}
-    total, inner = {i: degree[v] for v, i in home.items()}, dict.fromkeys(home.values(), 0.0)
+    key, first, often = np.unique(a * n + b, return_index=True, return_counts=True)
+    v, u = key // n, key % n
+    by = np.lexsort((first % (two_m // 2), v))
+    start, to = out_lists(n, v[by], u[by])
+    weight, degree = memoryview(often[by].astype("int32")), memoryview(np.bincount(a, minlength=n))
+    del a, b, key, first, often, v, u, by
+    home, total, inner = memoryview(np.arange(n)), memoryview(np.array(degree)), memoryview(np.zeros(n))
     value = lambda c, add_in=0.0, add=0.0: (inner[c] + add_in) / two_m - ((total[c] + add) / two_m) ** 2
     for _ in range(passes):
         moved = False
-        for v in nodes:
+        for v in range(n):
             links: dict = {}
-            for u, w in weight[v].items():
-                links[home[u]] = links.get(home[u], 0) + w
+            for i in range(start[v], start[v + 1]):
+                c = home[to[i]]
+                links[c] = links.get(c, 0) + weight[i]
             old, k = home[v], degree[v]
             total[old] -= k
             inner[old] -= 2 * links.get(old, 0)
@@ -217,57 +285,76 @@ def modularity_gap(nodes: list, edges: list[tuple], passes: int = 10) -> float:
             moved |= best != old
         if not moved:
             break
-    q = sum(value(c) for c in total if total[c])
+    q = sum(value(c) for c in range(n) if total[c])
     return 1 - min(1.0, max(0.0, q))
 
 
 def longest_path(edges: list[tuple], cap: int = 20) -> int:
+    """``longest_walk`` of a small graph."""
+    names, src, dst = sorted_numbers(edges)
+    return longest_walk(len(names), src, dst, cap)
+
+
+def longest_walk(n: int, src: np.ndarray, dst: np.ndarray, cap: int = 20) -> int:
     """Edges on the longest walk of a memoised depth-first search; a node on the stack counts 0."""
-    out: dict = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
-    memo: dict = {}
-    for root in sorted(out):
-        if root in memo:
+    start, to = out_lists(n, src, dst)
+    at, state, best = memoryview(np.array(start[:-1], "int64")), bytearray(n), memoryview(np.zeros(n, "int32"))  # 1: on the stack, 2: done
+    for root in range(n):
+        if state[root]:
             continue
-        work, on, best = [(root, iter(out.get(root, [])))], {root}, {root: 0}
+        state[root], work = 1, [root]
         while work:
-            v, rest = work[-1]
-            for w in rest:
-                if w in memo:
-                    best[v] = min(cap, max(best[v], 1 + memo[w]))
-                elif w in on:
-                    best[v] = min(cap, max(best[v], 1))
+            v = work[-1]
+            i = at[v]
+            if i < start[v + 1]:
+                at[v] = i + 1
+                w = to[i]
+                if state[w]:
+                    best[v] = min(cap, max(best[v], 1 + best[w] if state[w] == 2 else 1))
                 else:
-                    on.add(w)
-                    best[w] = 0
-                    work.append((w, iter(out.get(w, []))))
-                    break
+                    state[w] = 1
+                    work.append(w)
             else:
+                state[v] = 2
                 work.pop()
-                on.discard(v)
-                memo[v] = best[v]
                 if work:
-                    u = work[-1][0]
-                    best[u] = min(cap, max(best[u], 1 + memo[v]))
-    return max(memo.values(), default=0)
+                    u = work[-1]
+                    best[u] = min(cap, max(best[u], 1 + best[v]))
+    return max(best, default=0)
 
 
 def per_level(edges: DataFrame) -> DataFrame:
     """(level, n_scc, n_cycles, modularity_gap, longest): the kernels on each level's graph.
 
-    ``edges`` has level, ord, src, dst. A level is one graph of a code base; its size is bounded
-    by the code base, not by the number of code bases.
+    ``edges`` has level, ord, src, dst. A level is one graph of a code base, and one task walks it; names and
+    the order of edges become numbers before, so that the task's memory is some numbers per node and edge.
     """
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        e = list(x.sort_values("ord")[["src", "dst"]].itertuples(index=False, name=None))
-        nodes = list(dict.fromkeys(v for p in e for v in p))
-        loops = {a for a, b in e if a == b}
-        parts = strong_components(e)
-        return pd.DataFrame([{"level": x["level"].iloc[0], "n_scc": sum(len(p) > 1 or p[0] in loops for p in parts), "n_cycles": len(back_edge_cycles(e)), "modularity_gap": modularity_gap(nodes, e), "longest": longest_path(e)}])
-
-    return edges.groupBy("level").applyInPandas(run, "level string, n_scc long, n_cycles long, modularity_gap double, longest long")
+    edges = edges.select("level", "ord", "src", "dst")
+    ids = staged(numbered(edges.select("level", F.explode(F.array("src", "dst")).alias("id")).distinct(), [F.col("level"), F.col("id")]), "ids")
+    base = staged(ids.groupBy("level").agg(F.min("n").alias("base")), "base")
+    end = lambda c: ids.select("level", F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    x = numbered(edges, [F.col("level"), F.col("ord"), F.col("src"), F.col("dst")], "at").join(end("src"), ["level", "src"]).join(end("dst"), ["level", "dst"]).join(F.broadcast(base), "level")
+    x = x.select("base", "at", (F.col("n_src") - F.col("base")).cast("int").alias("src"), (F.col("n_dst") - F.col("base")).cast("int").alias("dst"))
+
+    def run(key: tuple, x: pa.Table) -> pa.Table:
+        by = np.argsort(x["at"].to_numpy())
+        src, dst = x["src"].to_numpy()[by].astype("int64"), x["dst"].to_numpy()[by].astype("int64")
+        del by
+        n = int(max(src.max(), dst.max())) + 1
+        sizes, loops = strong_parts(n, src, dst), np.zeros(n, "bool")
+        loops[src[src == dst]] = True
+        many = np.bincount(sizes)[sizes] > 1
+        n_scc = len(np.unique(sizes[many | loops]))
+        both = np.stack([src, dst], axis=1).ravel()  # nodes are visited in the order in which edges name them
+        met, first = np.unique(both, return_index=True)
+        place = np.empty(n, "int64")
+        place[met[np.argsort(first)]] = np.arange(n)
+        del both, met, first
+        row = {"base": key[0].as_py(), "n_scc": n_scc, "n_cycles": back_edges(n, src, dst), "modularity_gap": moved_gap(n, place[src], place[dst]), "longest": longest_walk(n, src, dst)}
+        return pa.Table.from_pylist([row])
+
+    found = x.groupBy("base").applyInArrow(run, "base long, n_scc long, n_cycles long, modularity_gap double, longest long")
+    return base.join(found, "base").select("level", "n_scc", "n_cycles", "modularity_gap", "longest")
 
 
 def heat(rank: Column, degree: Column, cross: Column, cycle: Column) -> Column:

@@ -121,3 +121,30 @@ def test_streams(spark, tmp_path):
     q = events.debounced(stream, "k").writeStream.format("memory").queryName("deb").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert ("a", 2) in {(r["k"], r["n"]) for r in spark.table("deb").collect()}
+
+
+def test_level_kernels_keep_no_cycles():
+    """A ring with chords has as many cycles as chords, each as long as the ring; their nodes must not be held."""
+    import tracemalloc
+
+    n = 4000
+    edges = [(f"n{i:05}", f"n{(i + 1) % n:05}") for i in range(n)] + [(f"n{i:05}", "n00000") for i in range(n // 2, n - 1)]
+    names, src, dst = G.sorted_numbers(edges)
+    tracemalloc.start()
+    found = G.back_edges(len(names), src, dst)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n // 2 and peak < 2_000_000
+
+
+def test_level_kernels_count_as_the_lists(spark):
+    r = random.Random(3)
+    rows_ = list({(level, f"s{r.randrange(n)}", f"s{r.randrange(n)}") for level, n in (("a", 9), ("b", 12)) for _ in range(40)})
+    got = {x["level"]: x for x in G.per_level(spark.createDataFrame(rows_, "level string, src string, dst string").selectExpr("level", "concat_ws('|', src, dst) as ord", "src", "dst")).collect()}
+    for level in ("a", "b"):
+        e = sorted(((a, b) for k, a, b in rows_ if k == level), key=lambda p: f"{p[0]}|{p[1]}")
+        loops = {a for a, b in e if a == b}
+        x = got[level]
+        assert x["n_cycles"] == len(G.back_edge_cycles(e)) and x["longest"] == G.longest_path(e)
+        assert x["n_scc"] == sum(len(p) > 1 or p[0] in loops for p in brute_scc(e))
+        assert x["modularity_gap"] == G.modularity_gap(list(dict.fromkeys(v for p in e for v in p)), e)

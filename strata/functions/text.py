@@ -175,6 +175,15 @@ def tokens(text: Column, kind: str) -> Column:
     return words(text, separator, least)
 
 
+# The same four ways as the tokens themselves, to count them without cutting the text.
+RUNS = {"search": r"[a-z0-9_/.{}-]++", "literal": r"[a-z0-9_]{3,}+", "depth": r"[a-z0-9_]++", "blank": r"\S++"}
+
+
+def token_count(text: Column, kind: str) -> Column:
+    """How many ``tokens`` there are."""
+    return F.regexp_count(F.lower(text), F.lit(RUNS[kind]))
+
+
 # Calls that say nothing about a service, whole and by their beginning.
 GENERIC = "str dict int len float max join getattr lower open params.append updates.append".split()
 GENERIC_HEADS = "service. self. db. session. response. request. app. router. logger. config. os. json. re. datetime. uuid.".split()

@@ -66,7 +66,8 @@ len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: len
 def fn2_tokenisers(spark, d):
     from .catalogue import table
 
-    return table(spark, d, "documents").select("doc_id", *(F.size(T.tokens(F.col("text"), k)).cast("long").alias(f"n_{k}") for k in T.TOKENISERS))
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")  # a file may be one split
+    return docs.select("doc_id", *(T.token_count(F.col("text"), k).cast("long").alias(f"n_{k}") for k in T.TOKENISERS))
 
 
 @query(f"""{WITH} SELECT DISTINCT call, CASE WHEN regexp_matches(call, '[.][A-Za-z_][A-Za-z0-9_]*$') THEN regexp_extract(call, '[.]([A-Za-z_][A-Za-z0-9_]*)$', 1) ELSE call END AS bare FROM calls""")

@@ -148,3 +148,16 @@ def test_level_kernels_count_as_the_lists(spark):
         assert x["n_cycles"] == len(G.back_edge_cycles(e)) and x["longest"] == G.longest_path(e)
         assert x["n_scc"] == sum(len(p) > 1 or p[0] in loops for p in brute_scc(e))
         assert x["modularity_gap"] == G.modularity_gap(list(dict.fromkeys(v for p in e for v in p)), e)
+
+
+def test_token_counts_equal_tokens(spark):
+    texts = ["", " ", "a", "ab cd_e ÄÖ x.y/{z}-1", "İstanbul KK", "\x0b\x0c\r\n tab\tend ", "aaa bbb  cc dd", "--", None, "x" * 50 + " é " + "yz" * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for k in T.TOKENISERS:
+        bad = df.filter(~T.token_count(F.col("text"), k).eqNullSafe(F.when(F.col("text").isNotNull(), F.size(T.tokens(F.col("text"), k)))))
+        assert bad.collect() == [], k
+
+
+def test_tokenisers_deal_out_one_split(spark, tmp_path):
+    spark.range(2000).selectExpr("id as doc_id", "'some words here' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert "hashpartitioning(doc_id" in catalogue.queries()["fn2_tokenisers"](spark, str(tmp_path))._jdf.queryExecution().toString()

@@ -42,15 +42,18 @@ def extract_batch(store: VersionedStore, files: DataFrame, extract: Callable[[Da
         return base
     spark = store.spark
     cache = store.read("cache", base) if "cache" in base.tables else spark.createDataFrame([], CACHE)
-    seen = staged(files.groupBy("path").agg(F.max("hash").alias("hash")).withColumn("config", F.lit(config)), "batch")
-    now = seen.filter("hash is not null")
+    seen = staged(files.groupBy("path", "hash").agg(F.count(F.lit(1)).alias("rows")).groupBy("path").agg(F.max("hash").alias("hash"), F.max_by("rows", "hash").alias("rows")).withColumn("config", F.lit(config)), "batch")
+    now = seen.filter("hash is not null").select(*KEY, "rows")
     changed = staged(now.join(cache, KEY, "left_anti"), "changed")
     said = seen.select("path", F.col("hash").alias("new"), F.col("config").alias("under"))
     named = F.coalesce((F.col("hash") == F.col("new")) & (F.col("config") == F.col("under")), F.lit(False))
     live = named if whole else F.when(F.col("under").isNull(), F.col("live")).otherwise(named)
     entries = {"cache": store.write(cache.join(said, "path", "left").select(*KEY, live.alias("live")).unionByName(changed.select(*KEY, F.lit(True).alias("live"))))}
-    work = files.join(changed.select("path", "hash"), ["path", "hash"], "left_semi").dropDuplicates(["path"])
-    entries["facts"] = store.append("facts", extract(work).join(changed, "path"), base)
+    # contents stream past hashed keys: only those of paths that were given more than once are sorted
+    work = files.join(changed.select("path", "hash", "rows").hint("shuffle_hash"), ["path", "hash"])
+    if not changed.filter("rows > 1").isEmpty():
+        work = work.filter("rows = 1").unionByName(work.filter("rows > 1").dropDuplicates(["path"]))
+    entries["facts"] = store.append("facts", extract(work.drop("rows")).join(changed.select(*KEY), "path"), base)
     return store.commit(entries, base, {"batch": batch})
 
 

@@ -83,10 +83,11 @@ def contracts(calls: DataFrame, endpoints: DataFrame, fields: DataFrame) -> Data
     """
     keyed = with_key(calls)
     groups = keyed.groupBy("m", "p").agg(F.min("ord").alias("ord"), F.array_sort(F.array_compact(F.collect_set("field"))).alias("sent"), F.array_sort(F.collect_set("page")).alias("callers"))
-    hit = matched_endpoints(groups, endpoints).join(groups, ["m", "p"])
-    first = hit.groupBy("eid").agg(F.min_by(F.struct("sent", "callers"), F.struct("ord", "m", "p")).alias("g")).select("eid", "g.sent", "g.callers")
+    # the lists of pages are joined last, so that no aggregation or sort by endpoints carries them
+    hit = matched_endpoints(groups, endpoints).join(groups.select("m", "p", "ord"), ["m", "p"])
+    first = hit.groupBy("eid").agg(F.min(F.struct("ord", "m", "p")).alias("g")).select("eid", "g.m", "g.p")
     known = fields.groupBy(F.col("name").alias("request_schema")).agg(F.array_sort(F.collect_set("field")).alias("known"))
-    x = endpoints.select("eid", "request_schema", "response_schema").join(first, "eid").join(known, "request_schema", "left")
+    x = endpoints.select("eid", "request_schema", "response_schema").join(first, "eid").join(known, "request_schema", "left").join(groups.select("m", "p", "sent", "callers"), ["m", "p"])
     none = F.array().cast("array<string>")
     x = x.withColumn("have", F.coalesce("known", none))
     both = (F.size("have") > 0) & (F.size("sent") > 0)
@@ -104,10 +105,19 @@ def contracts(calls: DataFrame, endpoints: DataFrame, fields: DataFrame) -> Data
 
 def data_flows(calls: DataFrame, endpoints: DataFrame, uses: DataFrame) -> DataFrame:
     """(page, eid, models): what a page reaches by exact or ANY keys, each flow once."""
-    keyed = with_key(calls)
+    keyed = with_key(calls).select("page", "m", "p").distinct()
     models = uses.groupBy("eid").agg(F.array_sort(F.collect_set("model")).alias("models"))
-    x = keyed.select("page", "m", "p").join(matched_endpoints(keyed, endpoints, suffixes=False), ["m", "p"]).select("page", "eid").distinct()
-    return x.join(models, "eid", "left").select("page", "eid", F.coalesce("models", F.array().cast("array<string>")).alias("models"))
+    e = with_key(endpoints).select("eid", F.col("m").alias("em"), F.col("p").alias("ep")).distinct()
+    # pages meet the keys of endpoints once each; only then flows are listed, whose number is no longer in step with the input
+    ends = e.select("em", "ep").distinct()
+    keys = keyed.select("m", "p").distinct()
+    exact = keys.join(ends, (F.col("m") == F.col("em")) & (F.col("p") == F.col("ep")))
+    wild = keys.join(exact.select("m", "p"), ["m", "p"], "left_anti").join(ends.filter("em = 'ANY'"), F.col("p") == F.col("ep"))
+    met = keyed.join(exact.unionByName(wild), ["m", "p"]).select("page", "em", "ep").distinct()
+    often = e.groupBy("eid").agg((F.count(F.lit(1)) > 1).alias("often"))  # an eid that is given with several keys
+    told = e.join(often, "eid").join(models, "eid", "left").select("em", "ep", "eid", "often", F.coalesce("models", F.array().cast("array<string>")).alias("models"))
+    flows = lambda which: met.join(told.filter(which), ["em", "ep"]).select("page", "eid", "models")
+    return flows(~F.col("often")).unionByName(flows(F.col("often")).distinct())
 
 
 def is_test(path: Column) -> Column:

@@ -13,7 +13,8 @@ of equal sets are one node from there on. (2) A second pass sends prefix posting
 bucket (their number follows from the measured sizes); a token's entries meet and only those with
 company stay, each node once. (3) Pivot rounds: in every token's list,
 documents outside the list's largest component are compared with a few of its members, so a
-group of g near copies joins up with O(g) comparisons. (4) The exhaustive round lists all pairs
+group of g near copies joins up with O(g) comparisons; where lists are long, further rounds compare
+with more members, so that a copy that few members link with needs not meet all of them. (4) The exhaustive round lists all pairs
 of documents that are still in different components and share l prefix tokens, with length and
 positional filters and a bitmap filter, and verifies each; so no link between components is
 lost. Pairs inside a component are never needed. Verification compares whole sets.
@@ -61,6 +62,8 @@ LEVELS = 24
 VERIFY, COMPANY = 64, 0.05
 BLOCK = 8_192
 MEMBERS, BEST, NEAREST, PIVOT_ROUNDS = 6, 6, 2, 3
+#: The same for the rounds after these, which take only lists of more than LONG sets and end when one finds no link.
+WIDER, LONG = [(48, 48, 12), (96, 96, 24)], 96
 #: Most row keys that are broadcast to pick texts, 16 bytes each; more are joined by a shuffle.
 PICKED = 1_000_000
 #: Places for the lists of one home, and rows of a home that a task holds at once.
@@ -72,7 +75,7 @@ BUCKET, SEEN = 300_000, 100_000
 #: Copies of a group's row for a join with its sets; sets with more than one in MANY rows are hot.
 SALTS, MANY = 16, 1_000
 #: Bits of a list's bitmaps; most bits of a set's own one.
-BITS, WIDE = 256, 65_536
+BITS, WIDE = 512, 65_536
 BIT_COLS = [f"b{i}" for i in range(BITS // 64)]
 U = np.uint64
 
@@ -206,7 +209,7 @@ def prefix_postings(docs: DataFrame, k: int, salt: int, tokens: np.ndarray, coun
 
 
 def shared_runs(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that at least two sets have: token, home, node, n, pos, level; each once.
+    """Postings of tokens that at least two sets have: token, home, node, n, pos, level, size of the token's list; each once.
 
     home is the least node of the token: tokens of one group of near copies mostly share it.
     """
@@ -222,16 +225,17 @@ def shared_runs(postings: DataFrame) -> DataFrame:
         h, node, at = h[keep], node[keep], at[keep]
         first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
         home = node[first][np.cumsum(first) - 1]
-        return pa.table({"token": long_of(h), "home": home, "node": node, "n": (at >> U(32)).astype(np.int64), "pos": (at >> U(5) & U(2**27 - 1)).astype(np.int64), "level": (at & U(31)).astype(np.int64)})
+        size = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1]
+        return pa.table({"size": size.astype(np.int32), "token": long_of(h), "home": home, "node": node, "n": (at >> U(32)).astype(np.int64), "pos": (at >> U(5) & U(2**27 - 1)).astype(np.int64), "level": (at & U(31)).astype(np.int64)})
 
-    return postings.groupBy("bucket").applyInArrow(run, "token long, home long, node long, n long, pos long, level long")
+    return postings.groupBy("bucket").applyInArrow(run, "size int, token long, home long, node long, n long, pos long, level long")
 
 
-def pair_lister(every: bool, seed: int = 0):
+def pair_lister(every: bool, seed: int = 0, members: int = MEMBERS):
     """What lists the pairs of a task's tokens: its memory follows HELD rows and TOLD pairs, however many pairs there are."""
 
-    def pivots(token, node, comp, n, level):
-        """All lists at once: each row outside its list's main component meets MEMBERS rows inside.
+    def pivots(token, node, comp, n, level, *bits):
+        """All lists at once: each row outside its list's main component meets ``members`` rows inside; pairs pass the bitmaps, if given.
 
         Members stand on a ring by hash and a row meets those that follow its own hash, so it meets
         the same ones in most of its lists, and others in the next round.
@@ -246,15 +250,24 @@ def pair_lister(every: bool, seed: int = 0):
         best = np.lexsort((mix[first], -size, run[first]))
         best = best[np.concatenate(([True], run[first][best][1:] != run[first][best][:-1]))]  # a group per list
         at, count = first[best][run], size[best][run]
-        outside = np.flatnonzero(comp != comp[at])
-        m = np.minimum(MEMBERS, count[outside])
-        x = np.repeat(outside, m)
-        j = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        all_outside = np.flatnonzero(comp != comp[at])
         inside = np.flatnonzero(comp == comp[at])  # the main components, in order of list and ring
-        place = np.searchsorted(run[inside].astype(np.float64) + ring[inside] / 2.0**64, run[outside] + mixed(ring[outside]) / 2.0**64) - np.searchsorted(run[inside], run[outside])
-        y = at[x] + (np.repeat(place, m) + j) % count[x]
-        ok = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
-        return node[x[ok]], node[y[ok]], level[x[ok]]
+        stood = run[inside].astype(np.float64) + ring[inside] / 2.0**64
+        bits = np.stack(bits)[:, order].view(U) if bits else None
+        some = max(TOLD // members, 1)
+        for s in range(0, len(all_outside), some):
+            outside = all_outside[s : s + some]
+            m = np.minimum(members, count[outside])
+            x = np.repeat(outside, m)
+            j = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+            place = np.searchsorted(stood, run[outside] + mixed(ring[outside]) / 2.0**64) - np.searchsorted(run[inside], run[outside])
+            y = at[x] + (np.repeat(place, m) + j) % count[x]
+            ok = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+            x, y = x[ok], y[ok]
+            if bits is not None:
+                d = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in bits)
+                x, y = x[7 * d <= n[x] + n[y]], y[7 * d <= n[x] + n[y]]
+            yield node[x], node[y], level[x]
 
     def pairs(token, node, comp, n, pos, level, rank, *bits):
         """All lists at once, for as many sets x at a time as TOLD pairs allow: the pairs of x stay together over its lists."""
@@ -285,7 +298,7 @@ def pair_lister(every: bool, seed: int = 0):
                 yield [np.concatenate(c) for c in zip(*out, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["home", "token", "node", "comp", "n", "level"] if not every else ["home", "token", "node", "comp", "n", "pos", "level", "rank", *BIT_COLS]
+        names = ["home", "token", "node", "comp", "n", "level", *(BIT_COLS if members > MEMBERS else [])] if not every else ["home", "token", "node", "comp", "n", "pos", "level", "rank", *BIT_COLS]
         rest = [np.zeros(0, np.int64)] * len(names)
 
         def found(cols):
@@ -299,7 +312,7 @@ def pair_lister(every: bool, seed: int = 0):
             if not keep.any():
                 return
             cols = [c[keep] for c in cols]
-            for x, y, level in pairs(*cols) if every else [pivots(*cols)]:
+            for x, y, level in pairs(*cols) if every else pivots(*cols):
                 order = np.lexsort((y, x))
                 x, y, level = x[order], y[order], level[order]
                 at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))[: len(x)]
@@ -320,16 +333,16 @@ def pair_lister(every: bool, seed: int = 0):
     return run
 
 
-def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0) -> DataFrame:
+def candidate_pairs(runs: DataFrame, every: bool, seed: int = 0, members: int = MEMBERS) -> DataFrame:
     """Pairs (x, y, level, c) of different components from the lists of tokens.
 
-    every: all pairs that pass the filters, x the larger one, with BIT_COLS in runs; else pivots only.
+    every: all pairs that pass the filters, x the larger one, with BIT_COLS in runs; else pivots only, with BIT_COLS if members are more than MEMBERS.
     Lists of one home are in one of PARTS places, so that a pair is told about PARTS times, not
     once per shared token; a home's lists are as many as a prefix has tokens, of BLOCK sets or so.
     """
     at = runs.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int"))
     together = at.repartition(shuffle_width(runs.sparkSession), "home", "part").sortWithinPartitions("part", "home", "token")
-    return together.mapInArrow(pair_lister(every, seed), "x long, y long, level long, c long")
+    return together.mapInArrow(pair_lister(every, seed, members), "x long, y long, level long, c long")
 
 
 def differing(p: np.ndarray, q: np.ndarray) -> int:
@@ -432,24 +445,32 @@ def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int,
     some = rows.join(picked, "at", "left_semi").select("doc_id", "at", "text")  # copies of a row are a node twice, which repeats links
     sets = bucketed(set_bytes(some, k, salt).repartition(shuffle_width(spark), "node"), "node")
 
-    comp = None
-    for round_ in range(PIVOT_ROUNDS + 1):
-        every = round_ == PIVOT_ROUNDS
+    comp, none = None, False
+    rounds = [(MEMBERS, BEST, NEAREST)] * PIVOT_ROUNDS + WIDER + [None]
+    for round_, step in enumerate(rounds):
+        every = step is None
+        if none and not every:
+            continue
+        members, best, nearest = step or rounds[0]
+        wider = members > MEMBERS
         now = runs.withColumn("comp", F.col("node")) if comp is None else runs.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        if every:
+        if wider:
+            now = now.filter(F.col("size") > LONG)
+        if every or wider:
             now = now.join(sets.select("node", *BIT_COLS), "node")
-        pairs = candidate_pairs(now, every, round_).groupBy("x", "y").agg(F.max("level").alias("level"), F.sum("c").alias("c"))
+        pairs = candidate_pairs(now, every, round_, members).groupBy("x", "y").agg(F.max("level").alias("level"), F.sum("c").alias("c"))
         if every:
             pairs = pairs.filter("c >= level")
         else:  # a list's pivots are some of a few, so a pair meets in about a quarter of its tokens
-            pairs = pairs.filter("4 * c >= level").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("k") <= BEST)
+            pairs = pairs.filter("4 * c >= level").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("k") <= best)
         near = plausible(pairs.select("x", "y"), sets)
         if not every:
-            near = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("far", "y"))).filter(F.col("k") <= NEAREST)
+            near = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("far", "y"))).filter(F.col("k") <= nearest)
         links = staged(verified(staged(near.select("x", "y"), "pairs"), sets), "links")
+        none = links.isEmpty()
         if comp is None:
             comp = components(links)
-        elif not links.isEmpty():
+        elif not none:
             of = lambda end: links.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
             ends = of("x").select("y", "x", F.col("cx"))
             ends = ends.join(comp.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y", "left").select(F.col("cx").alias("x"), F.coalesce("cy", "y").alias("y"))

@@ -63,13 +63,22 @@ def row_key(id_col: str | Column = "doc_id", text_col: str | Column = "text") ->
     return F.xxhash64(as_col(id_col).cast("long"), F.coalesce(as_col(text_col).cast("string"), F.lit("")))
 
 
+#: Most row keys that are broadcast to pick texts, 16 bytes each; more are joined by a shuffle.
+PICKED = 1_000_000
+
+
+def picked(rows: DataFrame, most: int = PICKED) -> DataFrame:
+    """``rows`` (staged) as a broadcast while they are at most ``most``: keeps whole texts out of a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def without(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows named by ``rows`` (doc_id, at: their row key); all columns stay.
+    """``docs`` without the rows named by ``rows`` (staged; doc_id, at: their row key); all columns stay.
 
     Null ids are addressed as well, and another text of the same id is left alone.
     """
     gone = rows.select(F.col("doc_id").alias("__gone_id"), F.col("at").alias("__gone_at"))
-    return docs.join(gone, (row_key(id_col, text_col) == F.col("__gone_at")) & F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
+    return docs.join(picked(gone), (row_key(id_col, text_col) == F.col("__gone_at")) & F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
 
 
 def bounded_rows(df: DataFrame, bound: int) -> list:

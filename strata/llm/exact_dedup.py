@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_of, id_and_text, staged
+from .common import PICKED, hex_of, id_and_text, picked, staged
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -80,7 +80,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sha = hex_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     address = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")]
     at = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__of"))
-    kept = docs.join(staged(found.filter(~F.col("kept")).select(*address), "copies"), at, "left_anti")
+    # an address is about four times as large as a row key
+    kept = docs.join(picked(staged(found.filter(~F.col("kept")).select(*address), "copies"), PICKED // 4), at, "left_anti")
     again = staged(found.filter("kept").groupBy(*address).count().filter("count > 1").select("__id", "__of"), "repeated")
     if again.isEmpty():
         return kept

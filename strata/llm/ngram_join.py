@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, discard, id_and_text, row_key, shared_dir, shuffle_width, staged, without
+from .common import bounded_rows, discard, id_and_text, picked, row_key, shared_dir, shuffle_width, staged, without
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -64,8 +64,6 @@ BLOCK = 8_192
 MEMBERS, BEST, NEAREST, PIVOT_ROUNDS = 6, 6, 2, 3
 #: The same for the rounds after these, which take only lists of more than LONG sets and end when one finds no link.
 WIDER, LONG = [(48, 48, 12), (96, 96, 24)], 96
-#: Most row keys that are broadcast to pick texts, 16 bytes each; more are joined by a shuffle.
-PICKED = 1_000_000
 #: Places for the lists of one home, and rows of a home that a task holds at once.
 PARTS, HELD = 2, 400_000
 #: Pairs that a task holds at once.
@@ -440,9 +438,7 @@ def linked_sets(rows: DataFrame, summary: DataFrame, classes: DataFrame, k: int,
     discard(shared)
     wanted = classes.join(runs.filter("rank = 0").select("node").distinct(), "node", "left_semi")
     wanted = staged(wanted.select(F.col("first.key").alias("doc_id"), F.col("first.at").alias("at")), "wanted")
-    picked = wanted.select("at")
-    picked = F.broadcast(picked) if picked.count() <= PICKED else picked  # keeps whole texts out of a shuffle
-    some = rows.join(picked, "at", "left_semi").select("doc_id", "at", "text")  # copies of a row are a node twice, which repeats links
+    some = rows.join(picked(wanted.select("at")), "at", "left_semi").select("doc_id", "at", "text")  # copies of a row are a node twice, which repeats links
     sets = bucketed(set_bytes(some, k, salt).repartition(shuffle_width(spark), "node"), "node")
 
     comp, none = None, False

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,42 @@ def postings(docs: DataFrame, id_col: str, weights: dict[str, float], token: str
     return parts.groupBy("id", "token").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
 
 
+def row_postings(docs: DataFrame, id_col: str, text: str, token: str = r"[^a-z0-9]+") -> DataFrame:
+    """(id, token, w, n) of each row of ``docs``, counted where the row is: nothing is shuffled.
+
+    Sums over it are those over ``postings``; rows that share an id have rows of their own.
+    """
+    x = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    kind = x.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(at, tokens, counts):
+            ids = batch.column(0).take(pa.array(at, pa.int32()))
+            return pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.string()), pa.array(counts, pa.float64()), pa.array(counts, pa.int64())], names=["id", "token", "w", "n"])
+
+        for batch in batches:
+            at, tokens, counts = [], [], []
+            for i, one in enumerate(batch.column(1)):
+                seen = Counter(re.split(token, one.as_py()))
+                seen.pop("", None)
+                at.extend([i] * len(seen))
+                tokens.extend(seen.keys())
+                counts.extend(seen.values())
+                if len(at) > 100_000:
+                    yield packed(at, tokens, counts)
+                    at, tokens, counts = [], [], []
+            yield packed(at, tokens, counts)
+
+    return x.mapInArrow(run, f"id {kind}, token string, w double, n long")
+
+
 def in_order(key: str, part: Column) -> Column:
     """The sum of a few parts in the order of their keys, so that equal parts give equal sums in every group."""
     return F.aggregate(F.array_sort(F.collect_list(F.struct(key, part.alias("part")))), F.lit(0.0), lambda a, e: a + e["part"])
 
 
 def bm25(index: DataFrame, n_docs: int, query: list[str]) -> DataFrame:
-    """(id, score, matched): prefix BM25, more negative is better.
+    """(id, score, matched): prefix BM25 over ``postings`` or ``row_postings``, more negative is better.
 
     Documents' lengths and the query's postings come from one scan of the index; token statistics
     are a handful of rows and are attached by a broadcast of that bounded table.

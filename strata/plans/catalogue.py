@@ -67,7 +67,7 @@ b AS (SELECT id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))) A
 
 
 def document_postings(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, "document_postings", d, lambda: S.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0}))
+    return once(spark, "document_postings", d, lambda: S.row_postings(table(spark, d, "documents"), "doc_id", "text"))
 
 
 def bm25(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.sources.staging import staged
+from strata.sources.staging import dealt, staged
 
 
 def chain_ends(pointers: DataFrame) -> DataFrame:
@@ -80,9 +80,10 @@ def script_call_edges(calls: DataFrame, definitions: DataFrame, imports: DataFra
     definition of the file, else what its import resolves to; ``this.m`` is a method of the class
     around it; ``a.b`` a method of the local or imported class a, or a function of the file bound to a.
     """
-    defs = definitions.select("file", "name", function_id(F.col("file"), F.col("name")).alias("id")).distinct()
+    defs = staged(dealt(definitions.select("file", "name"), "file").distinct().select("file", "name", function_id(F.col("file"), F.col("name")).alias("id")), "definitions")
     head, rest = F.split_part("text", F.lit("."), F.lit(1)), F.regexp_extract("text", r"\.(.+)$", 1)
-    c = calls.select("file", "caller", "in_class", "text", head.alias("head"), rest.alias("rest")).distinct()
+    c = dealt(calls.select("file", "caller", "in_class", "text"), "file", "caller").distinct()
+    c = staged(c.select("*", head.alias("head"), rest.alias("rest")), "calls")
     bound = c.join(imports.select("file", F.col("alias").alias("head"), "to_file", "symbol"), ["file", "head"])
     # what each bound call asks of another file: the symbol itself, or a member of the whole file
     asks = bound.withColumn("wanted", F.when(F.col("symbol") == "*", F.col("rest")).otherwise(F.col("symbol")))
@@ -97,7 +98,8 @@ def script_call_edges(calls: DataFrame, definitions: DataFrame, imports: DataFra
 
 def class_names(defs: DataFrame) -> DataFrame:
     """Definitions and the classes of their methods, as names that a file can export."""
-    return defs.select("file", "name").unionByName(defs.filter(F.col("name").contains(".")).select("file", F.split_part("name", F.lit("."), F.lit(1)).alias("name"))).distinct()
+    both = F.when(F.col("name").contains("."), F.array("name", F.split_part("name", F.lit("."), F.lit(1)))).otherwise(F.array("name"))
+    return dealt(defs.select("file", "name"), "file").select("file", F.explode(both).alias("name")).distinct()
 
 
 def absolute_module(spec: Column, package: Column) -> Column:

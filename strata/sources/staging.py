@@ -35,6 +35,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one task of ``dealt``.
+DEALT = 100_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = DEALT) -> DataFrame:
+    """``df`` (staged) by ``keys`` in as many tasks as its rows need: a distinct or groupBy of these keys is then done in place.
+
+    Without it each task that reads the table first groups all its rows, in memory that grows with the table.
+    """
+    width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows + 1)
+    return df.repartition(width, *keys)
+
+
 def once(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``build`` gives, written when first asked for and read from then on.
 

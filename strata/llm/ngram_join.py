@@ -39,6 +39,7 @@ smallest id, once, and all texts without words.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -50,7 +51,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_rows, discard, id_and_text, picked, row_key, shared_dir, shuffle_width, staged, without
 from .components import components
-from .shingles import mixed, shingle_set
+from .shingles import mixed, shingle_sets
 
 #: Frequent shingles that get a place at the end of the order: the bound of what is broadcast.
 FREQUENT = 65_536
@@ -65,9 +66,9 @@ MEMBERS, BEST, NEAREST, PIVOT_ROUNDS = 6, 6, 2, 3
 #: The same for the rounds after these, which take only lists of more than LONG sets and end when one finds no link.
 WIDER, LONG = [(48, 48, 12), (96, 96, 24)], 96
 #: Places for the lists of one home, and rows of a home that a task holds at once.
-PARTS, HELD = 2, 400_000
-#: Pairs that a task holds at once.
-TOLD = 2_000_000
+PARTS, HELD = 2, 200_000
+#: Pairs that a task holds at once, and those that leave it in one batch.
+TOLD, SENT = 400_000, 50_000
 #: Postings of a bucket on average; names of sets that a task keeps in mind.
 BUCKET, SEEN = 300_000, 100_000
 #: Copies of a group's row for a join with its sets; sets with more than one in MANY rows are hot.
@@ -117,8 +118,7 @@ def summarise(docs: DataFrame, k: int, salt: int) -> DataFrame:
 
         for batch in batches:
             n, node, check = [], [], []
-            for text in batch.column(2):
-                h = shingle_set(text.as_py(), k)
+            for h in shingle_sets(batch.column(2), k):
                 name, more = set_key(h, salt) if len(h) else (0, 0)
                 n.append(len(h))
                 node.append(name)
@@ -136,15 +136,15 @@ def summarise(docs: DataFrame, k: int, salt: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, key long, at long, n long, node long, check long")
 
 
-def base_level(n):
+def base_level(n: int) -> int:
     """The l of least estimated cost for a set of n tokens of unknown frequency; grows with n."""
-    return np.clip(np.sqrt(VERIFY * COMPANY / 4 * np.asarray(n)).astype(np.int64), 1, np.minimum(LEVELS, -(-3 * np.asarray(n) // 4)))
+    return max(min(int(math.sqrt(VERIFY * COMPANY / 4 * n)), LEVELS, -(-3 * n // 4)), 1)
 
 
 def chosen_level(df: np.ndarray, n: int) -> int:
     """The l of least estimated cost, ``base_level`` at least; df: counted frequencies in the global order."""
     least = -(-3 * n // 4)
-    low = int(base_level(n))
+    low = base_level(n)
     total, met = np.cumsum(df), np.cumsum(df - 1 + COMPANY)
     p = n - least + np.arange(low, min(LEVELS, least) + 1) - 1
     return low + int(np.argmin(total[p] + VERIFY * met[p] / np.arange(low, low + len(p))))
@@ -156,6 +156,8 @@ def prefix_postings(docs: DataFrame, k: int, salt: int, tokens: np.ndarray, coun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = table.value
+        near = np.zeros(2**22, np.bool_)  # few other shingles share a frequent one's leading bits
+        near[tokens >> U(42)] = True
         seen, held, size = Seen(), [], 0
 
         def packed():
@@ -169,16 +171,15 @@ def prefix_postings(docs: DataFrame, k: int, salt: int, tokens: np.ndarray, coun
             return pa.RecordBatch.from_arrays([pa.array(b[starts].astype(np.int32)), cut(h), cut(node), cut(at)], names=["bucket", "tokens", "nodes", "places"])
 
         for batch in batches:
-            for text in batch.column(2):
-                h = shingle_set(text.as_py(), k)
+            for h in shingle_sets(batch.column(2), k):
                 n = len(h)
                 if not n or not seen.new(name := set_key(h, salt)[0]):
                     continue
-                level = int(base_level(n))
+                level = base_level(n)
                 count = np.zeros(n, np.int64)
-                if len(tokens):
-                    i = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-                    count = np.where(tokens[i] == h, counts[i], 0)
+                if len(some := np.flatnonzero(near[h >> U(42)])):
+                    i = np.minimum(np.searchsorted(tokens, h[some]), len(tokens) - 1)
+                    count[some] = np.where(tokens[i] == h[some], counts[i], 0)
                     if count.any():
                         order = np.lexsort((h, count))
                         h, count = h[order], count[order]
@@ -315,7 +316,8 @@ def pair_lister(every: bool, seed: int = 0, members: int = MEMBERS):
                 x, y, level = x[order], y[order], level[order]
                 at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))[: len(x)]
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(level[at]), pa.array(np.diff(np.append(at, len(x))))], names=["x", "y", "level", "c"])
+                    told = pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(level[at]), pa.array(np.diff(np.append(at, len(x))))], names=["x", "y", "level", "c"])
+                    yield from (told.slice(s, SENT) for s in range(0, len(at), SENT))
 
         for batch in batches:
             cols = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, names, strict=True)]
@@ -411,7 +413,7 @@ def set_bytes(docs: DataFrame, k: int, salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
-                sets = [shingle_set(t.as_py(), k) for t in batch.column(2)[s : s + 500]]
+                sets = list(shingle_sets(batch.column(2)[s : s + 500], k))
                 bits = np.array([parities(h) for h in sets], U).reshape(len(sets), len(BIT_COLS)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(h, salt)[0] for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([parities(h, wide_bits(len(h))).tobytes() for h in sets], pa.binary()), *(pa.array(c) for c in bits.T)], names=["node", "n", "members", "wide", *BIT_COLS])
 

@@ -54,6 +54,35 @@ def row_postings(docs: DataFrame, id_col: str, text: str, token: str = r"[^a-z0-
     return x.mapInArrow(run, f"id {kind}, token string, w double, n long")
 
 
+def field_postings(docs: DataFrame, id_col: str, weights: dict[str, float], token: str = r"[^a-z0-9]+") -> DataFrame:
+    """(id, token, w, n) of each row of ``docs`` over several columns, counted where the row is; a row has one of token '' and n 0 too.
+
+    Sums over it without '' are ``postings``.
+    """
+    x = docs.select(F.col(id_col).alias("id"), *(F.lower(F.coalesce(c, F.lit(""))).alias(f"c{i}") for i, c in enumerate(weights)))
+    kind, each = x.schema["id"].dataType.simpleString(), [float(w) for w in weights.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1_000):
+                some = batch.slice(s, 1_000)
+                at, tokens, ws, ns = [], [], [], []
+                for i, texts in enumerate(zip(*(some.column(c + 1).to_pylist() for c in range(len(each))), strict=True)):
+                    w, n = {"": 0.0}, {"": 0}
+                    for weight, text in zip(each, texts, strict=True):
+                        for t in re.split(token, text):
+                            if t:
+                                w[t] = w.get(t, 0.0) + weight
+                                n[t] = n.get(t, 0) + 1
+                    at.extend([i] * len(n))
+                    tokens.extend(n)
+                    ws.extend(w.values())
+                    ns.extend(n.values())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int32())), pa.array(tokens, pa.string()), pa.array(ws, pa.float64()), pa.array(ns, pa.int64())], names=["id", "token", "w", "n"])
+
+    return x.mapInArrow(run, f"id {kind}, token string, w double, n long")
+
+
 def in_order(key: str, part: Column) -> Column:
     """The sum of a few parts in the order of their keys, so that equal parts give equal sums in every group."""
     return F.aggregate(F.array_sort(F.collect_list(F.struct(key, part.alias("part")))), F.lit(0.0), lambda a, e: a + e["part"])

@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.sources.staging import staged
+from strata.sources.staging import DEALT, dealt, staged
 
-from .search import B, K1, LEAST_IDF, in_order, postings
+from .search import B, K1, LEAST_IDF, field_postings, in_order
 from .versions import Version, VersionedStore
 
 #: Documents of one group.
@@ -34,15 +34,18 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, VersionedStore(spark, path)
 
-    def _blocks(self, docs: DataFrame, weights: dict[str, float], groups: int, gen: int) -> tuple[DataFrame, DataFrame]:
-        p = staged(postings(docs, "id", weights), "postings")
-        words = p.groupBy("id").agg(F.sum("n").alias("len"))
-        lengths = staged(docs.select("id").distinct().join(words, "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len"), F.lit(gen).alias("gen")), "lengths")
-        each = p.join(lengths, "id").withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-        rows = F.sort_array(F.collect_list(F.struct("id", "w", "len")))  # a group's documents, at most about GROUP
-        b = each.groupBy("token", "grp").agg(rows.alias("r"), F.max("w").alias("most"), F.min("len").alias("short"))
-        b = b.select("token", "grp", F.lit(gen).alias("gen"), F.size("r").alias("n"), "most", "short", *(F.col(f"r.{c}").alias(to) for c, to in (("id", "ids"), ("w", "ws"), ("len", "lens"))))
-        return b.repartitionByRange("token", "grp").sortWithinPartitions("token", "grp"), lengths
+    def _blocks(self, docs: DataFrame, weights: dict[str, float], groups: int | None, gen: int) -> tuple[DataFrame, DataFrame, int]:
+        """Blocks, lengths and the number of groups, by the number of documents if not given; tasks grow in number with the postings, not in size."""
+        rows = staged(field_postings(docs, "id", weights), "rows")
+        one = dealt(rows, "id").groupBy("id", "token").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+        p = staged(one.withColumn("len", F.sum("n").over(Window.partitionBy("id"))), "postings")
+        lengths = staged(p.filter("token = ''").select("id", "len", F.lit(gen).alias("gen")), "lengths")
+        groups = groups or max(1, math.ceil(lengths.count() / GROUP))
+        each = p.filter("token <> ''").withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+        listed = F.sort_array(F.collect_list(F.struct("id", "w", "len")))  # a group's documents, at most about GROUP
+        b = dealt(each, "token", "grp").groupBy("token", "grp").agg(listed.alias("r"), F.max("w").alias("most"), F.min("len").alias("short"))
+        b = staged(b.select("token", "grp", F.lit(gen).alias("gen"), F.size("r").alias("n"), "most", "short", *(F.col(f"r.{c}").alias(to) for c, to in (("id", "ids"), ("w", "ws"), ("len", "lens")))), "blocks")
+        return b.repartitionByRange(p.count() // (2 * DEALT) + 1, "token", "grp").sortWithinPartitions("token", "grp"), lengths, groups
 
     def _notes(self, docs: DataFrame, more: dict) -> dict:
         one = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
@@ -51,8 +54,7 @@ class TextIndex:
     def build(self, docs: DataFrame, weights: dict[str, float]) -> Version:
         """The whole index anew. Repeated ids are one document with all their words."""
         base = self.store.version()
-        groups = max(1, math.ceil(docs.select("id").distinct().count() / GROUP))
-        blocks, lengths = self._blocks(docs, weights, groups, 0)
+        blocks, lengths, groups = self._blocks(docs, weights, None, 0)
         entries = {"blocks": self.store.write(blocks), "docs": self.store.write(lengths), "changed": self.store.write(lengths.limit(0).select("id", "gen"))}
         return self.store.commit(entries, base, self._notes(lengths, {"weights": weights, "groups": groups, "gen": 0}))
 
@@ -60,7 +62,7 @@ class TextIndex:
         """Documents (id, columns) new or changed, and ids of those that are gone; nothing else is read but the lengths."""
         base = self.store.version()
         gen = base.notes["gen"] + 1
-        blocks, lengths = self._blocks(docs, base.notes["weights"], base.notes["groups"], gen)
+        blocks, lengths, _ = self._blocks(docs, base.notes["weights"], base.notes["groups"], gen)
         marks = lengths.select("id", "gen")
         if gone is not None:
             marks = marks.unionByName(gone.select("id", F.lit(gen).alias("gen")).join(lengths.select("id"), "id", "left_anti").distinct())

@@ -24,6 +24,15 @@ def component_edges(tags: DataFrame, components: DataFrame, imports: DataFrame,
     return e.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
 
 
+#: Most edges of a graph whose rounds may broadcast; each broadcast goes through the driver, and there are many rounds.
+BROADCAST = 10_000
+
+
+def joined(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST + 1) -> DataFrame:
+    """``a`` joined with ``b``, without a broadcast if there are more than BROADCAST rows, whatever their files' size tells."""
+    return a.join(b.hint("merge") if rows > BROADCAST else b, on, how)
+
+
 def core(edges: DataFrame) -> DataFrame:
     """Edges between nodes that have both a way in and a way out, after all others were taken off, ends first."""
     left = None
@@ -32,7 +41,7 @@ def core(edges: DataFrame) -> DataFrame:
         if n in (0, left):
             return edges
         left = n
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = joined(joined(edges, edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi", n), edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi", n)
         edges = staged(edges.select("src", "dst"), "core")
 
 
@@ -45,28 +54,29 @@ def cyclic_parts(edges: DataFrame) -> DataFrame:
     """
     rest = core(staged(edges.filter("src <> dst").select("src", "dst").distinct(), "core"))
     found = None
-    while not rest.isEmpty():
+    while n := rest.count():
         color = staged(rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("part", F.col("id")), "colors")
         while True:
-            told = rest.join(color.select(F.col("id").alias("src"), "part"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("part").alias("told"))
-            color = staged(color.select("id", "part").join(told, "id", "left").select("id", F.greatest("part", F.coalesce("told", "part")).alias("part"), (F.col("told") > F.col("part")).alias("changed")), "colors")
+            told = joined(rest, color.select(F.col("id").alias("src"), "part"), "src", rows=n).groupBy(F.col("dst").alias("id")).agg(F.max("part").alias("told"))
+            color = staged(joined(color.select("id", "part"), told, "id", "left", n).select("id", F.greatest("part", F.coalesce("told", "part")).alias("part"), (F.col("told") > F.col("part")).alias("changed")), "colors")
             if color.filter("changed").isEmpty():
                 break
         color = color.select("id", "part")
-        inside = rest.join(color.select(F.col("id").alias("src"), "part"), "src").join(color.select(F.col("id").alias("dst"), F.col("part").alias("p2")), "dst").filter("part = p2").select("src", "dst", "part")
+        inside = joined(joined(rest, color.select(F.col("id").alias("src"), "part"), "src", rows=n), color.select(F.col("id").alias("dst"), F.col("part").alias("p2")), "dst", rows=n).filter("part = p2").select("src", "dst", "part")
         inside = staged(inside, "inside")
         part = front = staged(color.filter("id = part"), "part")
         while not front.isEmpty():
-            front = staged(inside.join(front.select(F.col("id").alias("dst"), "part"), ["dst", "part"]).select(F.col("src").alias("id"), "part").distinct().join(part, ["id", "part"], "left_anti"), "part")
+            new = joined(inside, front.select(F.col("id").alias("dst"), "part"), ["dst", "part"], rows=n).select(F.col("src").alias("id"), "part").distinct()
+            front = staged(joined(new, part, ["id", "part"], "left_anti", n), "part")
             part = part.unionByName(front)
         found = part if found is None else found.unionByName(part)
         gone = staged(part.select("id"), "gone")
-        rest = core(staged(rest.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "core"))
+        rest = core(staged(joined(joined(rest, gone.select(F.col("id").alias("src")), "src", "left_anti", n), gone.select(F.col("id").alias("dst")), "dst", "left_anti", n).select("src", "dst"), "core"))
     none = edges.select(F.col("src").alias("id"), F.col("dst").alias("part")).limit(0)
     if found is None:
         return none
     shared = found.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return found.join(shared.select("part"), "part").select("id", "part")
+    return joined(found, shared.select("part"), "part").select("id", "part")
 
 
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strata.sources.staging import staged
 
-from .components import cyclic_parts
+from .components import cyclic_parts, joined
 from .numbering import numbered
 
 
@@ -382,7 +382,7 @@ def graph_levels(modules: DataFrame, files: DataFrame, deps: DataFrame, module_e
     domain_edges = pairs.join(end("src"), "src").join(end("dst"), "dst").select(F.col("dsrc").alias("src"), F.col("ddst").alias("dst")).distinct()
     domain_nodes = named.unionByName(domain_edges.select(F.explode(F.array("src", "dst")).alias("id"))).distinct().withColumn("layer", F.col("id"))
     fn_edges = calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
-    fn_layer = functions.join(files.select(F.col("path").alias("file"), "module"), "file").join(layer, "module").groupBy(F.col("name").alias("id")).agg(F.min("layer").alias("layer"))
+    fn_layer = joined(functions, files.select(F.col("path").alias("file"), "module"), "file").join(layer, "module").groupBy(F.col("name").alias("id")).agg(F.min("layer").alias("layer"))
     at = lambda level, df: df.select(F.lit(level).alias("level"), *df.columns)
     nodes = [at("module", own(modules.select("id", "layer"), "id")), at("file", file_nodes.unionByName(more)), at("domain", domain_nodes), at("function", fn_layer)]
     edges = [at("module", own(pairs, "src", "dst")), at("file", file_edges), at("domain", domain_edges), at("function", fn_edges)]
@@ -399,7 +399,7 @@ def level_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def level_cross(nodes: DataFrame, edges: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(level, src, dst, cross): whether an edge leaves its layer, or, with rules (a, b), isn't allowed or has no layer."""
     a, b = nodes.select("level", F.col("id").alias("src"), F.col("layer").alias("a")), nodes.select("level", F.col("id").alias("dst"), F.col("layer").alias("b"))
-    x = edges.join(a, ["level", "src"], "left").join(b, ["level", "dst"], "left")
+    x = joined(joined(edges, a, ["level", "src"], "left"), b, ["level", "dst"], "left")
     if allowed is None:
         return x.select("level", "src", "dst", F.coalesce(F.col("a") != F.col("b"), F.lit(False)).cast("int").alias("cross"))
     return x.join(allowed.select("a", "b", F.lit(1).alias("ok")).distinct(), ["a", "b"], "left").select("level", "src", "dst", F.when(F.col("ok").isNull(), 1).otherwise(0).alias("cross"))
@@ -419,7 +419,7 @@ def level_cycles(edges: DataFrame) -> DataFrame:
     e = staged(edges.select("level", "src", "dst").distinct(), "edges")
     parts = cyclic_parts(e.select(named("src").alias("src"), named("dst").alias("dst")))
     parts = staged(parts.select(F.split_part("id", F.lit("\x01"), F.lit(1)).alias("level"), F.split_part("id", F.lit("\x01"), F.lit(2)).alias("id"), F.split_part("part", F.lit("\x01"), F.lit(2)).alias("part")), "parts")
-    loops = e.filter("src = dst").select("level", F.col("src").cast("string").alias("id")).join(parts, ["level", "id"], "left_anti")
+    loops = joined(e.filter("src = dst").select("level", F.col("src").cast("string").alias("id")), parts, ["level", "id"], "left_anti")
     return parts.unionByName(loops.select("level", "id", F.col("id").alias("part")))
 
 
@@ -510,7 +510,7 @@ def community_modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
     """
     m = members.select("level", "id", F.coalesce(F.col("community").cast("string"), F.lit("")).alias("community"))
     end = lambda c: m.select("level", F.col("id").alias(c), F.col("community").alias(f"c{c}"))
-    e = edges.filter("src <> dst").join(end("src"), ["level", "src"]).join(end("dst"), ["level", "dst"])
+    e = joined(joined(edges.filter("src <> dst"), end("src"), ["level", "src"]), end("dst"), ["level", "dst"])
     e = e.groupBy("level", "csrc", "cdst").agg(F.count(F.lit(1)).alias("n"))
     inside = F.when(F.col("csrc") == F.col("cdst"), F.col("n")).otherwise(0)
     sums = e.select("level", F.explode(F.array(F.struct(F.col("csrc").alias("c"), inside.alias("i"), "n"), F.struct(F.col("cdst").alias("c"), inside.alias("i"), "n"))).alias("x")).groupBy("level", "x.c").agg(F.sum("x.i").alias("i"), F.sum("x.n").alias("k"))

@@ -11,7 +11,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,10 +27,6 @@ GROWTH = "k string, from_ts timestamp, to_ts timestamp, delta double, per_hour d
 ROLLUP = "k string, started timestamp, ended timestamp, calls long, tokens long, cache_hits long, closed_by string"
 
 
-def micros(times: pd.Series) -> list[int]:
-    return times.astype("datetime64[us]").astype("int64").tolist()
-
-
 def stamp(us: list[int]) -> pd.Series:
     return pd.Series(pd.to_datetime(us, unit="us"))
 
@@ -37,16 +36,38 @@ def after(us: int) -> int:
     return -(-us // 1000)
 
 
+#: Rows as they are held: time, id, number, mark; whole parts of many rows are values of the state.
+HELD = pa.schema([("t", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("mark", pa.string())])
+#: Rows of one part.
+PART = 100_000
+
+
+def packed(rows: pa.Table) -> list[tuple]:
+    """(least time, part) of parts of at most PART rows, as the state holds them."""
+    out = []
+    for s in range(0, rows.num_rows, PART):
+        part, sink = rows.slice(s, PART), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, HELD) as w:
+            w.write_table(part)
+        out.append((pc.min(part["t"]).as_py(), sink.getvalue().to_pybytes()))
+    return out
+
+
+def unpacked(parts: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts]) if parts else HELD.empty_table()
+
+
 class InOrder(StatefulProcessor):
-    """Holds rows (t, id, number) until the watermark has passed them, then hands them on in order.
+    """Holds rows (t, id, number, mark) until the watermark has passed them, then hands them on in order.
 
     A key has one timer, at its earliest held row; when it fires, all rows that the watermark has passed are
-    taken at once, so a row is read twice however many its key holds.
+    taken at once, so a row is read twice however many its key holds. Rows go to and from the state in
+    parts, as each value costs a message.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "t long, id long, n long, mark string")
+        self.held = handle.getListState("held", "first long, rows binary")
         self.timer = handle.getValueState("timer", "ms long")
 
     def wake(self, ms: int) -> None:
@@ -57,14 +78,27 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(ms)
             self.timer.update((ms,))
 
+    def hold(self, some: list[pd.DataFrame]) -> int | None:
+        """The least time of rows that are now held."""
+        x = pd.concat(some)
+        x = x[x["t"].notna()]
+        if not len(x):
+            return None
+        t = x["t"].astype("datetime64[us]").astype("int64").to_numpy()
+        self.held.appendList(packed(pa.table([pa.array(t), pa.array(x["id"].astype("int64").to_numpy()), pa.array(x["n"].astype("int64").to_numpy()), pa.array(x["mark"], pa.string(), from_pandas=True)], schema=HELD)))
+        return int(t.min())
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = []
+        first, some, n = [], [], 0
         for x in rows:
-            x = x[x["t"].notna()]
-            t = micros(x["t"])
-            if t:
-                self.held.appendList(list(zip(t, x["id"].astype("int64").tolist(), x["n"].astype("int64").tolist(), x["mark"].tolist(), strict=True)))
-                first.append(min(t))
+            some.append(x)
+            n += len(x)
+            if n >= PART:
+                first.append(self.hold(some))
+                some, n = [], 0
+        if some:
+            first.append(self.hold(some))
+        first = [t for t in first if t is not None]
         if first:
             self.wake(after(min(first)))
         return iter(())
@@ -74,16 +108,24 @@ class InOrder(StatefulProcessor):
             return iter(())
         self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.held.get())
-        due, rest = sorted(r for r in held if r[0] <= passed), [r for r in held if r[0] > passed]
+        parts = [(f, bytes(p)) for f, p in self.held.get()]
+        rest = [p for p in parts if p[0] > passed]
+        held = unpacked([p for f, p in parts if f <= passed])
+        late = held.filter(pc.greater(held["t"], passed))
+        rest += packed(late)
         if rest:
             self.held.put(rest)
-            self.wake(after(min(rest)[0]))
+            self.wake(after(min(f for f, _ in rest)))
         else:
             self.held.clear()
-        out = self.taken(key[0], due) if due else []
+        due = held.filter(pc.less_equal(held["t"], passed)).sort_by([(c, "ascending") for c in HELD.names])
+        out = self.due(key[0], due) if due.num_rows else []
         return iter([out]) if len(out) else iter(())
 
+    def due(self, key: str, rows: pa.Table) -> pd.DataFrame:
+        """The result of rows in their order, a table or the tuples of ``taken``."""
+        return self.taken(key, list(zip(*(rows[c].to_pylist() for c in HELD.names), strict=True)))
+
     def taken(self, key: str, due: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -101,15 +143,16 @@ class CacheHits(InOrder):
         super().init(handle)
         self.miss = handle.getValueState("miss", "t long")
 
-    def taken(self, key: str, due: list[tuple]) -> pd.DataFrame:
+    def due(self, key: str, rows: pa.Table) -> pd.DataFrame:
         last = self.miss.get()[0] if self.miss.exists() else None
-        hits = []
-        for t, *_ in due:
-            hits.append(last is not None and t - last < self.ttl)
-            if not hits[-1]:
-                last = t
+        t = rows["t"].to_numpy()
+        hits = np.ones(len(t), np.bool_)
+        at = 0 if last is None else int(np.searchsorted(t, last + self.ttl))
+        while at < len(t):  # a step per miss
+            hits[at], last = False, int(t[at])
+            at = max(at + 1, int(np.searchsorted(t, last + self.ttl)))
         self.miss.update((last,))
-        return pd.DataFrame({"k": key, "id": [r[1] for r in due], "t": stamp([r[0] for r in due]), "hit": hits})
+        return pd.DataFrame({"k": key, "id": rows["id"].to_numpy(), "t": t.astype("datetime64[us]"), "hit": hits})
 
 
 class LatestGrowth(InOrder):

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
-from strata.sources.staging import staged
+from strata.sources.staging import DEALT, staged
 
+from .components import joined
 from .substrings import related_paths, texts_with
 
 SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py"]
@@ -466,20 +467,35 @@ def near_classes(classes: DataFrame, distinct: DataFrame, least: float, places:
     return both.join(of("a", "a"), "a").join(of("b", "b"), "b").drop("a", "b")
 
 
-#: Rows of a class for each copy of it, and most copies.
-ROWS, PLACES = 512, 64
+#: Rows of a block of a class and of a slice of a block, and pairs of rows that a task lists, about.
+BLOCK, SLICE, LISTED = 4_096, 16, 1 << 28
 
 
 def owners(near: DataFrame, of: DataFrame) -> DataFrame:
-    """(a, b, similarity), a < b: classes (class_a, class_b) stand for all pairs of their rows (id, class).
+    """(a, b, similarity), a < b: classes (class_a, class_b, both ways) stand for all pairs of their rows (id, class).
 
-    A large class is copied to several places, among which the rows of near classes are dealt, so that a few classes still make many tasks.
+    Rows of a class are dealt to blocks, and a pair of blocks is taken once: slices of one meet the whole other, as Spark holds all
+    rows that it explodes from one row. Nothing that grows with the rows is broadcast, and tasks grow in number with the pairs, not in size.
     """
-    parts = of.groupBy("class").agg(F.least(F.ceil(F.count(F.lit(1)) / ROWS), F.lit(PLACES)).cast("int").alias("parts"))
-    place = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("place")
-    one = of.select(F.col("id").alias("a"), F.col("class").alias("class_a")).join(near, "class_a").join(parts.withColumnRenamed("class", "class_b"), "class_b").select("a", "class_b", "similarity", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("place"))
-    two = of.join(parts, "class").select(F.col("id").alias("b"), F.col("class").alias("class_b"), place)
-    return one.join(two, ["class_b", "place"]).filter("a < b").select("a", "b", "similarity")
+    wide = int(of.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = staged(of.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class_sizes")
+    classes, rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    place = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("place")
+    each = joined(of, counts, "class", rows=classes).select("class", place, "id").repartition(max(wide, rows // DEALT + 1), "class", "place")
+    blocks = staged(each.groupBy("class", "place").agg(F.collect_list("id").alias("ids")).withColumn("m", F.size("ids").cast("long")), "blocks")
+    n = blocks.count()
+    named = lambda to, *more: blocks.select(*(F.col(c).alias(f"{c}_{to}") for c in ("class", "place", *more)))
+    same = (F.col("class_a") == F.col("class_b")) & (F.col("place_a") == F.col("place_b"))
+    once = same | (F.col("class_a") < F.col("class_b")) | ((F.col("class_a") == F.col("class_b")) & (F.col("place_a") < F.col("place_b")))
+    pairs = joined(joined(near.filter("class_a <= class_b"), named("a", "m"), "class_a", rows=n), named("b", "m"), "class_b", rows=n).filter(once)
+    pairs = staged(pairs.withColumn("same", same), "pairs")
+    many, work = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("m_a") * F.col("m_b")), F.lit(0))).first()
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids_a") - 1) / SLICE).cast("int")), lambda i: F.slice("ids_a", i * SLICE + 1, F.lit(SLICE)))
+    x = joined(pairs.drop("m_a", "m_b"), named("a", "ids"), ["class_a", "place_a"], rows=rows).select("class_b", "place_b", "same", "similarity", F.explode(slices).alias("some"))
+    x = x.repartition(max(wide, work // LISTED + many // DEALT + 1), "class_b", "place_b")
+    x = joined(x, named("b", "ids"), ["class_b", "place_b"], rows=rows).select(F.explode("some").alias("p"), "ids_b", "same", "similarity")
+    x = x.select("p", F.explode("ids_b").alias("q"), "same", "similarity")
+    return x.filter("p < q or (p > q and not same)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
 def first_owners(near: DataFrame, of: DataFrame, most: int, similar_first: bool) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.operators import code as C
 from strata.operators import store
@@ -46,3 +47,18 @@ def test_suffixes_are_merged_without_broadcasts(spark):
     merged = C.merged_suffixes(rows, "path", "body")
     assert sorted(map(tuple, merged.collect())) == [("b/a/x.py", "one two"), ("y.py", "")]
     assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()
+
+def test_blocks_of_rows_are_listed_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 50, raising=False)
+    monkeypatch.setattr("strata.operators.components.BROADCAST", 100)
+    rows = [(i, SETS[i % 3], 12, str(i % 2)) for i in range(600)] + [(7, SETS[0], 12, "1"), (8, SETS[2], 12, "1")]
+    df = spark.createDataFrame(rows, "id long, kinds array<string>, size int, hash string")
+    want = sorted((min(a, b), max(a, b), int(like(p, q) * 1000 + 0.5) / 1000) for (a, p, _, g), (b, q, _, h) in itertools.combinations(rows, 2) if a != b and g != h and like(p, q) >= 0.6)
+    pairs = C.similar_structure(df, 0.6)
+    assert sorted(map(tuple, pairs.collect())) == want
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    tokens = df.select("id", F.col("kinds").alias("tokens"))
+    want = sorted((min(a, b), max(a, b), int(like(p, q) * 100 + 0.5) / 100) for (a, p, _, _), (b, q, _, _) in itertools.combinations(rows, 2) if a != b and like(p, q) >= 0.6)
+    pairs = C.similar_tokens(tokens, 0.6, 2)
+    assert sorted(map(tuple, pairs.collect())) == want
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()

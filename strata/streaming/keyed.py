@@ -8,7 +8,6 @@ the batch operators; rows behind the watermark are dropped by Spark.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +56,14 @@ def unpacked(parts: list[bytes]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts]) if parts else HELD.empty_table()
 
 
+def timed(some: list[pd.DataFrame]) -> pa.Table:
+    """Rows that have a time, as they are held."""
+    x = pd.concat(some)
+    x = x[x["t"].notna()]
+    t = x["t"].astype("datetime64[us]").astype("int64").to_numpy()
+    return pa.table([pa.array(t), pa.array(x["id"].astype("int64").to_numpy()), pa.array(x["n"].astype("int64").to_numpy()), pa.array(x["mark"], pa.string(), from_pandas=True)], schema=HELD)
+
+
 class InOrder(StatefulProcessor):
     """Holds rows (t, id, number, mark) until the watermark has passed them, then hands them on in order.
 
@@ -80,20 +87,22 @@ class InOrder(StatefulProcessor):
 
     def hold(self, some: list[pd.DataFrame]) -> int | None:
         """The least time of rows that are now held."""
-        x = pd.concat(some)
-        x = x[x["t"].notna()]
-        if not len(x):
+        rows = timed(some)
+        if not rows.num_rows:
             return None
-        t = x["t"].astype("datetime64[us]").astype("int64").to_numpy()
-        self.held.appendList(packed(pa.table([pa.array(t), pa.array(x["id"].astype("int64").to_numpy()), pa.array(x["n"].astype("int64").to_numpy()), pa.array(x["mark"], pa.string(), from_pandas=True)], schema=HELD)))
-        return int(t.min())
+        self.held.appendList(packed(rows))
+        return pc.min(rows["t"]).as_py()
+
+    def most(self) -> int:
+        """Rows that are taken in before they are held."""
+        return PART
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, some, n = [], [], 0
         for x in rows:
             some.append(x)
             n += len(x)
-            if n >= PART:
+            if n >= self.most():
                 first.append(self.hold(some))
                 some, n = [], 0
         if some:
@@ -155,7 +164,77 @@ class CacheHits(InOrder):
         return pd.DataFrame({"k": key, "id": rows["id"].to_numpy(), "t": t.astype("datetime64[us]"), "hit": hits})
 
 
-class LatestGrowth(InOrder):
+#: Rows of a sorted run, and of a piece of one.
+RUN, PIECE = 500_000, 5_000
+
+
+class InRuns(InOrder):
+    """As ``InOrder``, for keys of so many rows that no task can hold them at once.
+
+    Held rows are sorted runs, cut into pieces that are values of their own. They are merged piece by piece: a task
+    holds about PART rows and a piece of each run, and hands on rows of one time together.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "piece long", "rows binary")
+        self.heads = handle.getListState("heads", "first long, piece long")
+        self.next = handle.getValueState("next", "piece long")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def most(self) -> int:
+        return RUN
+
+    def cut(self, run: pa.Table) -> list[tuple]:
+        """(least time, piece) of the pieces of a sorted run, which are now values of the state."""
+        n, heads = self.next.get()[0] if self.next.exists() else 0, []
+        for s in range(0, run.num_rows, PIECE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, HELD) as w:
+                w.write_table(run.slice(s, PIECE))
+            self.held.updateValue((n,), (sink.getvalue().to_pybytes(),))
+            heads.append((run["t"][s].as_py(), n))
+            n += 1
+        self.next.update((n,))
+        return heads
+
+    def hold(self, some: list[pd.DataFrame]) -> int | None:
+        rows = timed(some).sort_by([(c, "ascending") for c in HELD.names])
+        if not rows.num_rows:
+            return None
+        heads = self.cut(rows)
+        self.heads.appendList(heads)
+        return heads[0][0]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        heads = sorted(tuple(h) for h in self.heads.get())
+        rest, pool, new = [h for h in heads if h[0] > passed], HELD.empty_table(), []
+        heads = [h for h in heads if h[0] <= passed]
+        for i, (_, n) in enumerate(heads):
+            new.append(unpacked([bytes(self.held.getValue((n,))[0])]))
+            self.held.removeKey((n,))
+            end = i + 1 == len(heads)
+            if end or sum(x.num_rows for x in new) >= PART:
+                pool, new = pa.concat_tables([pool, *new]).sort_by([(c, "ascending") for c in HELD.names]), []
+                k = int(np.searchsorted(pool["t"].to_numpy(), passed + 1 if end else heads[i + 1][0]))
+                out = self.due(key[0], pool.slice(0, k)) if k else ()
+                pool = pool.slice(k)
+                if len(out):
+                    yield out
+        if pool.num_rows:
+            rest += self.cut(pool)
+        if rest:
+            self.heads.put(rest)
+            self.wake(after(min(f for f, _ in rest)))
+        else:
+            self.heads.clear()
+
+
+class LatestGrowth(InRuns):
     """Difference between the last two points of a key, a row for each new point.
 
     alone: points that share their time with another one of the key are left out, as none of them is the value of that time.
@@ -169,21 +248,24 @@ class LatestGrowth(InOrder):
         self.last = handle.getValueState("last", "t long, n long")
 
     def taken(self, key: str, due: list[tuple]) -> pd.DataFrame:
-        rows = []
-        before = self.last.get() if self.last.exists() else None
-        if self.alone:  # rows of one time pass the watermark together
-            often = Counter(r[0] for r in due)
-            due = [r for r in due if often[r[0]] == 1]
-        for t, _, n, _ in due:
-            if before is not None:
-                hours = (t - before[0]) / 3.6e9
-                delta = float(n - before[1])
-                rows.append((key, before[0], t, delta, delta / hours if hours > 0 else None, "insufficient_data" if hours <= 0 else "increasing" if delta > 0 else "decreasing" if delta < 0 else "stable"))
-            before = (t, n)
-        if before is not None:
-            self.last.update(tuple(before))
-        out = pd.DataFrame(rows, columns=["k", "from_ts", "to_ts", "delta", "per_hour", "trend"])
-        return out.assign(from_ts=stamp(out["from_ts"].tolist()), to_ts=stamp(out["to_ts"].tolist())) if rows else out
+        return self.due(key, pa.table([pa.array(c) for c in zip(*due, strict=True)], schema=HELD))
+
+    def due(self, key: str, rows: pa.Table) -> pd.DataFrame:
+        t, n = rows["t"].to_numpy(), rows["n"].to_numpy()
+        if self.alone:  # rows of one time come together
+            one, as_next = np.ones(len(t), np.bool_), t[1:] == t[:-1]
+            one[1:] &= ~as_next
+            one[:-1] &= ~as_next
+            t, n = t[one], n[one]
+        if self.last.exists():
+            before = self.last.get()
+            t, n = np.concatenate(([before[0]], t)), np.concatenate(([before[1]], n))
+        if len(t):
+            self.last.update((int(t[-1]), int(n[-1])))
+        delta, hours, at = np.diff(n).astype(float), np.diff(t) / 3.6e9, t.astype("datetime64[us]")
+        per_hour = np.divide(delta, hours, out=np.full(len(delta), np.nan), where=hours > 0)
+        trend = np.select([hours <= 0, delta > 0, delta < 0], ["insufficient_data", "increasing", "decreasing"], "stable")
+        return pd.DataFrame({"k": key, "from_ts": at[:-1], "to_ts": at[1:], "delta": delta, "per_hour": per_hour, "trend": trend.astype(object)})
 
 
 class SessionRollup(InOrder):
